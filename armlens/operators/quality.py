@@ -37,13 +37,6 @@ def f_measure(common: Column, ref_size: Column, hyp_size: Column) -> Column:
     return F.coalesce(ratio(2 * p * r, p + r), F.lit(0.0))
 
 
-def _tagged(found: Column, n: int, is_hyp: bool) -> Column:
-    return F.transform(
-        found,
-        lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"), F.lit(is_hyp).alias("is_hyp")),
-    )
-
-
 def _score(n: int) -> Column:
     def total(count: Column) -> Column:
         return F.sum(F.when(F.col("n") == n, count).otherwise(0)).cast("double")
@@ -66,17 +59,20 @@ def rouge_n(
         words_of("ref", stem).alias("_ref"),
         words_of("hyp", stem).alias("_hyp"),
     )
-    entries = [
-        _tagged(grams(F.col(side), n), n, mark)
+    sides = [
+        F.struct(
+            F.lit(n).alias("n"), F.lit(is_hyp).alias("is_hyp"), grams(F.col(side), n).alias("grams")
+        )
         for n in sizes
-        for side, mark in (("_ref", False), ("_hyp", True))
+        for side, is_hyp in (("_ref", False), ("_hyp", True))
     ]
     counted = (
-        words.select("pair_id", *keep, F.explode_outer(F.concat(*entries)).alias("e"))
-        .groupBy("pair_id", *keep, "e.n", "e.gram")
+        words.select("pair_id", *keep, F.inline(F.array(*sides)))
+        .select("pair_id", *keep, "n", "is_hyp", F.explode_outer("grams").alias("gram"))
+        .groupBy("pair_id", *keep, "n", "gram")
         .agg(
-            F.count_if(~F.col("e.is_hyp")).alias("_r"),
-            F.count_if(F.col("e.is_hyp")).alias("_h"),
+            F.count_if(~F.col("is_hyp") & F.col("gram").isNotNull()).alias("_r"),
+            F.count_if(F.col("is_hyp") & F.col("gram").isNotNull()).alias("_h"),
         )
     )
     scores = [_score(n).alias(f"rouge{n}") for n in sizes]
