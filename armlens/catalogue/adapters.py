@@ -156,6 +156,11 @@ SCRAPE_LINES = [
 ]
 
 
+def server_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per scrape or cell end: the rows per server, without any parsing."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("server"))
+
+
 def counter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = apply(table(spark, sf_dir, "events"), EVENT_FACTS, SCRAPES)
     steps = events.filter("event_type <> 'signup'").withColumn(

@@ -249,7 +249,8 @@ def counter_parse(spark, sf_dir):
 )
 def counter_rate(spark, sf_dir):
     """Acceptance rate of each scrape since start and since the scrape before."""
-    rates = counters.counter_rates(counters.scrape_rates(A.counter_log(spark, sf_dir)))
+    scraped = counters.scrape_rates(A.counter_log(spark, sf_dir))
+    rates = counters.counter_rates(scraped, A.server_events(spark, sf_dir))
     return rates.select(
         "server", "micros", "acceptance_rate", "accepted_step", "drafted_step", "step_rate"
     )
@@ -265,7 +266,8 @@ def counter_rate(spark, sf_dir):
 def acceptance_asof(spark, sf_dir):
     """The first scrape at or after the end of each cell."""
     rates = counters.scrape_rates(A.counter_log(spark, sf_dir))
-    return counters.acceptance_after(A.cell_ends(spark, sf_dir), rates).select(
+    ends, seen = A.cell_ends(spark, sf_dir), A.server_events(spark, sf_dir)
+    return counters.acceptance_after(ends, rates, seen).select(
         "server", "cell_id", "end_us", "scrape_us", "acceptance_rate"
     )
 

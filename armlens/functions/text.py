@@ -18,10 +18,7 @@ def strip(c) -> Column:
 
 def tokens(c) -> Column:
     """Lower-case alphanumeric runs."""
-    spaced = F.trim(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(
-        F.split(spaced, " ")
-    )
+    return F.array_remove(F.split(F.lower(col(c)), "[^a-z0-9]+"), "")
 
 
 def grams(words: Column, n: int) -> Column:

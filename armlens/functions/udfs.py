@@ -4,43 +4,64 @@ import ast
 import warnings
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from armlens.functions.stem import stem
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(words: pd.Series) -> pd.Series:
-    """Stem the tokens longer than three letters."""
-    return words.map(
-        lambda ws: None if ws is None else [stem(w) if len(w) > 3 else w for w in ws]
-    )
+def _flat(lists: pa.Array) -> tuple[list[int], pa.Array]:
+    """Offsets and values of a list column, one value per distinct word."""
+    values = lists.flatten()
+    starts, at = [0], 0
+    for size in lists.value_lengths().fill_null(0).to_pylist():
+        at += size
+        starts.append(at)
+    return starts, values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(words: pa.Array) -> pa.Array:
+    """Stem the tokens longer than three letters; each distinct one once per batch."""
+    starts, values = _flat(words)
+    coded = values.dictionary_encode()
+    roots = [stem(w) if w is not None and len(w) > 3 else w for w in coded.dictionary.to_pylist()]
+    out = pa.array(roots, pa.string()).take(coded.indices)
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), out)
 
 
 def lcs_length(a, b) -> int:
     """Length of the longest common subsequence, bit-parallel (Hyyrö 2004)."""
     if len(a) > len(b):
         a, b = b, a
-    places = {}
-    for i, word in enumerate(a):
-        places.setdefault(word, []).append(i)
     masks = {}
+    for i, word in enumerate(a):
+        masks[word] = masks.get(word, 0) | (1 << i)
     full = (1 << len(a)) - 1
     open_bits = full
     for word in b:
-        if word not in places:
-            continue
-        if word not in masks:
-            masks[word] = sum(1 << i for i in places[word])
-        hit = open_bits & masks[word]
-        open_bits = ((open_bits + hit) | (open_bits - hit)) & full
+        mask = masks.get(word)
+        if mask is not None:
+            hit = open_bits & mask
+            open_bits = ((open_bits + hit) | (open_bits - hit)) & full
     return len(a) - open_bits.bit_count()
 
 
-@F.pandas_udf(T.LongType())
-def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")
+@F.arrow_udf(T.LongType())
+def lcs(a: pa.Array, b: pa.Array) -> pa.Array:
+    """LCS length of two token arrays, on word numbers instead of strings."""
+    starts_a, values_a = _flat(a)
+    starts_b, values_b = _flat(b)
+    coded = pa.concat_arrays([values_a, values_b]).dictionary_encode().indices.to_pylist()
+    left, right = coded[: len(values_a)], coded[len(values_a) :]
+    return pa.array(
+        [
+            lcs_length(left[starts_a[i] : starts_a[i + 1]], right[starts_b[i] : starts_b[i + 1]])
+            for i in range(len(a))
+        ],
+        pa.int64(),
+    )
 
 
 def parses(code: str) -> bool:

@@ -123,17 +123,14 @@ def request_metrics(
     tokens = F.col("output_tokens")
     ttft = seconds("start_us", "first_us")
     tpot = F.when(tokens > 1, ratio(seconds("first_us", "end_us"), tokens - 1))
-    out = out.withColumns(
-        {
-            "ttft_ms": exact_round(F.when(ttft != 0, ttft) * 1000, 2),
-            "tpot_ms": exact_round(F.when(tpot != 0, tpot) * 1000, 2),
-            "total_latency_ms": exact_round(F.col("latency_s") * 1000, 2),
-            "tokens_per_sec": F.when(
-                F.col("latency_s") > 0,
-                exact_round(ratio(tokens.cast("double"), "latency_s"), 2),
-            ),
-        }
-    )
+    raw = {
+        "ttft_ms": F.nullif(ttft, F.lit(0.0)) * 1000,
+        "tpot_ms": F.nullif(tpot, F.lit(0.0)) * 1000,
+        "total_latency_ms": F.col("latency_s") * 1000,
+        "tokens_per_sec": ratio(tokens.cast("double"), "latency_s"),
+    }
+    # Values first, rounding on top: the rounding names its input many times.
+    out = out.withColumns(raw).withColumns({c: exact_round(c, 2) for c in raw})
     out = views.with_cost(out, rates)
     out = views.as_failed_where(out, F.col("error").isNotNull())
     return out.select(
@@ -192,6 +189,7 @@ def race_progress(log: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataF
         ["micros", "seq"],
         sums={"chars": F.coalesce(F.length("content"), F.lit(0)).cast("bigint")},
         minima={"start_us": F.col("micros")},
+        measured=log,
         rows_per_slice=rows_per_slice,
     ).filter(F.col("content").isNotNull())
     elapsed = (F.col("micros") - F.col("start_us")) / float(MICROS)

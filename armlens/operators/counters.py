@@ -32,19 +32,24 @@ def scrape_rates(log: DataFrame) -> DataFrame:
         F.max_by("value", at(S.ACCEPTED_NAME)).alias("accepted"),
         F.max_by("value", at(S.DRAFTED_NAME)).alias("drafted"),
     )
-    return counted.withColumn(
-        "acceptance_rate",
-        exact_round(F.coalesce(F.col("gauge"), ratio("accepted", "drafted")), 4),
-    ).withColumn("micros", F.unix_micros(F.col("scrape_ts").cast("timestamp")))
+    rate = F.coalesce(F.col("gauge"), ratio("accepted", "drafted"))
+    return (
+        counted.withColumn("acceptance_rate", rate)
+        .withColumn("acceptance_rate", exact_round("acceptance_rate", 4))
+        .withColumn("micros", F.unix_micros(F.col("scrape_ts").cast("timestamp")))
+    )
 
 
-def counter_rates(rates: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def counter_rates(
+    rates: DataFrame, measured: DataFrame | None = None, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
     """Add the rate since the scrape before. A counter that fell was reset to zero."""
     pairs = previous(
         rates,
         ["server"],
         ["micros"],
         {"_accepted0": "accepted", "_drafted0": "drafted"},
+        measured,
         rows_per_slice,
     )
     reset = F.col("drafted") < F.col("_drafted0")
@@ -53,17 +58,19 @@ def counter_rates(rates: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Dat
         return F.when(reset, F.col(now)).otherwise(F.col(now) - F.col(before))
 
     accepted, drafted = step("accepted", "_accepted0"), step("drafted", "_drafted0")
-    return pairs.withColumns(
-        {
-            "accepted_step": accepted,
-            "drafted_step": drafted,
-            "step_rate": exact_round(ratio(accepted, drafted), 4),
-        }
-    ).drop("_accepted0", "_drafted0")
+    return (
+        pairs.withColumns({"accepted_step": accepted, "drafted_step": drafted})
+        .withColumn("step_rate", ratio("accepted_step", "drafted_step"))
+        .withColumn("step_rate", exact_round("step_rate", 4))
+        .drop("_accepted0", "_drafted0")
+    )
 
 
 def acceptance_after(
-    cells: DataFrame, rates: DataFrame, rows_per_slice: int = ROWS_PER_SLICE
+    cells: DataFrame,
+    rates: DataFrame,
+    measured: DataFrame | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Attach to each cell end (server, end_us, ...) the first scrape at or after it.
 
@@ -85,7 +92,7 @@ def acceptance_after(
     )
     merged = marks.unionByName(points, allowMissingColumns=True)
     ahead = next_known(
-        merged, ["server"], ["micros", "_kind"], {"_next": "_scrape"}, rows_per_slice
+        merged, ["server"], ["micros", "_kind"], {"_next": "_scrape"}, measured, rows_per_slice
     )
     return ahead.filter(F.col("_kind") == 0).select(
         "server",

@@ -140,4 +140,6 @@ def cell_name_mismatches(df: DataFrame, name: str = "file_name") -> DataFrame:
     agree = F.lit(True)
     for c in S.CELL:
         agree = agree & F.col(c).eqNullSafe(key[c])
-    return df.filter(~agree).groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
+    # Names are taken apart once per file and cell, not once per row.
+    files = df.groupBy(name, *S.CELL).agg(F.count(F.lit(1)).alias("rows"))
+    return files.filter(~agree).groupBy(name).agg(F.sum("rows").alias("rows"))

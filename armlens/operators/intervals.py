@@ -42,7 +42,7 @@ def normal_interval(
 
 
 def bootstrap_weights(spark, shards: int, replicates: int, seed: int) -> DataFrame:
-    """Poisson(1) weight of each shard in each replicate: shards * replicates rows."""
+    """Poisson(1) weight of each shard in each replicate: shards * (replicates + 1) rows."""
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(replicates - 1)),
         lambda b: poisson_one(
@@ -53,8 +53,10 @@ def bootstrap_weights(spark, shards: int, replicates: int, seed: int) -> DataFra
             )
         ),
     )
+    # The last replicate counts every shard once: the plain mean.
     return spark.range(shards).select(
-        F.col("id").alias("_shard"), F.posexplode(draws).alias("_replicate", "_w")
+        F.col("id").alias("_shard"),
+        F.posexplode(F.array_append(draws, F.lit(1))).alias("_replicate", "_w"),
     )
 
 
@@ -87,14 +89,15 @@ def bootstrap_interval(
     means = (
         partial.join(weights, "_shard")
         .groupBy(*keys, "_replicate")
-        .agg((F.sum(F.col("_w") * F.col("_sum")) / F.sum(F.col("_w") * F.col("_n"))).alias("_m"))
+        .agg(F.sum(F.col("_w") * F.col("_sum")).alias("_s"), F.sum(F.col("_w") * F.col("_n")).alias("_c"))
+        .withColumn("_m", F.col("_s") / F.col("_c"))
     )
-    bounds = means.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("replicates"),
-        F.percentile("_m", F.lit(0.025)).alias("ci_low"),
-        F.percentile("_m", F.lit(0.975)).alias("ci_high"),
+    whole = F.col("_replicate") == replicates
+    drawn = F.when(~whole, F.col("_m"))
+    return means.groupBy(*keys).agg(
+        F.max(F.when(whole, F.col("_c"))).alias("n"),
+        F.max(F.when(whole, F.col("_m"))).alias("mean"),
+        F.count(drawn).alias("replicates"),
+        F.percentile(drawn, F.lit(0.025)).alias("ci_low"),
+        F.percentile(drawn, F.lit(0.975)).alias("ci_high"),
     )
-    centre = partial.groupBy(*keys).agg(
-        F.sum("_n").alias("n"), (F.sum("_sum") / F.sum("_n")).alias("mean")
-    )
-    return centre.join(bounds, list(keys))

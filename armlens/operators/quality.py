@@ -53,12 +53,16 @@ def rouge_n(
     per (pair, n, gram) and summed per pair inside the same partitions, so there
     is no join and no shuffle of grams.
     """
-    words = pairs.repartition("pair_id").select(
-        "pair_id",
-        *keep,
-        words_of("ref", stem).alias("_ref"),
-        words_of("hyp", stem).alias("_hyp"),
+    return _gram_scores(_words(pairs.repartition("pair_id"), stem), sizes, keep)
+
+
+def _words(pairs: DataFrame, stem: bool) -> DataFrame:
+    return pairs.withColumns({"_ref": words_of("ref", stem), "_hyp": words_of("hyp", stem)}).drop(
+        "ref", "hyp"
     )
+
+
+def _gram_scores(words: DataFrame, sizes: Sequence[int], keep: Sequence[str]) -> DataFrame:
     sides = [
         F.struct(
             F.lit(n).alias("n"), F.lit(is_hyp).alias("is_hyp"), grams(F.col(side), n).alias("grams")
@@ -81,11 +85,13 @@ def rouge_n(
 
 def rouge_l(pairs: DataFrame, stem: bool = False) -> DataFrame:
     """Add ROUGE-L F1; row by row, no shuffle."""
-    words = pairs.withColumns({"_ref": words_of("ref", stem), "_hyp": words_of("hyp", stem)})
+    return _with_lcs_score(_words(pairs, stem)).drop("_ref", "_hyp")
+
+
+def _with_lcs_score(words: DataFrame) -> DataFrame:
     sizes = [F.size(c).cast("double") for c in ("_ref", "_hyp")]
-    return words.withColumn(
-        "rougeL", f_measure(lcs("_ref", "_hyp").cast("double"), *sizes)
-    ).drop("_ref", "_hyp")
+    common = words.withColumn("_lcs", lcs("_ref", "_hyp").cast("double"))
+    return common.withColumn("rougeL", f_measure(F.col("_lcs"), *sizes)).drop("_lcs")
 
 
 def lcs_native(a: Column, b: Column) -> Column:
@@ -118,9 +124,9 @@ def rouge_summary(scored: DataFrame, keys: Sequence[str] = ("system",)) -> DataF
 
 def all_rouge(pairs: DataFrame, keep: Sequence[str], stem: bool = False) -> DataFrame:
     """The three scores per pair. ROUGE-L is row-local, so it is computed on the
-    texts and carried through the gram count as a key column."""
-    scored = rouge_l(scorable(pairs), stem)
-    return rouge_n(scored, (1, 2), stem, keep=[*keep, "rougeL"])
+    same words and carried through the gram count as a key column."""
+    words = _with_lcs_score(_words(scorable(pairs).repartition("pair_id"), stem))
+    return _gram_scores(words, (1, 2), [*keep, "rougeL"])
 
 
 def consistency(scored: DataFrame, keys: Sequence[str] = ("task",)) -> DataFrame:

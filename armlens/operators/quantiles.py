@@ -7,9 +7,9 @@ counted and ranked. Data is scanned once per round; only groups times bins rows
 are ever ordered.
 """
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,14 +20,21 @@ def exact_quantiles(
     probabilities: Sequence[float],
     bins: int = 4096,
     rounds: int = 1,
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per group with columns p10, p50, ... (linear interpolation)."""
-    keys = list(keys)
+    """One row per group with columns p10, p50, ... (linear interpolation).
+
+    ``extra`` are aggregates over ``_v`` for the first pass, which counts the groups.
+    """
+    keys, extra = list(keys), dict(extra or {})
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull()
     )
     extent = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_v").alias("_lo"),
+        F.max("_v").alias("_hi"),
+        *[e.alias(n) for n, e in extra.items()],
     )
     # Two order statistics per probability: the neighbours of (n - 1) * p.
     wanted = F.array(
@@ -50,7 +57,7 @@ def exact_quantiles(
     for _ in range(rounds):
         targets = _narrow(rows, keys, targets, bins)
     found = _pick(rows, keys, targets)
-    return _interpolate(extent, found, keys, probabilities)
+    return _interpolate(extent, found, keys, probabilities, list(extra))
 
 
 def _ranges(targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,9 +116,9 @@ def _pick(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
     )
 
 
-def _interpolate(extent, found, keys, probabilities) -> DataFrame:
-    joined = extent.select(*keys, "_n").join(found, keys)
-    aggs = []
+def _interpolate(extent, found, keys, probabilities, extra) -> DataFrame:
+    joined = extent.select(*keys, "_n", *extra).join(found, keys)
+    aggs = [F.max(c).alias(c) for c in extra]
     for p in probabilities:
         place = (F.col("_n") - 1) * F.lit(p)
         low = F.max(F.when(F.col("_rank") == F.floor(place), F.col("_v")))

@@ -144,13 +144,11 @@ def latency_tails(
     probabilities: Sequence[float] = (0.1, 0.5, 0.9),
 ) -> DataFrame:
     """Coefficient of variation and exact quantiles per cell."""
-    base = keyed(df, keys).filter(F.col(value).isNotNull())
-    spread = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        ratio(F.stddev_samp(value), F.avg(value)).alias("variation"),
-    )
-    tails = exact_quantiles(base, keys, value, probabilities)
-    return spread.join(tails, list(keys))
+    spread = {
+        "n": F.count("_v"),
+        "variation": ratio(F.stddev_samp("_v"), F.avg("_v")),
+    }
+    return exact_quantiles(keyed(df, keys), keys, value, probabilities, extra=spread)
 
 
 def dimension_values(

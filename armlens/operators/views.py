@@ -77,7 +77,8 @@ def with_cost(df: DataFrame, rates: DataFrame | None = None, latency_s: str = "l
     cost = F.coalesce(F.col("usd_per_hour"), F.lit(0.0)) / 3600 * F.col(latency_s)
     return (
         df.join(card, "gpu_type", "left")
-        .withColumn("gpu_cost_usd", exact_round(cost, 8))
+        .withColumn("gpu_cost_usd", cost)
+        .withColumn("gpu_cost_usd", exact_round("gpu_cost_usd", 8))
         .drop("usd_per_hour")
     )
 

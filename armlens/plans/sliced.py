@@ -1,9 +1,9 @@
 """Ordered windows over keys of any size.
 
-A plain window sorts all rows of a key in one task. Here a key with more than
-``rows_per_slice`` rows is cut along its order column in slices; the window runs
-inside a slice, and one row per slice carries the state across. Keys below the
-limit are one slice, and the table of hot keys is short.
+A plain window sorts all rows of a key in one task. That is the plan here while no
+key has more than ``rows_per_slice`` rows, which one count over the key column
+decides. With a larger key, such keys are cut along the order column in slices:
+the window runs inside a slice and one row per slice carries the state across.
 """
 
 from collections.abc import Mapping, Sequence
@@ -11,18 +11,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 1_000_000
+from armlens.session import shared_dir
 
+ROWS_PER_SLICE = 5_000_000
 
-def with_slice(
+
+def hot_keys(
     df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, increasing with ``order`` for hot ones.
-
-    ``order`` is a BIGINT. Slices follow from counts and bounds only, so every
-    evaluation gives the same ones.
-    """
-    hot = (
+    """Keys above the limit with their bounds; at most rows / limit of them."""
+    return (
         df.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("_rows"),
@@ -33,36 +31,60 @@ def with_slice(
         .withColumn("_parts", F.ceil(F.col("_rows") / rows_per_slice))
         .drop("_rows")
     )
+
+
+def _has_hot_key(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> bool:
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return not counted.filter(F.col("_rows") > rows_per_slice).isEmpty()
+
+
+def _with_slice(
+    df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int
+) -> DataFrame:
+    """Add ``_slice``: 0 for ordinary keys, increasing with ``order`` for hot ones.
+
+    The rows are read several times from here on, so they are written once to the
+    shared folder first. Slices follow from counts and bounds only.
+    """
+    path = shared_dir(df.sparkSession, "sliced")
+    df.write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
     span = F.greatest(F.col("_to") - F.col("_from"), F.lit(1))
     place = F.floor((F.col(order) - F.col("_from")) / span * F.col("_parts"))
     return (
-        df.join(hot, list(keys), "left")
-        .withColumn("_slice", F.coalesce(F.least(place, F.col("_parts") - 1), F.lit(0)).cast("bigint"))
+        rows.join(hot_keys(rows, keys, order, rows_per_slice), list(keys), "left")
+        .withColumn(
+            "_slice", F.coalesce(F.least(place, F.col("_parts") - 1), F.lit(0)).cast("bigint")
+        )
         .drop("_from", "_to", "_parts")
     )
 
 
-def _windows(keys: Sequence[str], order: Sequence[str]):
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("_slice")
-    return inside, across
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     sums: Mapping[str, Column] | None = None,
     minima: Mapping[str, Column] | None = None,
+    measured: DataFrame | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Add running sums and minima up to each row; ``order[0]`` is a BIGINT."""
-    sums, minima = dict(sums or {}), dict(minima or {})
-    keys = list(keys)
-    rows = with_slice(df, keys, order[0], rows_per_slice)
-    inside, across = _windows(keys, order)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Add running sums and minima up to each row; ``order[0]`` is a BIGINT.
+
+    ``measured`` may give a cheaper frame with at least the same rows per key.
+    """
+    sums, minima, keys = dict(sums or {}), dict(minima or {}), list(keys)
+
+    def upto(partition: list[str]) -> dict[str, Column]:
+        w = Window.partitionBy(*partition).orderBy(*order)
+        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = {n: F.sum(e).over(w) for n, e in sums.items()}
+        return own | {n: F.min(e).over(w) for n, e in minima.items()}
+
+    if not _has_hot_key(measured if measured is not None else df, keys, rows_per_slice):
+        return df.withColumns(upto(keys))
+    rows = _with_slice(df, keys, order[0], rows_per_slice)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         rows.groupBy(*keys, "_slice")
         .agg(
@@ -77,11 +99,10 @@ def running(
         )
         .filter(F.col("_slice") > 0)
     )
-    own = {n: F.sum(e).over(upto) for n, e in sums.items()}
-    own.update({n: F.min(e).over(upto) for n, e in minima.items()})
+    own = upto([*keys, "_slice"])
     out = rows.join(carried, [*keys, "_slice"], "left").withColumns(own)
     total = {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
-    total.update({n: F.least(F.col(n), F.col(f"_c_{n}")) for n in minima})
+    total |= {n: F.least(F.col(n), F.col(f"_c_{n}")) for n in minima}
     return out.withColumns(total).drop("_slice", *[f"_c_{n}" for n in own])
 
 
@@ -90,13 +111,18 @@ def previous(
     keys: Sequence[str],
     order: Sequence[str],
     columns: Mapping[str, str],
+    measured: DataFrame | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add the value each column had in the row before: ``{"prev_x": "x"}``."""
     keys = list(keys)
-    rows = with_slice(df, keys, order[0], rows_per_slice)
-    inside, across = _windows(keys, order)
-    last = F.max_by(F.struct(*set(columns.values())), F.struct(*order))
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    if not _has_hot_key(measured if measured is not None else df, keys, rows_per_slice):
+        return df.withColumns({n: F.lag(c).over(whole) for n, c in columns.items()})
+    rows = _with_slice(df, keys, order[0], rows_per_slice)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    last = F.max_by(F.struct(*sorted(set(columns.values()))), F.struct(*order))
     carried = (
         rows.groupBy(*keys, "_slice")
         .agg(last.alias("_last"))
@@ -105,7 +131,10 @@ def previous(
     )
     first = F.row_number().over(inside) == 1
     out = rows.join(carried, [*keys, "_slice"], "left").withColumns(
-        {n: F.when(first, F.col("_carry")[c]).otherwise(F.lag(c).over(inside)) for n, c in columns.items()}
+        {
+            n: F.when(first, F.col("_carry")[c]).otherwise(F.lag(c).over(inside))
+            for n, c in columns.items()
+        }
     )
     return out.drop("_slice", "_carry")
 
@@ -115,14 +144,21 @@ def next_known(
     keys: Sequence[str],
     order: Sequence[str],
     columns: Mapping[str, str],
+    measured: DataFrame | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add the first non-NULL value at or after each row: ``{"next_x": "x"}``."""
     keys = list(keys)
-    rows = with_slice(df, keys, order[0], rows_per_slice)
-    inside, across = _windows(keys, order)
-    ahead = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    later = across.rowsBetween(1, Window.unboundedFollowing)
+
+    def ahead(partition: list[str], c: str) -> Column:
+        w = Window.partitionBy(*partition).orderBy(*order)
+        w = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        return F.first(c, ignorenulls=True).over(w)
+
+    if not _has_hot_key(measured if measured is not None else df, keys, rows_per_slice):
+        return df.withColumns({n: ahead(keys, c) for n, c in columns.items()})
+    rows = _with_slice(df, keys, order[0], rows_per_slice)
+    later = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
     carried = (
         rows.groupBy(*keys, "_slice")
         .agg(
@@ -136,12 +172,8 @@ def next_known(
             "_slice",
             *[F.first(f"_f_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in columns],
         )
-        .filter(F.coalesce(*[F.col(f"_c_{n}") for n in columns]).isNotNull())
     )
     out = rows.join(carried, [*keys, "_slice"], "left").withColumns(
-        {
-            n: F.coalesce(F.first(c, ignorenulls=True).over(ahead), F.col(f"_c_{n}"))
-            for n, c in columns.items()
-        }
+        {n: F.coalesce(ahead([*keys, "_slice"], c), F.col(f"_c_{n}")) for n, c in columns.items()}
     )
     return out.drop("_slice", *[f"_c_{n}" for n in columns])

@@ -74,16 +74,15 @@ def with_file_name(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_cells(df: DataFrame, path: str, files_per_cell: int = 4) -> None:
+def write_cells(df: DataFrame, path: str) -> None:
     """Write cells as partitioned Parquet; a cell present in ``df`` replaces the
     stored one and other cells stay.
 
-    Rows of a cell are spread over a few tasks by their id, so the largest cell is
-    not written by one task and the file count stays bounded.
+    Rows are gathered by cell, so small cells get one file each; the rebalance
+    splits a large cell over as many tasks as its size asks for.
     """
-    salt = F.pmod(F.xxhash64("request_id"), F.lit(files_per_cell))
     (
-        df.repartition(*S.CELL, salt)
+        df.hint("rebalance", *S.CELL)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*S.CELL)

@@ -5,117 +5,101 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from armlens import schema as S
 from armlens.operators import chunks
 
 STATE = (
     "system string, gpu_type string, start_us bigint, first_us bigint, end_us bigint,"
-    " chunks bigint, chars bigint, usage_tokens int, usage_us bigint, closed boolean, error string"
-)
-FOLDED = (
-    "request_id string, system string, gpu_type string, start_us bigint, first_us bigint,"
-    " end_us bigint, chunks bigint, chars bigint, usage_tokens int, closed boolean, error string"
+    " chunks bigint, chars bigint, usage_tokens bigint, closed boolean, error string"
 )
 FIELDS = [part.split()[0] for part in STATE.split(",")]
-OUT = [part.split()[0] for part in FOLDED.split(",")]
-
-
-def _known(values: pd.Series):
-    values = values.dropna()
-    return None if values.empty else values
-
-
-def merged(state: dict, rows: pd.DataFrame) -> dict:
-    """Fold one batch of a request's lines into its state. Order inside the batch
-    does not matter up to the first terminal line."""
-    ends = rows[rows["is_done"] | rows["error"].notna()]
-    if not ends.empty:
-        end = ends.sort_values(["micros", "seq"]).iloc[0]
-        before = (rows["micros"] < end["micros"]) | (
-            (rows["micros"] == end["micros"]) & (rows["seq"] <= end["seq"])
-        )
-        rows = rows[before]
-        state["closed"] = True
-        state["error"] = None if pd.isna(end["error"]) else end["error"]
-    spoken = rows[rows["content"].notna()]
-
-    def least(name, value):
-        state[name] = value if state[name] is None else min(state[name], value)
-
-    least("start_us", int(rows["micros"].min()))
-    if not spoken.empty:
-        least("first_us", int(spoken["micros"].min()))
-    state["end_us"] = max(state["end_us"] or 0, int(rows["micros"].max()))
-    state["chunks"] += len(spoken)
-    state["chars"] += int(spoken["content"].str.len().sum())
-    used = rows[rows["usage_tokens"].notna()]
-    if not used.empty:
-        last = used.sort_values(["micros", "seq"]).iloc[-1]
-        if state["usage_us"] is None or last["micros"] >= state["usage_us"]:
-            state["usage_us"] = int(last["micros"])
-            state["usage_tokens"] = int(last["usage_tokens"])
-    for name in ("system", "gpu_type"):
-        known = _known(rows[name])
-        if state[name] is None and known is not None:
-            state[name] = known.iloc[0]
-    return state
-
-
-class ChunkFold(StatefulProcessor):
-    def __init__(self, timeout_s: float) -> None:
-        self.timeout_ms = int(timeout_s * 1000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.request = handle.getValueState("request", STATE)
-
-    def _row(self, key, state: dict) -> pd.DataFrame:
+OUT = ["request_id", *FIELDS]
+WHOLE = [c for c in FIELDS if c.endswith("_us") or c in ("chunks", "chars", "usage_tokens")]
+
+
+def advance(state: dict, frame: pd.DataFrame) -> None:
+    """Fold one batch of a request's lines into its state, up to the terminal line."""
+    frame = frame.sort_values(["micros", "seq"]) if len(frame) > 1 else frame
+    for row in frame.itertuples(index=False):
+        if state["closed"]:
+            return
+        at = int(row.micros)
+        state["system"] = state["system"] or row.system
+        state["gpu_type"] = state["gpu_type"] or row.gpu_type
+        state["start_us"] = at if state["start_us"] is None else min(state["start_us"], at)
+        state["end_us"] = max(state["end_us"] or at, at)
+        if isinstance(row.content, str):
+            first = state["first_us"]
+            state["first_us"] = at if first is None else min(first, at)
+            state["chunks"] += 1
+            state["chars"] += len(row.content)
+        if not pd.isna(row.usage_tokens):
+            state["usage_tokens"] = int(row.usage_tokens)
+        if isinstance(row.error, str):
+            state["error"] = row.error
+        state["closed"] = bool(row.is_done) or state["error"] is not None
+
+
+def folding(timeout_s: float):
+    """The update function of one request: it keeps a dozen numbers, never lines."""
+    timeout_ms = int(timeout_s * 1000)
+
+    def result(key, state: dict) -> pd.DataFrame:
         row = {"request_id": key[0], **state}
-        frame = pd.DataFrame([[row[c] for c in OUT]], columns=OUT)
-        whole = [c for c in OUT if c.endswith("_us") or c in ("chunks", "chars", "usage_tokens")]
-        return frame.astype({c: "Int64" for c in whole})
+        return pd.DataFrame([[row[c] for c in OUT]], columns=OUT).astype(
+            {c: "Int64" for c in WHOLE}
+        )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.request.exists():
-            state = dict(zip(FIELDS, self.request.get()))
-        else:
-            state = dict.fromkeys(FIELDS)
-            state.update(chunks=0, chars=0, closed=False)
-        was_closed, fresh = state["closed"], state["start_us"] is None
-        for frame in rows:
+    def update(key, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            state = dict(zip(FIELDS, group.get))
+            group.remove()
             if not state["closed"]:
-                state = merged(state, frame)
-        if fresh:
-            self.handle.registerTimer(state["start_us"] // 1000 + self.timeout_ms + 1)
-        self.request.update(tuple(state[c] for c in FIELDS))
+                yield result(key, state)
+            return
+        if group.exists:
+            state = dict(zip(FIELDS, group.get))
+        else:
+            state = {**dict.fromkeys(FIELDS), "chunks": 0, "chars": 0, "closed": False}
+        was_closed = state["closed"]
+        for frame in frames:
+            advance(state, frame)
+        group.update(tuple(state[c] for c in FIELDS))
+        due = state["start_us"] // 1000 + timeout_ms + 1
+        group.setTimeoutTimestamp(max(due, group.getCurrentWatermarkMs() + 1))
         if state["closed"] and not was_closed:
-            yield self._row(key, state)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = dict(zip(FIELDS, self.request.get()))
-        self.request.clear()
-        if not state["closed"]:
-            yield self._row(key, state)
+            yield result(key, state)
 
-    def close(self) -> None:
-        pass
+    return update
 
 
 def fold_stateful(
     log: DataFrame, delay: str = "120 seconds", timeout_s: float = S.REQUEST_TIMEOUT_S
 ) -> DataFrame:
-    """Metrics row of each request as soon as it ended, or failed by timeout."""
-    parsed = (
-        chunks.parse_lines(log.withWatermark("ts", delay))
-        .drop("line")
-        .withColumn("usage_tokens", F.col("usage_tokens").cast("double"))
+    """Metrics row of each request as soon as it ended, or failed by timeout.
+
+    The state of a closed request stays until its timeout, so that lines after the
+    end are ignored.
+    """
+    parsed = chunks.parse_lines(log.withWatermark("ts", delay)).select(
+        "request_id",
+        "system",
+        "gpu_type",
+        "ts",
+        "micros",
+        "seq",
+        "is_done",
+        "error",
+        "content",
+        F.col("usage_tokens").cast("double").alias("usage_tokens"),
     )
-    folded = parsed.groupBy("request_id").transformWithStateInPandas(
-        statefulProcessor=ChunkFold(timeout_s),
-        outputStructType=FOLDED,
-        outputMode="append",
-        timeMode="EventTime",
+    folded = parsed.groupBy("request_id").applyInPandasWithState(
+        folding(timeout_s),
+        f"request_id string, {STATE}",
+        STATE,
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
     return chunks.request_metrics(folded, timeout_s, require_terminal=True)
