@@ -2,77 +2,74 @@
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from armlens import schema as S
 from armlens.operators import chunks
 
 STATE = (
     "system string, gpu_type string, start_us bigint, first_us bigint, end_us bigint,"
-    " chunks bigint, chars bigint, usage_tokens bigint, closed boolean, error string"
+    " chunks bigint, chars bigint, usage_tokens int, closed boolean, error string"
 )
 FIELDS = [part.split()[0] for part in STATE.split(",")]
-OUT = ["request_id", *FIELDS]
-WHOLE = [c for c in FIELDS if c.endswith("_us") or c in ("chunks", "chars", "usage_tokens")]
 
 
-def advance(state: dict, frame: pd.DataFrame) -> None:
-    """Fold one batch of a request's lines into its state, up to the terminal line."""
-    frame = frame.sort_values(["micros", "seq"]) if len(frame) > 1 else frame
-    for row in frame.itertuples(index=False):
+def advance(state: dict, row: Row) -> None:
+    """Fold one line into a request's state."""
+    at = row.micros
+    state["system"] = state["system"] or row.system
+    state["gpu_type"] = state["gpu_type"] or row.gpu_type
+    state["start_us"] = at if state["start_us"] is None else min(state["start_us"], at)
+    state["end_us"] = at if state["end_us"] is None else max(state["end_us"], at)
+    if row.content is not None:
+        first = state["first_us"]
+        state["first_us"] = at if first is None else min(first, at)
+        state["chunks"] += 1
+        state["chars"] += len(row.content)
+    if row.usage_tokens is not None:
+        state["usage_tokens"] = row.usage_tokens
+    state["error"] = row.error
+    state["closed"] = row.is_done or row.error is not None
+
+
+class ChunkFold(StatefulProcessor):
+    """Keeps a dozen numbers per open request, never its lines."""
+
+    def __init__(self, timeout_s: float) -> None:
+        self.timeout_ms = int(timeout_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.request = handle.getValueState("request", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.request.get()
+        if known is None:
+            state = {**dict.fromkeys(FIELDS), "chunks": 0, "chars": 0, "closed": False}
+        else:
+            state = dict(zip(FIELDS, known))
         if state["closed"]:
             return
-        at = int(row.micros)
-        state["system"] = state["system"] or row.system
-        state["gpu_type"] = state["gpu_type"] or row.gpu_type
-        state["start_us"] = at if state["start_us"] is None else min(state["start_us"], at)
-        state["end_us"] = max(state["end_us"] or at, at)
-        if isinstance(row.content, str):
-            first = state["first_us"]
-            state["first_us"] = at if first is None else min(first, at)
-            state["chunks"] += 1
-            state["chars"] += len(row.content)
-        if not pd.isna(row.usage_tokens):
-            state["usage_tokens"] = int(row.usage_tokens)
-        if isinstance(row.error, str):
-            state["error"] = row.error
-        state["closed"] = bool(row.is_done) or state["error"] is not None
-
-
-def folding(timeout_s: float):
-    """The update function of one request: it keeps a dozen numbers, never lines."""
-    timeout_ms = int(timeout_s * 1000)
-
-    def result(key, state: dict) -> pd.DataFrame:
-        row = {"request_id": key[0], **state}
-        return pd.DataFrame([[row[c] for c in OUT]], columns=OUT).astype(
-            {c: "Int64" for c in WHOLE}
-        )
-
-    def update(key, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            state = dict(zip(FIELDS, group.get))
-            group.remove()
-            if not state["closed"]:
-                yield result(key, state)
-            return
-        if group.exists:
-            state = dict(zip(FIELDS, group.get))
-        else:
-            state = {**dict.fromkeys(FIELDS), "chunks": 0, "chars": 0, "closed": False}
-        was_closed = state["closed"]
-        for frame in frames:
-            advance(state, frame)
-        group.update(tuple(state[c] for c in FIELDS))
-        due = state["start_us"] // 1000 + timeout_ms + 1
-        group.setTimeoutTimestamp(max(due, group.getCurrentWatermarkMs() + 1))
-        if state["closed"] and not was_closed:
-            yield result(key, state)
+        # One trigger's lines of one request; a client writes them in order.
+        for row in sorted(rows, key=lambda r: (r.micros, r.seq)):
+            advance(state, row)
+            if state["closed"]:
+                break
+        if known is None:
+            self.handle.registerTimer(state["start_us"] // 1000 + self.timeout_ms + 1)
+        self.request.update(tuple(state[c] for c in FIELDS))
+        if state["closed"]:
+            yield Row(request_id=key[0], **state)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = dict(zip(FIELDS, self.request.get()))
+        self.request.clear()
+        if not state["closed"]:
+            yield Row(request_id=key[0], **state)
 
-    return update
+    def close(self) -> None:
+        pass
 
 
 def fold_stateful(
@@ -93,13 +90,12 @@ def fold_stateful(
         "is_done",
         "error",
         "content",
-        F.col("usage_tokens").cast("double").alias("usage_tokens"),
+        "usage_tokens",
     )
-    folded = parsed.groupBy("request_id").applyInPandasWithState(
-        folding(timeout_s),
-        f"request_id string, {STATE}",
-        STATE,
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    folded = parsed.groupBy("request_id").transformWithState(
+        statefulProcessor=ChunkFold(timeout_s),
+        outputStructType=f"request_id string, {STATE}",
+        outputMode="append",
+        timeMode="EventTime",
     )
     return chunks.request_metrics(folded, timeout_s, require_terminal=True)
