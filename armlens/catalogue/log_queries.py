@@ -180,9 +180,9 @@ def stream_progress(spark, sf_dir):
     root = shared_dir(spark, "progress")
     log = chunks.until_terminal(chunks.parse_lines(A.chunk_log(spark, sf_dir)))
     logs.write_log(log, f"{root}/in", S.CHUNK_LOG)
-    totals = jobs.live_totals(logs.stream_log(spark, f"{root}/in", S.CHUNK_LOG, max_files=4))
-    jobs.replace_in(totals, f"{root}/out", f"{root}/checkpoint")
-    return spark.read.schema(totals.schema).parquet(f"{root}/out")
+    totals = jobs.live_totals(logs.stream_log(spark, f"{root}/in", S.CHUNK_LOG))
+    jobs.write_batches(totals, f"{root}/out", f"{root}/checkpoint", "update")
+    return jobs.request_progress(jobs.read_batches(spark, f"{root}/out", totals.schema))
 
 
 @query(
@@ -196,8 +196,9 @@ def stream_window_ab(spark, sf_dir):
     root = shared_dir(spark, "windows")
     lines = chunks.until_terminal(chunks.parse_lines(A.chunk_log(spark, sf_dir)))
     folded = lines.groupBy("request_id").agg(*chunks.fold_aggregates())
-    ended = folded.select("request_id", F.timestamp_micros("end_us").alias("ended_at"))
-    done = chunks.request_metrics(folded, TIMEOUT_S).join(ended, "request_id")
+    done = chunks.request_metrics(folded, TIMEOUT_S, keep=["end_us"]).withColumn(
+        "ended_at", F.timestamp_micros("end_us")
+    )
     done.write.parquet(f"{root}/in")
     drain = spark.range(1).select(
         F.lit(jobs.DRAIN_ID).alias("request_id"), F.lit(jobs.DRAIN_TS).cast("timestamp").alias("ended_at")

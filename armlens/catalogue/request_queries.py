@@ -17,6 +17,7 @@ from armlens.operators import (
     views,
 )
 from armlens.sources import requests as source
+from armlens.sources import tables
 from armlens.session import shared_dir
 from armlens.streaming import jobs
 
@@ -756,6 +757,33 @@ def report_labels(spark, sf_dir):
     return report.summary_labels(rounded)
 
 
+@query(
+    f"""{REQ} SELECT gpu_type, system, concurrency, printf('$%.4f', {r('c', 8)}) AS label FROM (SELECT gpu_type, system,
+    concurrency, avg(gpu_cost_usd / output_tokens * 1000) AS c FROM counted WHERE {VALID} AND output_tokens > 0
+    GROUP BY gpu_type, system, concurrency)"""
+)
+def cost_labels(spark, sf_dir):
+    """Cost labels of the per-1 000 chart."""
+    rows = views.valid_requests(counted(spark, sf_dir))
+    costs = summary.mean_cost(rows, ["gpu_type", "system", "concurrency"], 1e3, "cost_per_1k")
+    return report.cost_labels(tidy(costs, 8)).drop("cost_per_1k")
+
+
+@query(
+    f"""{REQ} SELECT gpu_type, system, {r('sum(gpu_cost_usd)', 4)} AS total_cost_usd, count(*) AS total_requests,
+    CASE WHEN gpu_type = 'mac' THEN CAST(NULL AS VARCHAR) ELSE system END AS note FROM counted
+    GROUP BY gpu_type, system"""
+)
+def summary_csv(spark, sf_dir):
+    """The cost table written as CSV and read back; a missing value stays missing."""
+    path = shared_dir(spark, "table")
+    table = tidy(summary.cost_summary(counted(spark, sf_dir)), 4).withColumn(
+        "note", F.when(F.col("gpu_type") != "mac", F.col("system"))
+    )
+    tables.write_table(table, path)
+    return tables.read_table(spark, path, table.schema)
+
+
 # --- written cells and streams -------------------------------------------------------------------
 
 
@@ -807,5 +835,5 @@ def stream_summary(spark, sf_dir):
     root = shared_dir(spark, "summary")
     source.write_request_lines(log(spark, sf_dir), f"{root}/in")
     means = jobs.incremental_means(source.stream_requests(spark, f"{root}/in", max_files=4))
-    jobs.replace_in(means, f"{root}/out", f"{root}/checkpoint")
-    return tidy(spark.read.schema(means.schema).parquet(f"{root}/out"))
+    jobs.write_batches(means, f"{root}/out", f"{root}/checkpoint", "complete")
+    return tidy(jobs.last_batch(jobs.read_batches(spark, f"{root}/out", means.schema)))

@@ -1,5 +1,6 @@
 """Queries over prompts and outputs (adapters: conversations, benchmark, documents)."""
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from armlens import schema as S
@@ -124,20 +125,23 @@ def prompt_filter(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(conv_id AS VARCHAR) AS id, arg_min(text, turn) AS text FROM conversations
-    WHERE role = 'user' GROUP BY conv_id"""
+    "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id % 4 <> 0"
 )
 def nested_first_turn(spark, sf_dir):
     """First human turn from a dump with nested turns."""
     path = shared_dir(spark, "dialogues")
-    turns = A.table(spark, sf_dir, "conversations")
-    speaker = F.when(F.col("role") == "user", "human").otherwise(F.col("role"))
-    said = F.struct("turn", speaker.alias("from"), F.col("text").alias("value"))
-    # A conversation is one row of the dump, so its turns belong in one array.
-    nested = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(said)).alias("t"))
-    nested.select(
-        F.col("conv_id").cast("string").alias("id"),
-        F.transform("t", lambda x: F.struct(x["from"], x["value"])).alias("conversations"),
+    docs = A.table(spark, sf_dir, "documents")
+
+    def turn(speaker: str, value) -> Column:
+        return F.struct(F.lit(speaker).alias("from"), value.alias("value"))
+
+    opening, answer = turn("system", F.col("lang")), turn("gpt", F.col("source"))
+    asked, again = turn("human", F.col("text")), turn("human", F.col("lang"))
+    docs.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.when(F.col("doc_id") % 4 == 0, F.array(opening, answer))
+        .otherwise(F.array(opening, asked, answer, again))
+        .alias("conversations"),
     ).write.json(path)
     return prompts.first_turn_nested(source.read_dialogues(spark, path))
 

@@ -1,5 +1,7 @@
 """Token-chunk logs: parse event-stream lines and fold them to request metrics."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,6 +104,7 @@ def request_metrics(
     estimate: bool = False,
     rates: DataFrame | None = None,
     require_terminal: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Metrics of the request log from the folded lines; late requests fail.
 
@@ -146,6 +149,7 @@ def request_metrics(
         "chunks",
         "chars",
         "error",
+        *keep,
     )
 
 

@@ -22,7 +22,8 @@ def both_arms(
     base: str = S.BASE_PATTERN,
     spec: str = S.SPEC_PATTERN,
 ) -> DataFrame:
-    """One row per key: n and mean of each metric for both arms, acceptance of the treatment."""
+    """One row per key: rows, cost and mean of each metric for both arms, and the
+    acceptance rate of the treatment."""
     rows = keyed(df, keys).withColumn("_arm", views.arm(base, spec)).dropna(subset=["_arm"])
 
     def only(side: str, value: Column) -> Column:
@@ -32,6 +33,8 @@ def both_arms(
     for m in metrics:
         for side in ("base", "spec"):
             aggs.append(F.avg(only(side, m.column)).alias(f"{m.name}_{side}"))
+    cost = F.coalesce(F.col("gpu_cost_usd"), F.lit(0.0))
+    aggs += [F.sum(only(side, cost)).alias(f"cost_{side}") for side in ("base", "spec")]
     aggs.append(F.avg(only("spec", F.col("acceptance_rate"))).alias("alpha"))
     return rows.groupBy(*keys).agg(*aggs)
 
@@ -158,16 +161,7 @@ def paired_tps(df: DataFrame) -> DataFrame:
 
 def verdict(df: DataFrame, keys: Sequence[str] = ("gpu_type", "concurrency"), **arms) -> DataFrame:
     """Per-token and overall speedup, cost saving and a one-line verdict."""
-    rows = both_arms(df, keys, (TPOT, TPS, TTFT), **arms)
-    cost = keyed(df, keys).groupBy(*keys).agg(
-        *[
-            F.sum(
-                F.when(views.arm() == side, F.coalesce(F.col("gpu_cost_usd"), F.lit(0.0)))
-            ).alias(f"cost_{side}")
-            for side in ("base", "spec")
-        ]
-    )
-    both = aligned(rows).join(cost, list(keys))
+    both = aligned(both_arms(df, keys, (TPOT, TPS, TTFT), **arms))
     present = (F.col("tpot_ms_base") > 0) & (F.col("tpot_ms_spec") > 0)
     out = both.filter(present).withColumns(
         {

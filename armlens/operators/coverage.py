@@ -129,8 +129,14 @@ def cell_of_name(name) -> dict:
 
 def cell_file_name() -> Column:
     """The file name of a row's cell."""
-    return F.format_string(
-        "%s_%s_%s_c%02d_t%d.jsonl", "system", "gpu_type", "task", "concurrency", "trial"
+    level = F.col("concurrency").cast("string")
+    return F.concat(
+        F.concat_ws("_", "system", "gpu_type", "task"),
+        F.lit("_c"),
+        F.lpad(level, F.greatest(F.length(level), F.lit(2)), F.lit("0")),
+        F.lit("_t"),
+        F.col("trial").cast("string"),
+        F.lit(".jsonl"),
     )
 
 
@@ -140,6 +146,6 @@ def cell_name_mismatches(df: DataFrame, name: str = "file_name") -> DataFrame:
     agree = F.lit(True)
     for c in S.CELL:
         agree = agree & F.col(c).eqNullSafe(key[c])
-    # Names are taken apart once per file and cell, not once per row.
-    files = df.groupBy(name, *S.CELL).agg(F.count(F.lit(1)).alias("rows"))
-    return files.filter(~agree).groupBy(name).agg(F.sum("rows").alias("rows"))
+    # Most names are the expected ones; only others are taken apart.
+    suspect = ~F.col(name).eqNullSafe(cell_file_name())
+    return df.filter(suspect & ~agree).groupBy(name).agg(F.count(F.lit(1)).alias("rows"))

@@ -14,6 +14,7 @@ from armlens.functions.numeric import half_even, ratio
 from armlens.functions.text import fenced_code, grams, tokens
 from armlens.functions.udfs import lcs, stemmed, valid_python
 from armlens.operators.compare import PAIR_KEY, paired_requests
+from armlens.operators.prompts import first_rows
 
 
 def with_reference(outputs: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def preview(text: str, chars: int) -> Column:
 
 def side_by_side(pairs: DataFrame, prompts: DataFrame, n: int = 5) -> DataFrame:
     """First n pairs with their prompt, cut for reading."""
-    shown = pairs.orderBy("prompt_id").limit(n)
+    shown = first_rows(pairs, "prompt_id", n)
     asked = prompts.select(F.col("id").alias("prompt_id"), "prompt")
     return shown.join(asked, "prompt_id", "left").select(
         "prompt_id",

@@ -1,10 +1,9 @@
 """Exact quantiles per group without gathering a group in one task.
 
 Each group's value range is cut in equal-width bins and rows are counted per bin,
-which aggregates partially. The bin that holds a wanted rank becomes the next
-range. After a few rounds the bins left hold few distinct values; these are
-counted and ranked. Data is scanned once per round; only groups times bins rows
-are ever ordered.
+which aggregates partially. The bins that hold the wanted ranks become the next
+ranges. The distinct values left in them are counted and ranked. The data is
+scanned once per round; only groups times bins rows are ever ordered.
 """
 
 from collections.abc import Mapping, Sequence
@@ -12,6 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from armlens.plans.sizes import as_lookup
+
 
 def exact_quantiles(
     df: DataFrame,
@@ -24,109 +25,97 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per group with columns p10, p50, ... (linear interpolation).
 
-    ``extra`` are aggregates over ``_v`` for the first pass, which counts the groups.
+    ``extra`` are numeric aggregates over ``_v`` for the first pass over the rows.
     """
     keys, extra = list(keys), dict(extra or {})
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull()
     )
-    extent = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-        *[e.alias(n) for n, e in extra.items()],
-    )
-    # Two order statistics per probability: the neighbours of (n - 1) * p.
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("p"),
-                (F.floor((F.col("_n") - 1) * F.lit(p)) + F.lit(side)).alias("rank"),
-            )
-            for p in probabilities
-            for side in (0, 1)
-        ]
-    )
-    # A target is a rank inside a value range; one row per (group, rank).
-    targets = (
-        extent.select(*keys, "_lo", "_hi", "_n", F.explode(wanted).alias("w"))
-        .select(*keys, "_lo", "_hi", F.least(F.col("w.rank"), F.col("_n") - 1).alias("_rank"))
-        .distinct()
-        .withColumn("_skip", F.lit(0).cast("long"))
+    ranks = [f"_r{i}" for i in range(2 * len(probabilities))]
+    carried = ["_n", *extra, *ranks]
+    # A range is a group's span of values with the ranks wanted in it, counted from
+    # the range's first row. Two ranks per probability surround (n - 1) * p.
+    ranges = (
+        rows.groupBy(*keys)
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
+            *[e.alias(n) for n, e in extra.items()],
+        )
+        .withColumns(
+            {
+                f"_r{2 * i + side}": F.least(
+                    F.floor((F.col("_n") - 1) * F.lit(p)) + F.lit(side), F.col("_n") - 1
+                )
+                for i, p in enumerate(probabilities)
+                for side in (0, 1)
+            }
+        )
     )
     for _ in range(rounds):
-        targets = _narrow(rows, keys, targets, bins)
-    found = _pick(rows, keys, targets)
-    return _interpolate(extent, found, keys, probabilities, list(extra))
+        ranges = _narrowed(rows, keys, as_lookup(ranges), ranks, carried, bins)
+    return _picked(rows, keys, as_lookup(ranges), ranks, carried, probabilities, list(extra))
 
 
-def _ranges(targets: DataFrame, keys: list[str]) -> DataFrame:
-    return targets.select(*keys, "_lo", "_hi").distinct()
+def _inside(rows: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
+    return rows.join(ranges, keys).filter(
+        (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    )
 
 
-def _narrow(rows: DataFrame, keys: list[str], targets: DataFrame, bins: int) -> DataFrame:
+def _placed(counted: DataFrame, keys: list[str], order: str, ranks: list[str]) -> DataFrame:
+    """Ranks counted from each row of ``counted``; NULL where they fall elsewhere."""
+    before = Window.partitionBy(*keys, "_lo", "_hi").orderBy(order)
+    placed = counted.withColumn("_below", F.sum("_c").over(before) - F.col("_c"))
+    here = {
+        r: F.when(
+            (F.col(r) >= F.col("_below")) & (F.col(r) < F.col("_below") + F.col("_c")),
+            F.col(r) - F.col("_below"),
+        )
+        for r in ranks
+    }
+    return placed.withColumns(here).filter(F.coalesce(*ranks).isNotNull())
+
+
+def _narrowed(rows, keys, ranges, ranks, carried, bins) -> DataFrame:
     width = F.col("_hi") - F.col("_lo")
     index = F.when(
         width > 0,
         F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(bins)), F.lit(bins - 1)),
     ).otherwise(F.lit(0))
     counted = (
-        rows.join(_ranges(targets, keys), keys)
-        .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        _inside(rows, keys, ranges)
         .groupBy(*keys, "_lo", "_hi", index.alias("_bin"))
         .agg(
             F.count(F.lit(1)).alias("_c"),
             F.min("_v").alias("_bin_lo"),
             F.max("_v").alias("_bin_hi"),
+            *[F.max(c).alias(c) for c in carried],
         )
     )
-    before = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_bin")
-    placed = counted.withColumn("_below", F.sum("_c").over(before) - F.col("_c"))
-    inside = (F.col("_rank") - F.col("_skip") >= F.col("_below")) & (
-        F.col("_rank") - F.col("_skip") < F.col("_below") + F.col("_c")
-    )
-    return (
-        targets.join(placed, [*keys, "_lo", "_hi"])
-        .filter(inside)
-        .select(
-            *keys,
-            F.col("_bin_lo").alias("_lo"),
-            F.col("_bin_hi").alias("_hi"),
-            "_rank",
-            (F.col("_skip") + F.col("_below")).alias("_skip"),
-        )
+    return _placed(counted, keys, "_bin", ranks).select(
+        *keys, F.col("_bin_lo").alias("_lo"), F.col("_bin_hi").alias("_hi"), *carried
     )
 
 
-def _pick(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
-    """Rank the distinct values left in each target range."""
+def _picked(rows, keys, ranges, ranks, carried, probabilities, extra) -> DataFrame:
     values = (
-        rows.join(_ranges(targets, keys), keys)
-        .filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        _inside(rows, keys, ranges)
         .groupBy(*keys, "_lo", "_hi", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"), *[F.max(c).alias(c) for c in carried])
     )
-    order = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_v")
-    ranked = values.withColumn("_below", F.sum("_c").over(order) - F.col("_c"))
-    here = F.col("_rank") - F.col("_skip")
-    return (
-        targets.join(ranked, [*keys, "_lo", "_hi"])
-        .filter((here >= F.col("_below")) & (here < F.col("_below") + F.col("_c")))
-        .select(*keys, "_rank", "_v")
+    found = _placed(values, keys, "_v", ranks)
+    at = {r: F.max(F.when(F.col(r).isNotNull(), F.col("_v"))) for r in ranks}
+    out = found.groupBy(*keys).agg(
+        F.max("_n").alias("_n"),
+        *[F.max(c).alias(c) for c in extra],
+        *[e.alias(r) for r, e in at.items()],
     )
-
-
-def _interpolate(extent, found, keys, probabilities, extra) -> DataFrame:
-    joined = extent.select(*keys, "_n", *extra).join(found, keys)
-    aggs = [F.max(c).alias(c) for c in extra]
-    for p in probabilities:
+    quantiles = []
+    for i, p in enumerate(probabilities):
+        low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
         place = (F.col("_n") - 1) * F.lit(p)
-        low = F.max(F.when(F.col("_rank") == F.floor(place), F.col("_v")))
-        high = F.max(
-            F.when(
-                F.col("_rank") == F.least(F.floor(place) + 1, F.col("_n") - 1), F.col("_v")
-            )
-        )
-        part = F.max(place - F.floor(place))
-        aggs.append((low + (high - low) * part).alias(f"p{round(p * 100):02d}"))
-    return joined.groupBy(*keys).agg(*aggs)
+        part = place - F.floor(place)
+        quantiles.append((low + (high - low) * part).alias(f"p{round(p * 100):02d}"))
+    return out.select(*keys, *extra, *quantiles)

@@ -1,0 +1,18 @@
+"""Size checks before a broadcast."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_LOCAL_ROWS = 20_000
+
+
+def as_lookup(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
+    """A frame to join with: broadcast if it has at most ``max_rows`` rows.
+
+    The rows are fetched up to that limit, which also keeps a small result from
+    being computed again. A larger frame comes back as it is, and the join shuffles.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -1,6 +1,7 @@
 """Report tables as CSV."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -11,5 +12,5 @@ def write_table(df: DataFrame, path: str) -> None:
     ).option("nullValue", "").csv(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)

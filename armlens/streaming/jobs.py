@@ -1,9 +1,8 @@
 """Structured Streaming forms of the chunk fold and the summaries."""
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from armlens import schema as S
 from armlens.operators import chunks, views
@@ -39,14 +38,40 @@ def fold_sessions(
     return chunks.request_metrics(folded, timeout_s, require_terminal=require_terminal)
 
 
-def live_totals(log: DataFrame) -> DataFrame:
-    """Progress of every running request, for update mode."""
-    parsed = chunks.parse_lines(log)
-    return parsed.groupBy("request_id", "system").agg(
-        F.sum(F.coalesce(F.length("content"), F.lit(0))).alias("chars"),
-        F.min("micros").alias("start_us"),
-        F.max("micros").alias("last_us"),
-    ).withColumn("est_tokens", F.expr("chars div 4"))
+def live_totals(log: DataFrame, delay: str = "120 seconds", span: str = "1 hour") -> DataFrame:
+    """Progress of every running request per time span, for update mode.
+
+    Spans behind the watermark leave the state, so it holds live requests only.
+    """
+    parsed = chunks.parse_lines(log.withWatermark("ts", delay))
+    return (
+        parsed.groupBy("request_id", "system", F.window("ts", span))
+        .agg(
+            F.sum(F.coalesce(F.length("content"), F.lit(0)).cast("bigint")).alias("chars"),
+            F.min("micros").alias("start_us"),
+            F.max("micros").alias("last_us"),
+        )
+        .select(
+            "request_id", "system", F.col("window.start").alias("span"), "chars", "start_us", "last_us"
+        )
+    )
+
+
+def request_progress(totals: DataFrame) -> DataFrame:
+    """Current progress per request from the written updates: the last update of
+    each span, then all spans together."""
+    current = totals.groupBy("request_id", "system", "span").agg(
+        *[F.max_by(c, "batch").alias(c) for c in ("chars", "start_us", "last_us")]
+    )
+    return (
+        current.groupBy("request_id", "system")
+        .agg(
+            F.sum("chars").alias("chars"),
+            F.min("start_us").alias("start_us"),
+            F.max("last_us").alias("last_us"),
+        )
+        .withColumn("est_tokens", F.expr("chars div 4"))
+    )
 
 
 def incremental_means(requests: DataFrame) -> DataFrame:
@@ -80,23 +105,32 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
     ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def replace_in(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> None:
-    """Keep a small result table current: each batch replaces it."""
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-
-    run_batches(stream, replace, checkpoint, mode)
+def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:
+    """Write what each batch changed (update mode) or the whole small result
+    (complete mode) to a folder of its own. A repeated batch replaces its folder."""
 
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+            f"{path}/batch={number}"
+        )
 
-def run_batches(
-    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str
-) -> None:
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(
         mode
     ).trigger(availableNow=True).start().awaitTermination()
 
 
+def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType(schema.fields).add("batch", LongType())).parquet(path)
+
+
+def last_batch(batches: DataFrame) -> DataFrame:
+    """The newest result of a complete-mode stream."""
+    newest = batches.agg(F.max("batch").alias("_newest"))
+    return batches.join(F.broadcast(newest), F.col("batch") == F.col("_newest")).drop(
+        "batch", "_newest"
+    )
+
+
 def drain_row(spark: SparkSession) -> DataFrame:
     """The closing row of a staged chunk log."""
     empty = spark.range(1)
