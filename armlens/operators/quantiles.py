@@ -80,9 +80,10 @@ def _placed(counted: DataFrame, keys: list[str], order: str, ranks: list[str]) -
 
 def _narrowed(rows, keys, ranges, ranks, carried, bins) -> DataFrame:
     width = F.col("_hi") - F.col("_lo")
+    # A small group needs few bins; many would only keep its rows apart.
+    count = F.greatest(F.least(F.expr("_n div 64"), F.lit(bins)), F.lit(16))
     index = F.when(
-        width > 0,
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(bins)), F.lit(bins - 1)),
+        width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * count), count - 1)
     ).otherwise(F.lit(0))
     counted = (
         _inside(rows, keys, ranges)
