@@ -17,7 +17,7 @@ def _fields(lines: DataFrame, schema: T.StructType) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A chunk log (``schema.CHUNK_LOG``) or counter log (``schema.COUNTER_LOG``)."""
-    return _fields(spark.read.text(path), schema)
+    return _fields(spark.read.text(path, lineSep="\n"), schema)
 
 
 def stream_log(
@@ -26,7 +26,7 @@ def stream_log(
     reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _fields(reader.text(path), schema)
+    return _fields(reader.text(path, lineSep="\n"), schema)
 
 
 def log_lines(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -35,4 +35,4 @@ def log_lines(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_log(df: DataFrame, path: str, schema: T.StructType) -> None:
-    log_lines(df, schema).write.mode("append").text(path)
+    log_lines(df, schema).write.mode("append").text(path, lineSep="\n")
