@@ -59,6 +59,10 @@ def _fold_sql(require_terminal: bool = False, estimate: bool = False) -> str:
     {exact_r('cost_raw', 8)} AS gpu_cost_usd, chunks, chars, error, end_us FROM rated)"""
 
 
+def _mean(c: str) -> str:
+    return f"CAST(sum(CAST({c} AS DECIMAL(20, 2))) AS DOUBLE) / nullif(count({c}), 0)"
+
+
 _METRICS = (
     "request_id, system, gpu_type, ttft_ms, tpot_ms, total_latency_ms, output_tokens, tokens_per_sec,"
     " gpu_cost_usd, chunks, chars, error"
@@ -94,12 +98,14 @@ def timeouts(spark, sf_dir):
 
 
 @query(
-    f"""{_LIVE} SELECT request_id, string_agg(content, '' ORDER BY micros, seq) AS output_text FROM live
-    WHERE content IS NOT NULL GROUP BY request_id"""
+    f"""{_LIVE}, placed AS (SELECT *, CAST((sum(length(content)) OVER (PARTITION BY request_id ORDER BY micros, seq)
+      - length(content)) // 16 AS BIGINT) AS part FROM live WHERE content IS NOT NULL)
+    SELECT request_id, part, string_agg(content, '' ORDER BY micros, seq) AS output_text FROM placed
+    GROUP BY request_id, part"""
 )
 def output_texts(spark, sf_dir):
-    """The text of each request put together from its chunks."""
-    return chunks.output_texts(A.chunk_log(spark, sf_dir))
+    """The text of each request put together from its chunks, in parts of 16 characters."""
+    return chunks.output_texts(A.chunk_log(spark, sf_dir), part_chars=16)
 
 
 @query(
@@ -188,8 +194,8 @@ def stream_progress(spark, sf_dir):
 @query(
     f"""{_fold_sql()} SELECT strftime(date_trunc('day', make_timestamp(end_us)), '%Y-%m-%d') AS day,
     CASE WHEN system = 'baseline' THEN 'base' ELSE 'spec' END AS arm, count(*) AS requests,
-    {r('avg(tokens_per_sec)')} AS avg_tps, {r('avg(ttft_ms)')} AS avg_ttft_ms, {r('avg(tpot_ms)')} AS avg_tpot_ms,
-    {r('sum(coalesce(gpu_cost_usd, 0))')} AS cost_usd FROM metrics GROUP BY ALL"""
+    {r(_mean('tokens_per_sec'), 4)} AS avg_tps, {r(_mean('ttft_ms'), 4)} AS avg_ttft_ms, {r(_mean('tpot_ms'), 4)} AS avg_tpot_ms,
+    {r('CAST(sum(CAST(coalesce(gpu_cost_usd, 0) AS DECIMAL(20, 8))) AS DOUBLE)')} AS cost_usd FROM metrics GROUP BY ALL"""
 )
 def stream_window_ab(spark, sf_dir):
     """Both arms' averages per day over a stream of finished requests."""
@@ -211,7 +217,9 @@ def stream_window_ab(spark, sf_dir):
     return tidy(
         out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")).withColumnRenamed(
             "window_start", "day"
-        )
+        ),
+        4,
+        cost_usd=6,
     )
 
 
@@ -274,7 +282,7 @@ def acceptance_asof(spark, sf_dir):
 
 
 @query(
-    f"""{_RATES}, per_cell AS (SELECT CAST(server AS BIGINT) % 5 AS c, {r('avg(acceptance_rate)')} AS rate FROM rates
+    f"""{_RATES}, per_cell AS (SELECT CAST(server AS BIGINT) % 5 AS c, max(acceptance_rate) AS rate FROM rates
       GROUP BY ALL),
     log2 AS ({A.REQUESTS_SQL})
     SELECT system, gpu_type, task, concurrency, trial, count(*) AS n, max(CASE WHEN system = 'eagle3' THEN rate END)
@@ -284,8 +292,8 @@ def cell_acceptance(spark, sf_dir):
     """Copy each cell's scraped rate onto its treatment requests."""
     rates = counters.scrape_rates(A.counter_log(spark, sf_dir))
     place = F.expr("get(array(1, 4, 8, 16, 32), CAST(server AS INT) % 5)")
-    per_cell = tidy(
-        rates.groupBy(place.alias("concurrency")).agg(F.avg("acceptance_rate").alias("acceptance_rate"))
+    per_cell = rates.groupBy(place.alias("concurrency")).agg(
+        F.max("acceptance_rate").alias("acceptance_rate")
     )
     rows = A.requests(spark, sf_dir).drop("acceptance_rate")
     cells = rows.select(*S.CELL).distinct().join(per_cell, "concurrency")

@@ -59,7 +59,7 @@ _LINE = (
 @query(
     f"""{REQ}
     SELECT system, count(*) AS n, count(error) AS failed, CAST(sum(output_tokens) AS BIGINT) AS tokens,
-           {r('avg(seen_ttft)')} AS avg_ttft_ms FROM ({_LINE}) GROUP BY system
+           {r('avg(seen_ttft)', 4)} AS avg_ttft_ms FROM ({_LINE}) GROUP BY system
     UNION ALL
     SELECT '(malformed)', count(*), 0, 0, NULL FROM requests WHERE l_partkey % 97 = 0"""
 )
@@ -93,7 +93,7 @@ def requests_scan(spark, sf_dir):
         F.lit(0).cast("bigint").alias("tokens"),
         F.lit(None).cast("double").alias("avg_ttft_ms"),
     )
-    return tidy(per_system.unionByName(bad))
+    return tidy(per_system.unionByName(bad), 4)
 
 
 _FILE = (
@@ -825,9 +825,9 @@ def stream_ingest(spark, sf_dir):
 
 
 @query(
-    f"""{REQ} SELECT system, gpu_type, task, concurrency, {r('avg(ttft_ms)')} AS ttft_ms,
-    {r('avg(tpot_ms)')} AS tpot_ms, {r('avg(tokens_per_sec)')} AS tokens_per_sec,
-    {r('avg(gpu_cost_usd)')} AS gpu_cost_usd FROM requests WHERE ttft_ms IS NOT NULL
+    f"""{REQ} SELECT system, gpu_type, task, concurrency, {r('avg(ttft_ms)', 4)} AS ttft_ms,
+    {r('avg(tpot_ms)', 4)} AS tpot_ms, {r('avg(tokens_per_sec)', 4)} AS tokens_per_sec,
+    {r('avg(gpu_cost_usd)', 8)} AS gpu_cost_usd FROM requests WHERE ttft_ms IS NOT NULL
     GROUP BY system, gpu_type, task, concurrency"""
 )
 def stream_summary(spark, sf_dir):
@@ -836,4 +836,5 @@ def stream_summary(spark, sf_dir):
     source.write_request_lines(log(spark, sf_dir), f"{root}/in")
     means = jobs.incremental_means(source.stream_requests(spark, f"{root}/in", max_files=4))
     jobs.write_batches(means, f"{root}/out", f"{root}/checkpoint", "complete")
-    return tidy(jobs.last_batch(jobs.read_batches(spark, f"{root}/out", means.schema)))
+    newest = jobs.last_batch(jobs.read_batches(spark, f"{root}/out", means.schema))
+    return tidy(newest, 4, gpu_cost_usd=8)

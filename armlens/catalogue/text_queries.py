@@ -284,6 +284,26 @@ def rouge_verdict(spark, sf_dir):
     return tidy(quality.consistency(scored), 5)
 
 
+_THREE = f"""FROM ({_CONV_PAIRS}) p JOIN {_rouge_sql(_CONV_PAIRS, 1)} x USING (pair_id)
+    JOIN {_rouge_sql(_CONV_PAIRS, 2)} y USING (pair_id) JOIN {_rouge_l_sql(_CONV_PAIRS)} z USING (pair_id)"""
+
+
+@query(f"SELECT pair_id, task, {r('x.f')} AS rouge1, {r('y.f')} AS rouge2, {r('z.f')} AS rougeL {_THREE}")
+def rouge_scores(spark, sf_dir):
+    """The three scores of every output pair."""
+    return tidy(quality.all_rouge(conversation_pairs(spark, sf_dir), ["task"]))
+
+
+@query(
+    f"""SELECT task, {r('avg(x.f)', 4)} AS rouge1, {r('avg(y.f)', 4)} AS rouge2, {r('avg(z.f)', 4)} AS rougeL,
+    count(*) AS n {_THREE} GROUP BY task"""
+)
+def rouge_means(spark, sf_dir):
+    """Mean of the three scores per task, 4 digits."""
+    scored = quality.all_rouge(conversation_pairs(spark, sf_dir), ["task"])
+    return quality.rouge_summary(scored, ["task"])
+
+
 def _fence_sql(c: str) -> str:
     return (
         f"CASE WHEN contains({c}, '```python') THEN split_part(substr({c}, strpos({c}, '```python') + 9), '```', 1)"

@@ -45,6 +45,13 @@ def not_nan(c) -> Column:
     return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
+def exact_mean(c, digits: int = 2) -> Column:
+    """Mean of values logged with a fixed number of decimals. The sum is a decimal,
+    so it is the same in whatever order the rows arrive."""
+    total = F.sum(col(c).cast(f"decimal(20,{digits})")).cast("double")
+    return ratio(total, F.count(col(c)).cast("double"))
+
+
 def percent(c, digits: int = 0) -> Column:
     return F.format_string(f"%.{digits}f%%", col(c) * 100)
 

@@ -17,6 +17,7 @@ DONE_MARK = "[DONE]"
 ERROR_MARK = "error: "
 
 MICROS = 1_000_000
+PART_CHARS = 1_000_000
 
 
 def parse_lines(log: DataFrame) -> DataFrame:
@@ -166,14 +167,27 @@ def fold(
     return request_metrics(folded, timeout_s, estimate, rates, require_terminal)
 
 
-def output_texts(log: DataFrame) -> DataFrame:
-    """The output text of each request: one value, so it is put together in one place.
+def output_texts(
+    log: DataFrame, part_chars: int = PART_CHARS, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """The output text of each request, put together from its chunks.
 
-    Only content travels; use the fold's ``chars`` where the text is not needed.
+    A text is one row (``part`` 0) up to ``part_chars`` characters; a longer one
+    continues in further parts, so no task gathers an unbounded list.
     """
     lines = until_terminal(parse_lines(log)).filter(F.col("content").isNotNull())
+    size = F.length("content").cast("bigint")
+    upto = running(
+        lines.select("request_id", "micros", "seq", "content"),
+        ["request_id"],
+        ["micros", "seq"],
+        sums={"chars": size},
+        measured=log,
+        rows_per_slice=rows_per_slice,
+    )
+    part = F.floor((F.col("chars") - size) / F.lit(part_chars))
     ordered = F.sort_array(F.collect_list(F.struct("micros", "seq", "content")))
-    return lines.groupBy("request_id").agg(
+    return upto.groupBy("request_id", part.alias("part")).agg(
         F.concat_ws("", F.transform(ordered, lambda c: c["content"])).alias("output_text")
     )
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from armlens import schema as S
+from armlens.functions.numeric import exact_mean
 from armlens.operators import chunks, views
 from armlens.operators.summary import dashboard_means
 
@@ -89,10 +90,12 @@ def window_averages(
         .groupBy(F.window("ended_at", window), "arm")
         .agg(
             F.count(F.lit(1)).alias("requests"),
-            F.avg("tokens_per_sec").alias("avg_tps"),
-            F.avg("ttft_ms").alias("avg_ttft_ms"),
-            F.avg("tpot_ms").alias("avg_tpot_ms"),
-            F.sum(F.coalesce(F.col("gpu_cost_usd"), F.lit(0.0))).alias("cost_usd"),
+            exact_mean("tokens_per_sec").alias("avg_tps"),
+            exact_mean("ttft_ms").alias("avg_ttft_ms"),
+            exact_mean("tpot_ms").alias("avg_tpot_ms"),
+            F.sum(F.coalesce(F.col("gpu_cost_usd"), F.lit(0.0)).cast("decimal(20,8)"))
+            .cast("double")
+            .alias("cost_usd"),
         )
         .select(F.col("window.start").alias("window_start"), "arm", "requests", "avg_tps", "avg_ttft_ms", "avg_tpot_ms", "cost_usd")
     )

@@ -85,6 +85,8 @@ def test_fold_with_terminal_and_estimate(log):
 def test_texts_and_progress(log):
     texts = by_request(chunks.output_texts(log))
     assert texts["one_token_per_chunk"].output_text == "Hello you" and "no_content" not in texts
+    parts = chunks.output_texts(log, part_chars=4, rows_per_slice=1).orderBy("request_id", "part").collect()
+    assert [(r.part, r.output_text) for r in parts if r.request_id == "one_token_per_chunk"] == [(0, "Hello"), (1, " you")]
     for limit in (2, 1000):
         got = [r for r in chunks.race_progress(log, limit).collect() if r.request_id == "one_token_per_chunk"]
         assert sorted((r.est_tokens, r.elapsed_s, r.est_tokens_per_sec) for r in got) == [(1, 1.0, 1.0), (2, 2.0, 1.0)]
