@@ -14,25 +14,22 @@ def half_even(c, digits: int) -> Column:
     return F.rint(col(c) * scale) / scale
 
 
-def exact_round(c, digits: int) -> Column:
+def exact_round(name: str, digits: int) -> Column:
     """Round on the exact binary value: the rule of logged per-request numbers.
 
     ``x * scale`` may round onto an apparent tie. The lost part of the product is
-    recovered by splitting ``x`` in two 26-bit halves, and decides such a tie.
+    recovered by splitting ``x`` in two 26-bit halves, and decides such a tie. Takes
+    a column, not an expression, since it is named many times.
     """
-    x = col(c)
-    scale = F.lit(float(10**digits))
-    product = x * scale
-    split = x * F.lit(134217729.0)
-    high = split - (split - x)
-    lost = (high * scale - product) + (x - high) * scale
-    tie = (product - F.floor(product)) == 0.5
-    rounded = (
-        F.when(tie & (lost > 0), F.ceil(product).cast("double"))
-        .when(tie & (lost < 0), F.floor(product).cast("double"))
-        .otherwise(F.rint(product))
+    x, scale = f"`{name}`", f"{10**digits}D"
+    product = f"({x} * {scale})"
+    high = f"({x} * 134217729D - ({x} * 134217729D - {x}))"
+    lost = f"(({high} * {scale} - {product}) + ({x} - {high}) * {scale})"
+    return F.expr(
+        f"""CASE WHEN {product} - floor({product}) = 0.5D AND {lost} > 0 THEN double(ceil({product}))
+        WHEN {product} - floor({product}) = 0.5D AND {lost} < 0 THEN double(floor({product}))
+        ELSE rint({product}) END / {scale}"""
     )
-    return rounded / scale
 
 
 def ratio(a, b) -> Column:
