@@ -200,9 +200,8 @@ def stream_progress(spark, sf_dir):
 def stream_window_ab(spark, sf_dir):
     """Both arms' averages per day over a stream of finished requests."""
     root = shared_dir(spark, "windows")
-    lines = chunks.until_terminal(chunks.parse_lines(A.chunk_log(spark, sf_dir)))
-    folded = lines.groupBy("request_id").agg(*chunks.fold_aggregates())
-    done = chunks.request_metrics(folded, TIMEOUT_S, keep=["end_us"]).withColumn(
+    totals = chunks.folded(A.chunk_log(spark, sf_dir))
+    done = chunks.request_metrics(totals, TIMEOUT_S, keep=["end_us"]).withColumn(
         "ended_at", F.timestamp_micros("end_us")
     )
     done.write.parquet(f"{root}/in")

@@ -9,6 +9,7 @@ from armlens import schema as S
 from armlens.functions.numeric import exact_round, ratio
 from armlens.functions.text import strip
 from armlens.operators import views
+from armlens.plans.sizes import splittable
 from armlens.plans.sliced import ROWS_PER_SLICE, running
 
 # The marks of the line grammar.
@@ -52,44 +53,54 @@ def parse_lines(log: DataFrame) -> DataFrame:
 def until_terminal(parsed: DataFrame) -> DataFrame:
     """Drop lines after a request's first [DONE] or error line; a client stops there.
 
-    Only requests with a terminal line are on the right side. A hot request is
-    split by the adaptive skew join.
+    ``seq`` orders a request's lines. Adds ``closed``, and ``error`` becomes that of
+    the request. Only requests with a terminal line are on the right side; the
+    adaptive skew join splits a hot request over several tasks.
     """
-    place = F.struct("micros", "seq")
     ends = (
         parsed.filter(F.col("is_done") | F.col("error").isNotNull())
         .groupBy("request_id")
-        .agg(F.min(place).alias("_end"))
+        .agg(F.min("seq").alias("_end"), F.min_by("error", "seq").alias("_error"))
     )
     return (
-        parsed.join(ends, "request_id", "left")
-        .filter(F.col("_end").isNull() | (place <= F.col("_end")))
-        .drop("_end")
+        parsed.join(splittable(ends, ["request_id"]), "request_id", "left")
+        .filter(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
+        .withColumns({"closed": F.col("_end").isNotNull(), "error": F.col("_error")})
+        .drop("_end", "_error")
     )
 
 
-def fold_aggregates() -> list[Column]:
-    """What one request needs from its lines; all of it aggregates partially."""
+def line_totals() -> list[Column]:
+    """What one request needs from its lines: numbers only, so that each task folds
+    its lines in a hash map before they are shuffled."""
     has_content = F.col("content").isNotNull()
     return [
-        F.min("system").alias("system"),
-        F.min("gpu_type").alias("gpu_type"),
         F.min("micros").alias("start_us"),
         F.min(F.when(has_content, F.col("micros"))).alias("first_us"),
         F.max("micros").alias("end_us"),
         F.count_if(has_content).alias("chunks"),
         F.sum(F.coalesce(F.length("content"), F.lit(0)).cast("bigint")).alias("chars"),
-        F.max_by(
-            "usage_tokens",
-            F.when(F.col("usage_tokens").isNotNull(), F.struct("micros", "seq")),
-        ).alias("usage_tokens"),
-        F.max(F.col("is_done") | F.col("error").isNotNull()).alias("closed"),
-        F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("micros", "seq"))).alias(
-            "error"
+        F.max_by("usage_tokens", F.when(F.col("usage_tokens").isNotNull(), F.col("seq"))).alias(
+            "usage_tokens"
         ),
     ]
 
 
+def terminal_totals() -> list[Column]:
+    """How a request ended, where its lines were not cut at the end before."""
+    failed = F.col("error").isNotNull()
+    return [
+        F.max(F.col("is_done") | failed).alias("closed"),
+        F.min_by("error", F.when(failed, F.col("seq"))).alias("error"),
+    ]
+
+
+def folded(log: DataFrame) -> DataFrame:
+    """One row of totals per request. Arm, hardware and end are the same on all lines."""
+    lines = until_terminal(parse_lines(log))
+    return lines.groupBy("request_id", "system", "gpu_type", "closed", "error").agg(*line_totals())
+
+
 def token_count(estimate: bool = False) -> Column:
     """The server's count, else the content chunks; or, as an estimate where the
     count is missing or 0, a quarter of the characters and at least one."""
@@ -100,7 +111,7 @@ def token_count(estimate: bool = False) -> Column:
 
 
 def request_metrics(
-    folded: DataFrame,
+    totals: DataFrame,
     timeout_s: float = S.REQUEST_TIMEOUT_S,
     estimate: bool = False,
     rates: DataFrame | None = None,
@@ -115,7 +126,7 @@ def request_metrics(
     if require_terminal:
         late = late | ~F.col("closed")
     seconds = lambda a, b: (F.col(b) - F.col(a)) / float(MICROS)
-    out = folded.withColumns(
+    out = totals.withColumns(
         {
             "error": F.when(late, F.lit("timeout")).otherwise(F.col("error")),
             "latency_s": F.when(late, F.lit(float(timeout_s))).otherwise(
@@ -162,9 +173,7 @@ def fold(
     require_terminal: bool = False,
 ) -> DataFrame:
     """One metrics row per request from its logged lines."""
-    lines = until_terminal(parse_lines(log))
-    folded = lines.groupBy("request_id").agg(*fold_aggregates())
-    return request_metrics(folded, timeout_s, estimate, rates, require_terminal)
+    return request_metrics(folded(log), timeout_s, estimate, rates, require_terminal)
 
 
 def output_texts(
@@ -178,15 +187,15 @@ def output_texts(
     lines = until_terminal(parse_lines(log)).filter(F.col("content").isNotNull())
     size = F.length("content").cast("bigint")
     upto = running(
-        lines.select("request_id", "micros", "seq", "content"),
+        lines.select("request_id", "seq", "content"),
         ["request_id"],
-        ["micros", "seq"],
+        ["seq"],
         sums={"chars": size},
         measured=log,
         rows_per_slice=rows_per_slice,
     )
     part = F.floor((F.col("chars") - size) / F.lit(part_chars))
-    ordered = F.sort_array(F.collect_list(F.struct("micros", "seq", "content")))
+    ordered = F.sort_array(F.collect_list(F.struct("seq", "content")))
     return upto.groupBy("request_id", part.alias("part")).agg(
         F.concat_ws("", F.transform(ordered, lambda c: c["content"])).alias("output_text")
     )
@@ -204,7 +213,7 @@ def race_progress(log: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataF
     run = running(
         lines,
         ["request_id"],
-        ["micros", "seq"],
+        ["seq"],
         sums={"chars": F.coalesce(F.length("content"), F.lit(0)).cast("bigint")},
         minima={"start_us": F.col("micros")},
         measured=log,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from armlens import schema as S
 from armlens.functions.numeric import exact_round, ratio
+from armlens.plans.sizes import as_lookup
 from armlens.plans.sliced import ROWS_PER_SLICE, next_known, previous
 
 
@@ -107,7 +108,7 @@ def attach_cell_acceptance(requests: DataFrame, cell_rates: DataFrame) -> DataFr
     """Copy a cell's acceptance rate onto its treatment requests."""
     rates = cell_rates.select(*S.CELL, F.col("acceptance_rate").alias("_rate"))
     return (
-        requests.join(rates, S.CELL, "left")
+        requests.join(as_lookup(rates, S.CELL), S.CELL, "left")
         .withColumn("acceptance_rate", F.when(F.col("system") == "eagle3", F.col("_rate")))
         .drop("_rate")
     )

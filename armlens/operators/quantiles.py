@@ -54,8 +54,8 @@ def exact_quantiles(
         )
     )
     for _ in range(rounds):
-        ranges = _narrowed(rows, keys, as_lookup(ranges), ranks, carried, bins)
-    return _picked(rows, keys, as_lookup(ranges), ranks, carried, probabilities, list(extra))
+        ranges = _narrowed(rows, keys, as_lookup(ranges, keys), ranks, carried, bins)
+    return _picked(rows, keys, as_lookup(ranges, keys), ranks, carried, probabilities, list(extra))
 
 
 def _inside(rows: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Size checks before a broadcast."""
+"""Join sides: size check before a broadcast, and skew where there is none."""
+
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -6,13 +8,25 @@ from pyspark.sql import functions as F
 MAX_LOCAL_ROWS = 20_000
 
 
-def as_lookup(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
-    """A frame to join with: broadcast if it has at most ``max_rows`` rows.
+def as_lookup(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_LOCAL_ROWS) -> DataFrame:
+    """A frame with one row per key to join with: broadcast if it has at most
+    ``max_rows`` rows.
 
     The rows are fetched up to that limit, which also keeps a small result from
-    being computed again. A larger frame comes back as it is, and the join shuffles.
+    being computed again. With a larger frame the join shuffles and splits hot keys.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return df
+        return splittable(df, keys)
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def splittable(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A grouped frame as the small side of a join with a hot key.
+
+    The adaptive skew join only splits a hot partition when both sides are fresh
+    shuffles. A frame grouped by the join keys is already partitioned by them and
+    would be joined in place, so its keys are rebuilt to have it shuffled again.
+    It has one row per key, which is cheap next to the other side.
+    """
+    return df.withColumns({k: F.element_at(F.array(k), 1) for k in keys})

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from armlens.plans.sizes import as_lookup
 from armlens.session import shared_dir
 
 ROWS_PER_SLICE = 5_000_000
@@ -52,7 +53,7 @@ def _with_slice(
     span = F.greatest(F.col("_to") - F.col("_from"), F.lit(1))
     place = F.floor((F.col(order) - F.col("_from")) / span * F.col("_parts"))
     return (
-        rows.join(hot_keys(rows, keys, order, rows_per_slice), list(keys), "left")
+        rows.join(as_lookup(hot_keys(rows, keys, order, rows_per_slice), keys), list(keys), "left")
         .withColumn(
             "_slice", F.coalesce(F.least(place, F.col("_parts") - 1), F.lit(0)).cast("bigint")
         )

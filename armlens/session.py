@@ -23,6 +23,8 @@ RUNTIME_CONF = {
     ),
 }
 
+SHUFFLE = "spark.sql.shuffle.partitions"
+
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -45,6 +47,10 @@ def configure(spark: SparkSession) -> SparkSession:
     """Set the run-time options the operators rely on; cluster sizing is left alone."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get(SHUFFLE) == "200":
+        # 200 is the default for a cluster; a stream would open 200 state stores.
+        spark.conf.set(SHUFFLE, str(context.defaultParallelism))
     ship_package(spark)
     return spark
 

@@ -33,10 +33,10 @@ def fold_sessions(
     log ends at a request's terminal line, as a client writes it.
     """
     parsed = chunks.parse_lines(log.withWatermark("ts", delay))
-    folded = parsed.groupBy("request_id", F.session_window("ts", gap)).agg(
-        *chunks.fold_aggregates()
+    totals = parsed.groupBy("request_id", "system", "gpu_type", F.session_window("ts", gap)).agg(
+        *chunks.line_totals(), *chunks.terminal_totals()
     )
-    return chunks.request_metrics(folded, timeout_s, require_terminal=require_terminal)
+    return chunks.request_metrics(totals, timeout_s, require_terminal=require_terminal)
 
 
 def live_totals(log: DataFrame, delay: str = "120 seconds", span: str = "1 hour") -> DataFrame:

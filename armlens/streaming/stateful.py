@@ -52,7 +52,7 @@ class ChunkFold(StatefulProcessor):
         if state["closed"]:
             return
         # One trigger's lines of one request; a client writes them in order.
-        for row in sorted(rows, key=lambda r: (r.micros, r.seq)):
+        for row in sorted(rows, key=lambda r: r.seq):
             advance(state, row)
             if state["closed"]:
                 break

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from armlens.operators import chunks
 from armlens.plans.sizes import as_lookup
 from armlens.plans.sliced import next_known, previous, running
 
@@ -62,6 +63,39 @@ def test_next_known(events, limit):
 
 
 def test_lookup_is_broadcast_only_when_small(spark):
-    small, large = as_lookup(spark.range(10), 10), spark.range(11)
+    small, large = (as_lookup(spark.range(n), ["id"], 10) for n in (10, 11))
     assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
-    assert as_lookup(large, 10) is large
+    assert "ResolvedHint" not in large._jdf.queryExecution().analyzed().toString()
+    assert sorted(r.id for r in large.collect()) == list(range(11))
+
+
+def test_hot_request_is_split(spark):
+    """Without a broadcast the join on a hot request is split by its size."""
+    limits = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+    }
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        n = 100_000
+        ident = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 5000).cast("string")))
+        log = spark.range(0, n, 1, 16).select(
+            ident.alias("request_id"),
+            F.lit("baseline").alias("system"),
+            F.lit("L4").alias("gpu_type"),
+            F.col("id").alias("seq"),
+            F.timestamp_micros("id").alias("ts"),
+            F.when(F.col("id") == n - 1, "data: [DONE]").otherwise('data: {"choices": [{"delta": {"content": "ab"}}]}').alias("line"),
+        )
+        folded = chunks.fold(log)
+        got = {r.request_id: r.chunks for r in folded.collect()}
+        plan = folded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in limits:
+            spark.conf.unset(k)
+    assert got["hot"] == len(range(0, n, 3)) - (1 if (n - 1) % 3 == 0 else 0)
+    assert "SortMergeJoin(skew=true)" in plan

@@ -117,7 +117,7 @@ def test_exact_quantiles_equal_numpy(spark, rounds):
 def test_quantiles_without_small_lookup(spark, monkeypatch):
     from armlens.operators import quantiles
 
-    monkeypatch.setattr(quantiles, "as_lookup", lambda df: df)
+    monkeypatch.setattr(quantiles, "as_lookup", lambda df, keys: df)
     df = spark.range(1000).selectExpr("id % 3 as g", "cast(id as double) as v")
     got = rows(exact_quantiles(df, ["g"], "v", [0.5]), "g")
     assert [p for _, p in got] == [np.median(np.arange(g, 1000, 3)) for g in range(3)]
