@@ -2,8 +2,8 @@
 
 Each group's value range is cut in equal-width bins and rows are counted per bin,
 which aggregates partially. The bins that hold the wanted ranks become the next
-ranges. The distinct values left in them are counted and ranked. The data is
-scanned once per round; only groups times bins rows are ever ordered.
+ranges, until none holds many rows. The distinct values left are counted and ranked.
+The data is scanned once per round; only groups times bins rows are ever ordered.
 """
 
 from collections.abc import Mapping, Sequence
@@ -11,7 +11,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armlens.plans.sizes import as_lookup
+from armlens.plans.sizes import broadcast_rows, fetched, splittable
+
+ROWS_PER_RANGE = 200_000
+MAX_ROUNDS = 12
+# With too many groups to look at, no group is near the size of the data.
+BLIND_ROUNDS = 2
 
 
 def exact_quantiles(
@@ -20,7 +25,7 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     bins: int = 4096,
-    rounds: int = 1,
+    rows_per_range: int = ROWS_PER_RANGE,
     extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per group with columns p10, p50, ... (linear interpolation).
@@ -33,6 +38,7 @@ def exact_quantiles(
     )
     ranks = [f"_r{i}" for i in range(2 * len(probabilities))]
     carried = ["_n", *extra, *ranks]
+    span = ["_lo", "_hi", "_left"]
     # A range is a group's span of values with the ranks wanted in it, counted from
     # the range's first row. Two ranks per probability surround (n - 1) * p.
     ranges = (
@@ -41,6 +47,7 @@ def exact_quantiles(
             F.count(F.lit(1)).alias("_n"),
             F.min("_v").alias("_lo"),
             F.max("_v").alias("_hi"),
+            F.count(F.lit(1)).alias("_left"),
             *[e.alias(n) for n, e in extra.items()],
         )
         .withColumns(
@@ -53,9 +60,18 @@ def exact_quantiles(
             }
         )
     )
-    for _ in range(rounds):
-        ranges = _narrowed(rows, keys, as_lookup(ranges, keys), ranks, carried, bins)
-    return _picked(rows, keys, as_lookup(ranges, keys), ranks, carried, probabilities, list(extra))
+    ranges = ranges.select(*keys, *span, *carried)
+    for number in range(MAX_ROUNDS):
+        small = fetched(ranges)
+        if small is None:
+            ranges, crowded = splittable(ranges, keys), number < BLIND_ROUNDS
+        else:
+            ranges = broadcast_rows(ranges, small)
+            crowded = any(r._left > rows_per_range and r._lo < r._hi for r in small)
+        if not crowded:
+            break
+        ranges = _narrowed(rows, keys, ranges, ranks, carried, bins)
+    return _picked(rows, keys, ranges, ranks, carried, probabilities, list(extra))
 
 
 def _inside(rows: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
@@ -80,8 +96,8 @@ def _placed(counted: DataFrame, keys: list[str], order: str, ranks: list[str]) -
 
 def _narrowed(rows, keys, ranges, ranks, carried, bins) -> DataFrame:
     width = F.col("_hi") - F.col("_lo")
-    # A small group needs few bins; many would only keep its rows apart.
-    count = F.greatest(F.least(F.expr("_n div 64"), F.lit(bins)), F.lit(16))
+    # A short range needs few bins; many would only keep its rows apart.
+    count = F.greatest(F.least(F.expr("_left div 64"), F.lit(bins)), F.lit(16))
     index = F.when(
         width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * count), count - 1)
     ).otherwise(F.lit(0))
@@ -90,13 +106,18 @@ def _narrowed(rows, keys, ranges, ranks, carried, bins) -> DataFrame:
         .groupBy(*keys, "_lo", "_hi", index.alias("_bin"))
         .agg(
             F.count(F.lit(1)).alias("_c"),
+            F.max("_left").alias("_left"),
             F.min("_v").alias("_bin_lo"),
             F.max("_v").alias("_bin_hi"),
             *[F.max(c).alias(c) for c in carried],
         )
     )
     return _placed(counted, keys, "_bin", ranks).select(
-        *keys, F.col("_bin_lo").alias("_lo"), F.col("_bin_hi").alias("_hi"), *carried
+        *keys,
+        F.col("_bin_lo").alias("_lo"),
+        F.col("_bin_hi").alias("_hi"),
+        F.col("_c").alias("_left"),
+        *carried,
     )
 
 

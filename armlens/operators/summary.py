@@ -126,15 +126,16 @@ def cell_report(df: DataFrame) -> DataFrame:
 
 def arm_averages(df: DataFrame, keys: Sequence[str] = ("system", "gpu_type")) -> DataFrame:
     """Averages that skip missing values, costs that count them as 0, and failures."""
-    failed = F.col("error").isNotNull()
-    return keyed(df, keys).groupBy(*keys).agg(
+    numbers = keyed(df, keys).groupBy(*keys).agg(
         F.avg("tpot_ms").alias("avg_tpot_ms"),
         F.avg("tokens_per_sec").alias("avg_tps"),
         F.avg("ttft_ms").alias("avg_ttft_ms"),
         F.sum(F.coalesce(F.col("gpu_cost_usd"), F.lit(0.0))).alias("cost_usd"),
-        F.count_if(failed).alias("failed"),
-        F.min_by("error", F.when(failed, F.col("request_id"))).alias("first_error"),
+        F.count("error").alias("failed"),
     )
+    # A message among the numbers would sort every row; failures are few.
+    first = views.failures(df).groupBy(*keys).agg(F.min_by("error", "request_id").alias("first_error"))
+    return numbers.join(first, list(keys), "left")
 
 
 def latency_tails(

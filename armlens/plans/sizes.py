@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 MAX_LOCAL_ROWS = 20_000
@@ -15,9 +15,17 @@ def as_lookup(df: DataFrame, keys: Sequence[str], max_rows: int = MAX_LOCAL_ROWS
     The rows are fetched up to that limit, which also keeps a small result from
     being computed again. With a larger frame the join shuffles and splits hot keys.
     """
+    rows = fetched(df, max_rows)
+    return splittable(df, keys) if rows is None else broadcast_rows(df, rows)
+
+
+def fetched(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> list[Row] | None:
+    """The rows if there are at most ``max_rows``, else None."""
     rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return splittable(df, keys)
+    return rows if len(rows) <= max_rows else None
+
+
+def broadcast_rows(df: DataFrame, rows: list[Row]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
