@@ -17,7 +17,7 @@ def parse_counters(log: DataFrame) -> DataFrame:
         "line_no",
         F.regexp_extract("line", r"^([A-Za-z_:][A-Za-z0-9_:]*)", 1).alias("name"),
         F.regexp_extract("line", r"\{([^}]*)\}", 1).alias("labels"),
-        F.regexp_extract("line", r"(\S+)\s*$", 1).try_cast("double").alias("value"),
+        F.element_at(F.split(F.rtrim("line"), r"\s+"), -1).try_cast("double").alias("value"),
     )
 
 
