@@ -1,7 +1,9 @@
 """Chunk fold with own state: a row leaves at the terminal line or at the timeout."""
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -99,3 +101,8 @@ def fold_stateful(
         timeMode="EventTime",
     )
     return chunks.request_metrics(folded, timeout_s, require_terminal=True)
+
+
+# A stream starts its processor in a process that does not see shipped packages, so
+# the processor travels with its code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
