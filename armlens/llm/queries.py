@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlens.llm import pii
+from armlens.llm import chat, mixing, pii
 from armlens.llm.frames import table
 from armlens.session import configure
 
@@ -32,3 +32,15 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 def op2_pii(spark, sf_dir):
     """Personal data in every document."""
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
+
+
+@query(chat.ORACLE)
+def op4_chat(spark, sf_dir):
+    """Every conversation formatted, parsed again and digested."""
+    return chat.digest(chat.format_chat(chat.with_conflict(table(spark, sf_dir, "conversations"))))
+
+
+@query()
+def op7_mixing(spark, sf_dir):
+    """All documents mixed to the weights of their sources."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
