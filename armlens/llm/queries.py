@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlens.llm import chat, mixing, pii
+from armlens.llm import chat, decontaminate, mixing, pii, quality, toxicity
 from armlens.llm.frames import table
 from armlens.session import configure
 
@@ -44,3 +44,22 @@ def op4_chat(spark, sf_dir):
 def op7_mixing(spark, sf_dir):
     """All documents mixed to the weights of their sources."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+@query(decontaminate.ORACLE)
+def op1_decontaminate(spark, sf_dir):
+    """Benchmark items in every document."""
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(found)
+
+
+@query()
+def op8_toxicity(spark, sf_dir):
+    """A toxicity score for every document."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_quality(spark, sf_dir):
+    """A quality score for every document."""
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
