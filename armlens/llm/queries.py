@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlens.llm import chat, decontaminate, mixing, pii, quality, toxicity
+from armlens.llm import chat, decontaminate, mixing, pii, quality, tokens, toxicity
 from armlens.llm.frames import table
-from armlens.session import configure
+from armlens.session import configure, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,3 +63,11 @@ def op8_toxicity(spark, sf_dir):
 def op10_quality(spark, sf_dir):
     """A quality score for every document."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_tokens(spark, sf_dir):
+    """Every document tokenised, written as flat files and read back."""
+    folder = shared_dir(spark, "tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), folder, tokens.vocabulary_path())
+    return tokens.read_tokens(spark, folder)
