@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlens.llm import chat, decontaminate, mixing, pii, quality, tokens, toxicity
+from armlens.llm import chat, decontaminate, exact, mixing, pii, quality, tokens, toxicity
 from armlens.llm.frames import table
 from armlens.session import configure, shared_dir
 
@@ -71,3 +71,9 @@ def op5_tokens(spark, sf_dir):
     folder = shared_dir(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents"), folder, tokens.vocabulary_path())
     return tokens.read_tokens(spark, folder)
+
+
+@query(exact.ORACLE)
+def op3_exact_dedup(spark, sf_dir):
+    """Equal texts among all documents."""
+    return exact.dedup(table(spark, sf_dir, "documents"))
