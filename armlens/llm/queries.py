@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlens.llm import chat, decontaminate, exact, mixing, pii, quality, tokens, toxicity
+from armlens.llm import chat, decontaminate, exact, mixing, near, pii, quality, tokens, toxicity
 from armlens.llm.frames import table
 from armlens.session import configure, shared_dir
 
@@ -77,3 +77,9 @@ def op5_tokens(spark, sf_dir):
 def op3_exact_dedup(spark, sf_dir):
     """Equal texts among all documents."""
     return exact.dedup(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_near_dedup(spark, sf_dir):
+    """Classes of near-duplicates among all documents."""
+    return near.near_classes(table(spark, sf_dir, "documents"))
