@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlens.llm import chat, decontaminate, exact, mixing, near, pii, quality, tokens, toxicity
+from armlens.llm import chat, decontaminate, exact, mixing, near, pii, quality, repeats, tokens, toxicity
 from armlens.llm.frames import table
 from armlens.session import configure, shared_dir
 
@@ -83,3 +83,9 @@ def op3_exact_dedup(spark, sf_dir):
 def op6_near_dedup(spark, sf_dir):
     """Classes of near-duplicates among all documents."""
     return near.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query(repeats.ORACLE)
+def op9_substring_dedup(spark, sf_dir):
+    """Passages of 50 words that an earlier document has, removed from all documents."""
+    return repeats.dedup(table(spark, sf_dir, "documents")).drop("removed")
