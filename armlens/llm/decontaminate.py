@@ -116,6 +116,19 @@ def _spans(data: bytes, marks: bytearray) -> list[dict[str, int]]:
     return out
 
 
+def automata(benchmark: DataFrame, window: int = WINDOW, per_automaton: int = WINDOWS_PER_AUTOMATON) -> list:
+    """The windows as broadcast parts of bounded size, each for one automaton; usually there is one."""
+    spark = benchmark.sparkSession
+    windows = written(benchmark_windows(benchmark, window), "windows")
+    shards = -(-windows.count() // per_automaton)
+    parts = []
+    for k in range(shards):
+        mine = windows.filter(F.pmod(F.xxhash64("window"), F.lit(shards)) == k)
+        rows = sorted((bytes(r["window"]), r["items"]) for r in mine.toLocalIterator())
+        parts.append((uuid.uuid4().hex, spark.sparkContext.broadcast(rows)))
+    return parts
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, per_automaton: int = WINDOWS_PER_AUTOMATON) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, items, spans``.
 
@@ -125,14 +138,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, per_
     empty text has no words, an item without words no window; an item without an id marks words but
     is no item; repeated rows are each answered. Without items or documents nothing is hit.
     """
-    spark = docs.sparkSession
-    windows = written(benchmark_windows(benchmark, window), "windows")
-    shards = -(-windows.count() // per_automaton)
-    parts = []
-    for k in range(shards):
-        mine = windows.filter(F.pmod(F.xxhash64("window"), F.lit(shards)) == k)
-        rows = sorted((bytes(r["window"]), r["items"]) for r in mine.toLocalIterator())
-        parts.append((uuid.uuid4().hex, spark.sparkContext.broadcast(rows)))
+    parts = automata(benchmark, window, per_automaton)
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = binary(batch.column(1))
@@ -161,6 +167,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, per_
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that no window of an item occurs in, with all their columns."""
+    parts, at = automata(benchmark), docs.columns.index("text")
+
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        split = [normal_words(t) for t in binary(batch.column(at))]
+        good = [not any(_matcher(*part).scan(words) for part in parts) for words in split]
+        return batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(lambda batches: rows_of(batches, clean), docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",

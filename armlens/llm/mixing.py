@@ -7,6 +7,8 @@ first blocks in the seeded order, a second time through where it takes more than
 all but one of its documents are taken whole.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,13 @@ def _order(seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and ``size``, the words of the text; a null text has none."""
-    return docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
-    )
+def _size(text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _tag() -> Column:
+    """The source as a key without nulls."""
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def targets(sized: DataFrame) -> DataFrame:
     What a capped source leaves goes to the others by weight. With the caps sorted by cap per
     weight, the sources up to some place are capped and the rest share evenly by weight.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
     rank = Window.orderBy(F.col("source").asc_nulls_last())  # one row per source
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(rank) - 1) % len(WEIGHTS) + 1).cast("int"))
     per = per.select("source", "source_size", weight.cast("long").alias("weight"))
@@ -91,6 +95,62 @@ def apportion(claims: DataFrame, keys: list[str], group: list[str], seats: Colum
     )
 
 
+@dataclass
+class Plan:
+    """Targets and numbers of shards by source, and words to take by shard; both written."""
+
+    sources: DataFrame
+    shards: DataFrame
+    seed: str
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows of documents with their source's figures and the shard of their id."""
+        spot = F.conv(F.substring(_order(self.seed), 1, 8), 16, 10).cast("long")
+        return rows.withColumn("_tag", _tag()).join(self.sources, "_tag").withColumn("_shard", spot % F.col("_shards"))
+
+    def taken(self, rows: DataFrame) -> DataFrame:
+        """Rows of documents with ``_taken``, the words that the mix takes of each."""
+        in_order = (
+            Window.partitionBy("_tag", "_shard").orderBy(_order(self.seed), "doc_id", "_size")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        placed = self.dealt(rows).withColumn("_upto", F.sum("_size").over(in_order)).join(self.shards, ["_tag", "_shard"])
+        start = F.col("_upto") - F.col("_size")
+        first = F.greatest(F.least(F.col("_words") - start, F.col("_size")), F.lit(0))
+        second = F.greatest(F.least(F.col("_words") - F.col("_shard_size") - start, F.col("_size")), F.lit(0))
+        return placed.withColumn("_taken", first + second)
+
+
+def plan(sized: DataFrame, block_words: int, shard_words: int, seed: str) -> Plan:
+    """Targets of the sources, blocks of each source, blocks of each of its shards."""
+    per = targets(sized).select(
+        _tag().alias("_tag"),
+        F.col("source_size").alias("_source_size"),
+        F.col("target").alias("_target"),
+        F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long").alias("_shards"),
+    )
+    out = Plan(written(per, "mix-sources"), None, seed)
+    claims = out.sources.select(
+        "_tag", F.col("_target").alias("claim"), F.ceil(F.col("_source_size") * CAP / block_words).cast("long").alias("most")
+    )
+    seats = F.round(F.sum("claim").over(Window.partitionBy()) / block_words).cast("long")
+    quotas = apportion(claims, ["_tag"], [], seats).select("_tag", F.col("quota").alias("blocks"))
+    parts = out.dealt(sized).groupBy("_tag", "_shard").agg(F.sum("_size").alias("_shard_size"))
+    claims = parts.join(quotas, "_tag").withColumns(
+        {"claim": F.col("_shard_size").cast("double"), "most": F.ceil(F.col("_shard_size") * CAP / block_words).cast("long")}
+    )
+    by_shard = apportion(claims, ["_tag", "_shard"], ["_tag"], F.col("blocks"))
+    shards = parts.join(by_shard, ["_tag", "_shard"])
+    shards = shards.select("_tag", "_shard", "_shard_size", (F.col("quota") * block_words).alias("_words"))
+    out.shards = written(shards, "mix-shards")
+    return out
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    """``doc_id, source, _size``, written: the texts are counted once."""
+    return written(docs.select("doc_id", "source", _size().alias("_size")), "mix-sizes")
+
+
 def mix(
     docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED
 ) -> DataFrame:
@@ -98,80 +158,42 @@ def mix(
 
     ``taken`` counts the words the mix takes, repeats included: none, a part, all, all and a part,
     or all twice. A null source is a source of its own, after all others; a null text has size 0;
-    rows that repeat an id are taken one by one. An empty table gives an empty result.
+    rows that repeat an id are taken one by one, in the order of their sizes. An empty table gives an
+    empty result.
     """
-    sized = written(sizes(docs), "mix-sizes")
-    per = written(
-        targets(sized).withColumns(
-            {
-                "shards": F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long"),
-                "tag": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-            }
-        ),
-        "mix-sources",
-    )
-    every = Window.partitionBy()
-    claims = per.select(
-        "tag", F.col("target").alias("claim"), F.ceil(F.col("source_size") * CAP / block_words).cast("long").alias("most")
-    )
-    seats = F.round(F.sum("claim").over(every) / block_words).cast("long")
-    quotas = apportion(claims, ["tag"], [], seats).select("tag", F.col("quota").alias("blocks"))
-
-    # The shard of a document, by its place in the seeded order of ids.
-    spot = F.conv(F.substring(_order(seed), 1, 8), 16, 10).cast("long")
-    tagged = sized.withColumn("tag", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    rows = tagged.join(per.drop("source"), "tag").withColumn("shard", spot % F.col("shards"))
-    parts = rows.groupBy("tag", "shard").agg(F.sum("size").alias("shard_size"))
-    claims = parts.join(quotas, "tag").select(
-        "tag", "shard", "shard_size", "blocks", F.col("shard_size").cast("double").alias("claim"),
-        F.ceil(F.col("shard_size") * CAP / block_words).cast("long").alias("most"),
-    )
-    shard_quotas = apportion(claims, ["tag", "shard"], ["tag"], F.col("blocks"))
-    shards = parts.join(shard_quotas, ["tag", "shard"]).select(
-        "tag", "shard", "shard_size", (F.col("quota") * block_words).alias("words")
-    )
-
-    in_order = (
-        Window.partitionBy("tag", "shard").orderBy(_order(seed), F.col("doc_id"), "size")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = _sized(docs)
+    rows = plan(sized, block_words, shard_words, seed).taken(sized)
+    return rows.select(
+        "doc_id",
+        "source",
+        F.col("_size").alias("size"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        F.col("_taken").alias("taken"),
     )
-    placed = rows.withColumn("upto", F.sum("size").over(in_order)).join(shards, ["tag", "shard"])
-    start = F.col("upto") - F.col("size")
-    first = F.greatest(F.least(F.col("words") - start, F.col("size")), F.lit(0))
-    second = F.greatest(F.least(F.col("words") - F.col("shard_size") - start, F.col("size")), F.lit(0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (first + second).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix: each as often as it is taken, a part as the text's first words.
 
-    All columns stay; ``n_chars`` follows the text where there is such a column. Rows that share
-    an id, source and size are told apart by their order of ids only, so each is taken as often.
+    All columns stay; ``n_chars`` follows the text where there is such a column.
     """
-    taken = mix(docs).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    rows = plan(_sized(docs), BLOCK_WORDS, SHARD_WORDS, SEED).taken(
+        docs.select("doc_id", "source", _size().alias("_size"), whole)
     )
-    taken = taken.groupBy("_id", "_source", "_size").agg(F.sort_array(F.collect_list("_taken")).alias("_takes"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = Window.partitionBy("doc_id", "source", "_n").orderBy("text")
-    numbered = docs.withColumn("_n", size).withColumn("_row", F.row_number().over(same))
-    df = numbered.join(
-        taken,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size")),
-    ).withColumn("_taken", F.element_at("_takes", F.col("_row")))
-    full = F.when(F.col("_n") > 0, F.floor(F.col("_taken") / F.col("_n"))).otherwise(F.lit(0)).cast("int")
-    part = F.when(F.col("_n") > 0, F.col("_taken") % F.col("_n")).otherwise(F.lit(0))
+    has = F.col("_size") > 0
+    full = F.when(has, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
+    part = F.when(has, F.col("_taken") % F.col("_size")).otherwise(F.lit(0))
     head = F.expr(
-        r"regexp_extract(text, concat(r'^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){', _part, '}+'), 0)"
+        r"regexp_extract(_doc.text, concat(r'^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){', _part, '}+'), 0)"
     )
-    df = df.withColumn("_part", part).withColumn(
-        "_texts",
-        F.concat(
-            F.array_repeat(F.col("text"), full),
-            F.when(F.col("_part") > 0, F.array(head)).otherwise(F.array().cast("array<string>")),
-        ),
+    texts = F.concat(
+        F.array_repeat("_doc.text", F.col("_full")),
+        F.when(F.col("_part") > 0, F.array(head)).otherwise(F.array().cast("array<string>")),
     )
-    df = df.withColumn("text", F.explode("_texts"))
+    rows = rows.select("_doc", part.alias("_part"), full.alias("_full")).select("_doc", F.explode(texts).alias("_text"))
+    changed = F.col("_doc").withField("text", F.col("_text"))
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+        changed = changed.withField("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(changed.alias("_doc")).select("_doc.*")

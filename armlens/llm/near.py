@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from armlens.llm.frames import WORDS, binary, gram_hashes, mix, rows_of, word_hashes, written
@@ -67,24 +67,25 @@ def sketch(labels: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n`` (runs), ``words`` (digest of the normalised words) and ``keys`` of each row with an id."""
+    """``doc_id, raw`` (hash of the text), ``n`` (runs), ``words`` (digest of the normalised words) and ``keys`` of each row with an id."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("keys", pa.list_(pa.int64()))]
+        [("doc_id", pa.int64()), ("raw", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("keys", pa.list_(pa.int64()))]
     )
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, words, keys = [], [], []
-        for data in binary(batch.column(1)):
+        for data in binary(batch.column(2)):
             data = data.translate(WORDS)
             found = runs(data)
             n.append(len(found))
             words.append(hashlib.blake2b(b" ".join(data.split()), digest_size=16).digest())
             keys.append(sketch(labelled(found)).view(np.int64) if len(found) else [])
         made = [pa.array(n, pa.int64()), pa.array(words, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), *made], schema=schema)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return rows.mapInArrow(lambda b: rows_of(b, make), "doc_id long, n long, words binary, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), "text")
+    rows = rows.filter("doc_id is not null")
+    return rows.mapInArrow(lambda b: rows_of(b, make), "doc_id long, raw long, n long, words binary, keys array<long>")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -185,10 +186,10 @@ def _fits(n: str, m: str):
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per document row: ``doc_id, class_id, kept``.
+    """One row per document row: ``doc_id, raw`` (hash of the text), ``class_id, kept``.
 
     ``class_id`` is the smallest id that a document is connected with by links, ``kept`` marks the
-    document of that id. Words are runs of letters, digits and non-ASCII characters in lower case. A text
+    document of that id, one row of it. Words are runs of letters, digits and non-ASCII characters in lower case. A text
     without words is like no other and a class of its own; a null id names nothing: such rows have a
     null class and stay. Rows that share an id are compared each by their text.
     """
@@ -230,8 +231,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
         roots = components(found.unionByName(late))
 
     out = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", F.coalesce("root", "rep").alias("class_id"))
+    out = out.select("doc_id", "raw", F.coalesce("root", "rep").alias("class_id"))
     nameless = docs.filter("doc_id is null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("raw"), F.lit(None).cast("long").alias("class_id")
     )
-    return out.unionByName(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    stays = Window.partitionBy("doc_id").orderBy(F.col("doc_id") != F.col("class_id"), "raw")
+    first = (F.col("doc_id") == F.col("class_id")) & (F.row_number().over(stays) == 1)
+    return out.withColumn("kept", first).unionByName(nameless.withColumn("kept", F.lit(True)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each class, with all its columns; rows without an id stay."""
+    kept = near_classes(docs).filter("kept and doc_id is not null")
+    kept = written(kept.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")), "near-kept")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_raw"), whole)
+    same = Window.partitionBy("_id", "_raw").orderBy("_raw")
+    named = rows.join(kept, ["_id", "_raw"], "left_semi").withColumn("_row", F.row_number().over(same)).filter("_row = 1")
+    return named.select("_doc.*").unionByName(docs.filter("doc_id is null"))

@@ -202,3 +202,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns."""
+    model, at = train(docs, labels), docs.columns.index("text")
+
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = [not model or model.score(t) < THRESHOLD for t in binary(batch.column(at))]
+        return batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(lambda batches: rows_of(batches, clean), docs.schema)
