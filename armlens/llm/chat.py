@@ -88,17 +88,18 @@ def format_chat(turns: DataFrame) -> DataFrame:
     )
     df = df.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    once = F.array_join(F.transform("turns", lambda t: _turn(t["role"], t["body"])), "")
-    df = df.select("conv_id", "turns", source.alias("source"), once.alias("once"))
-    df = df.withColumn("whole", _parse(F.col("once")) == F.col("source"))
-    body = F.transform(
-        "turns", lambda t: F.struct(t["role"].alias("role"), F.when(F.col("whole"), t["body"]).otherwise(escape(t["text"])).alias("body"))
-    )
-    df = df.select("conv_id", body.alias("turns"))
-    df = df.select("conv_id", "turns", F.array_join(F.transform("turns", lambda t: _turn(t["role"], t["body"])), "").alias("formatted"))
+    df = df.withColumns({"source": source, "once": _rendered("turns")})
+    # Outside the lambda: the whole conversation is parsed once, not once per turn.
+    escaped = F.transform("turns", lambda t: t.withField("body", escape(t["text"])))
+    df = df.withColumn("turns", F.when(_parse(F.col("once")) == F.col("source"), F.col("turns")).otherwise(escaped))
+    df = df.select("conv_id", "turns", _rendered("turns").alias("formatted"))
     return df.select("conv_id", "formatted", _parse(F.col("formatted")).alias("parsed"), _loss_spans().alias("loss_spans"))
 
 
+def _rendered(turns: str) -> Column:
+    return F.array_join(F.transform(turns, lambda t: _turn(t["role"], t["body"])), "")
+
+
 def _loss_spans() -> Column:
     """Running lengths of the turns; an assistant text starts where its turn does."""
     lengths = F.transform(
