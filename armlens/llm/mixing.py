@@ -197,3 +197,51 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         changed = changed.withField("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
     return rows.select(changed.alias("_doc")).select("_doc.*")
+
+
+def _sql(block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> str:
+    """The same by ranking every quotient."""
+    weights = ", ".join(map(str, WEIGHTS))
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS tag, md5('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS spot,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
+  FROM documents),
+p AS (
+  SELECT tag, source, sum(size)::BIGINT AS source_size,
+         [{weights}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight
+  FROM d GROUP BY tag, source),
+c AS (
+  SELECT tag, source_size, weight, {CAP} * source_size AS cap, row_number() OVER o AS place,
+         (sum(source_size) OVER () * {SHARE[0]} / {SHARE[1]})::DOUBLE
+           - coalesce(sum({CAP} * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open
+  FROM p WINDOW o AS (ORDER BY source_size * 30 / weight, source NULLS LAST)),
+f AS (SELECT min(place) AS place FROM c WHERE rest * weight <= cap * open),
+t AS (
+  SELECT tag, source_size, greatest(ceil(source_size / {shard_words}), 1)::BIGINT AS shards,
+         CASE WHEN f.place IS NULL OR c.place < f.place THEN cap::DOUBLE
+              ELSE (SELECT x.rest FROM c AS x, f AS y WHERE x.place = y.place) * weight
+                   / (SELECT x.open FROM c AS x, f AS y WHERE x.place = y.place) END AS target
+  FROM c, f),
+q AS (
+  SELECT tag, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, tag, k) AS place
+  FROM (SELECT tag, target, unnest(range(ceil(source_size * {CAP} / {block_words})::BIGINT)) AS k FROM t)),
+b AS (
+  SELECT tag, count(*) AS blocks FROM q WHERE place <= (SELECT round(sum(target) / {block_words}) FROM t) GROUP BY tag),
+r AS (SELECT d.*, t.source_size, t.target, ('0x' || spot[:8])::BIGINT % t.shards AS shard FROM d JOIN t USING (tag)),
+h AS (SELECT tag, shard, sum(size)::BIGINT AS shard_size FROM r GROUP BY tag, shard),
+g AS (
+  SELECT tag, shard, row_number() OVER (PARTITION BY tag ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC, shard, k) AS place
+  FROM (SELECT *, unnest(range(ceil(shard_size * {CAP} / {block_words})::BIGINT)) AS k FROM h)),
+w AS (SELECT tag, shard, count(*) * {block_words} AS words FROM g JOIN b USING (tag) WHERE place <= blocks GROUP BY tag, shard),
+u AS (
+  SELECT r.*, shard_size, coalesce(words, 0) AS words,
+         sum(size) OVER (PARTITION BY tag, shard ORDER BY spot, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM r JOIN h USING (tag, shard) LEFT JOIN w USING (tag, shard))
+SELECT doc_id, size, source_size, target,
+       (greatest(least(words - start, size), 0) + greatest(least(words - shard_size - start, size), 0))::BIGINT AS taken
+FROM u"""
+
+
+ORACLE = _sql()

@@ -40,7 +40,7 @@ def op4_chat(spark, sf_dir):
     return chat.digest(chat.format_chat(chat.with_conflict(table(spark, sf_dir, "conversations"))))
 
 
-@query()
+@query(mixing.ORACLE)
 def op7_mixing(spark, sf_dir):
     """All documents mixed to the weights of their sources."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")

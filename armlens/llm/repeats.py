@@ -112,10 +112,10 @@ class Shard:
     def __init__(self, window: int):
         self.window = window
         self.codes: dict[bytes, str] = {}
-        self.pieces: list[tuple[tuple, str]] = []
+        self.pieces: list[tuple[tuple[int, int, int], str]] = []
         self.size = 0
 
-    def add(self, place: tuple, data: bytes) -> None:
+    def add(self, place: tuple[int, int, int], data: bytes) -> None:
         words = data.split()
         self.pieces.append((place, "".join([self._code(w) for w in words])))
         self.size += len(words)
@@ -124,16 +124,13 @@ class Shard:
         number = 0x100 + len(self.codes)
         return self.codes.setdefault(word, chr(number if number < 0xD800 else number + 0x800))
 
-    def first(self) -> tuple[dict[str, tuple], set[str]]:
-        """The first place of each window, by document, and the windows of several documents."""
+    def first(self) -> tuple[dict[str, int], set[str]]:
+        """The first document of each window, and the windows of several documents."""
         w, first, several = self.window, {}, set()
-        for (_, _, doc, raw, at), text in self.pieces:  # in order of documents
+        for (doc, _, _), text in self.pieces:  # in order of documents
             for k in range(len(text) - w + 1):
                 phrase = text[k : k + w]
-                known = first.get(phrase)
-                if known is None:
-                    first[phrase] = (doc, raw, at + k)
-                elif known[0] != doc:
+                if first.setdefault(phrase, doc) != doc:
                     several.add(phrase)
         return first, several
 
@@ -143,9 +140,9 @@ class Shard:
         if several:
             automaton = ahocorasick.Automaton()
             for phrase in several:
-                automaton.add_word(phrase, first[phrase][0])
+                automaton.add_word(phrase, first[phrase])
             automaton.make_automaton()
-            for (_, _, doc, raw, at), text in self.pieces:
+            for (doc, raw, at), text in self.pieces:
                 begin = end = -1
                 for last, earliest in automaton.iter(text):
                     if earliest >= doc:
@@ -160,17 +157,23 @@ class Shard:
                     yield doc, raw, at + begin, at + end
 
     def phrases(self) -> Iterator[tuple[bytes, int, int, int]]:
-        """Digest and first place of each window, for anchors that were split."""
-        words = {c: w for w, c in self.codes.items()}
-        for phrase, (doc, raw, at) in self.first()[0].items():
-            yield hashlib.blake2b(b" ".join([words[c] for c in phrase]), digest_size=16).digest(), doc, raw, at
+        """Digest of each window with all its places in its first document, for anchors that were split."""
+        words, first, w = {c: x for x, c in self.codes.items()}, self.first()[0], self.window
+        digests = {
+            phrase: hashlib.blake2b(b" ".join([words[c] for c in phrase]), digest_size=16).digest() for phrase in first
+        }
+        for (doc, raw, at), text in self.pieces:
+            for k in range(len(text) - w + 1):
+                phrase = text[k : k + w]
+                if first[phrase] == doc:
+                    yield digests[phrase], doc, raw, at + k
 
 
 FOUND = pa.schema([("phrase", pa.binary()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
 def locate(found: DataFrame, window: int, words_per_shard: int = WORDS_PER_SHARD) -> DataFrame:
-    """Covered words per piece (``phrase`` null), and first places of the windows of split anchors."""
+    """Covered words per piece (``phrase`` null), and the windows of split anchors in the first document of the part."""
 
     def answer(shard: Shard, alone: bool) -> pa.RecordBatch:
         rows = [(None, *x) for x in shard.occurrences()]
@@ -191,7 +194,7 @@ def locate(found: DataFrame, window: int, words_per_shard: int = WORDS_PER_SHARD
                         yield answer(shard, alone)
                         shard = Shard(window)
                 group, alone = (anchor, part), parts == 1
-                shard.add((anchor, part, doc, raw, at), words)
+                shard.add((doc, raw, at), words)
         if shard.pieces:
             yield answer(shard, alone)
 
@@ -255,7 +258,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, docs_per_part: int = DOCS_PER_P
     texts = written(_texts(docs).dropDuplicates(["doc_id", "raw"]).join(recurring, ["doc_id", "raw"]), "repeat-texts")
 
     found = written(locate(pieces(texts, window), window, words_per_shard), "repeat-found")
-    least = F.min("doc_id").over(Window.partitionBy("phrase"))  # one row per part of an anchor
+    least = F.min("doc_id").over(Window.partitionBy("phrase"))  # the first document of each part
     across = found.filter("phrase is not null").withColumn("least", least).filter("doc_id > least")
     covered = found.filter("phrase is null").unionByName(across.drop("least"))
     covered = covered.groupBy("doc_id", "raw").agg(
