@@ -98,14 +98,12 @@ def timeouts(spark, sf_dir):
 
 
 @query(
-    f"""{_LIVE}, placed AS (SELECT *, CAST((sum(length(content)) OVER (PARTITION BY request_id ORDER BY micros, seq)
-      - length(content)) // 16 AS BIGINT) AS part FROM live WHERE content IS NOT NULL)
-    SELECT request_id, part, string_agg(content, '' ORDER BY micros, seq) AS output_text FROM placed
-    GROUP BY request_id, part"""
+    f"""{_LIVE} SELECT request_id, string_agg(content, '' ORDER BY micros, seq) AS output_text FROM live
+    WHERE content IS NOT NULL GROUP BY request_id"""
 )
 def output_texts(spark, sf_dir):
-    """The text of each request put together from its chunks, in parts of 16 characters."""
-    return chunks.output_texts(A.chunk_log(spark, sf_dir), part_chars=16)
+    """The text of each request put together from its chunks."""
+    return chunks.output_texts(A.chunk_log(spark, sf_dir))
 
 
 @query(
@@ -258,7 +256,7 @@ def counter_parse(spark, sf_dir):
 def counter_rate(spark, sf_dir):
     """Acceptance rate of each scrape since start and since the scrape before."""
     scraped = counters.scrape_rates(A.counter_log(spark, sf_dir))
-    rates = counters.counter_rates(scraped, A.server_events(spark, sf_dir))
+    rates = counters.counter_rates(scraped)
     return rates.select(
         "server", "micros", "acceptance_rate", "accepted_step", "drafted_step", "step_rate"
     )
@@ -274,8 +272,7 @@ def counter_rate(spark, sf_dir):
 def acceptance_asof(spark, sf_dir):
     """The first scrape at or after the end of each cell."""
     rates = counters.scrape_rates(A.counter_log(spark, sf_dir))
-    ends, seen = A.cell_ends(spark, sf_dir), A.server_events(spark, sf_dir)
-    return counters.acceptance_after(ends, rates, seen).select(
+    return counters.acceptance_after(A.cell_ends(spark, sf_dir), rates).select(
         "server", "cell_id", "end_us", "scrape_us", "acceptance_rate"
     )
 

@@ -575,12 +575,13 @@ def metric_deltas(spark, sf_dir):
 
 
 @query(
-    f"""{WITH_ARM}, one AS (SELECT gpu_type, task, prompt_id, concurrency, trial, arm,
-      arg_min(total_latency_ms, request_id) AS ms FROM armed WHERE error IS NULL AND arm IS NOT NULL GROUP BY ALL)
+    f"""{WITH_ARM}, one AS (SELECT gpu_type, task, prompt_id, concurrency, trial, arm, total_latency_ms AS ms,
+      row_number() OVER (PARTITION BY gpu_type, task, prompt_id, concurrency, trial, arm ORDER BY request_id) AS attempt
+      FROM armed WHERE error IS NULL AND arm IS NOT NULL AND gpu_type IS NOT NULL AND task IS NOT NULL)
     SELECT gpu_type, task, prompt_id, concurrency, trial, {r('b.ms')} AS total_latency_ms_base,
     {r('s.ms')} AS total_latency_ms_spec, {r(div('b.ms', 's.ms'))} AS speedup,
-    CASE WHEN b.ms / nullif(s.ms, 0) > 1 THEN 'spec' ELSE 'base' END AS winner
-    FROM one b JOIN one s USING (gpu_type, task, prompt_id, concurrency, trial)
+    CASE WHEN b.ms / nullif(s.ms, 0) > 1 THEN 'spec' WHEN b.ms > 0 AND s.ms > 0 THEN 'base' END AS winner
+    FROM one b JOIN one s USING (gpu_type, task, prompt_id, concurrency, trial, attempt)
     WHERE b.arm = 'base' AND s.arm = 'spec'"""
 )
 def race_winner(spark, sf_dir):

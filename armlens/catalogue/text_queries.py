@@ -246,31 +246,42 @@ def rouge_stemmed(spark, sf_dir):
     return tidy(scored)
 
 
-@query(
-    f"""SELECT system, {r('avg(x.f)', 4)} AS rouge1, {r('avg(y.f)', 4)} AS rouge2, count(*) AS n
-    FROM ({A.SCORABLE_SQL}) p JOIN {_rouge_sql(A.SCORABLE_SQL, 1)} x USING (pair_id)
-    JOIN {_rouge_sql(A.SCORABLE_SQL, 2)} y USING (pair_id) GROUP BY system"""
-)
+# Each arm's output against a reference: for the baseline the reply, for the treatment the request.
+_BY_SYSTEM = f"""{_OUT} SELECT prompt_id || '/' || system AS pair_id, system, ref, hyp FROM (
+    SELECT prompt_id, 'baseline' AS system, spec_text AS ref, baseline_text AS hyp FROM pairs
+    UNION ALL SELECT prompt_id, 'eagle3', baseline_text, spec_text FROM pairs) WHERE length(ref) > 0 AND length(hyp) > 0"""
+_SCORES = f"""SELECT system, {r('avg(x.f)', 4)} AS rouge1, {r('avg(y.f)', 4)} AS rouge2, {r('avg(z.f)', 4)} AS "rougeL",
+    count(*) AS n FROM ({_BY_SYSTEM}) p JOIN {_rouge_sql(_BY_SYSTEM, 1)} x USING (pair_id)
+    JOIN {_rouge_sql(_BY_SYSTEM, 2)} y USING (pair_id) JOIN {_rouge_l_sql(_BY_SYSTEM)} z USING (pair_id) GROUP BY system"""
+
+
+def outputs_with_reference(spark, sf_dir):
+    """Both arms' outputs, one row each, with the text they are scored against."""
+    pairs = quality.paired_outputs(A.outputs(spark, sf_dir))
+    sides = F.array(
+        F.struct(F.lit("baseline").alias("system"), F.col("spec_text").alias("ref"), F.col("baseline_text").alias("hyp")),
+        F.struct(F.lit("eagle3").alias("system"), F.col("baseline_text").alias("ref"), F.col("spec_text").alias("hyp")),
+    )
+    rows = pairs.select("prompt_id", F.inline(sides))
+    return rows.withColumn("pair_id", F.concat_ws("/", "prompt_id", "system"))
+
+
+@query(_SCORES)
 def rouge_summary(spark, sf_dir):
-    """Mean scores per system."""
-    scored = quality.rouge_n(scorable_summaries(spark, sf_dir), (1, 2), keep=["system"])
-    return quality.rouge_summary(scored)
+    """Mean of the three scores per system."""
+    return quality.rouge_summary(quality.all_rouge(outputs_with_reference(spark, sf_dir), ["system"]))
 
 
 @query(
-    f"""WITH s AS (SELECT {r('avg(x.f)', 4)} AS rouge1, {r('avg(y.f)', 4)} AS rouge2, system
-      FROM ({A.SCORABLE_SQL}) p JOIN {_rouge_sql(A.SCORABLE_SQL, 1)} x USING (pair_id)
-      JOIN {_rouge_sql(A.SCORABLE_SQL, 2)} y USING (pair_id) GROUP BY system),
-    w AS (SELECT unnest(['baseline', 'eagle3', 'mlx_spec']) AS system)
+    f"""WITH s AS ({_SCORES}), w AS (SELECT unnest(['baseline', 'eagle3', 'mlx_spec']) AS system)
     SELECT system, 'rouge1' AS metric, coalesce(rouge1, 0) AS score FROM w LEFT JOIN s USING (system)
     UNION ALL SELECT system, 'rouge2', coalesce(rouge2, 0) FROM w LEFT JOIN s USING (system)
-    UNION ALL SELECT system, 'rougeL', 0e0 FROM w"""
+    UNION ALL SELECT system, 'rougeL', coalesce("rougeL", 0) FROM w LEFT JOIN s USING (system)"""
 )
 def rouge_bars(spark, sf_dir):
     """Bar heights per system; what is missing is zero."""
-    scored = quality.rouge_n(scorable_summaries(spark, sf_dir), (1, 2), keep=["system"])
-    summary = quality.rouge_summary(scored).withColumn("rougeL", F.lit(None).cast("double"))
-    return series.rouge_bars(summary, ("baseline", "eagle3", "mlx_spec"))
+    scored = quality.all_rouge(outputs_with_reference(spark, sf_dir), ["system"])
+    return series.rouge_bars(quality.rouge_summary(scored), ("baseline", "eagle3", "mlx_spec"))
 
 
 @query(

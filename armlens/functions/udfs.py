@@ -1,7 +1,8 @@
-"""The three Arrow-batched functions Spark has no expression for."""
+"""The Arrow-batched functions Spark has no expression for."""
 
 import ast
 import warnings
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -51,17 +52,29 @@ def lcs_length(a, b) -> int:
 @F.arrow_udf(T.LongType())
 def lcs(a: pa.Array, b: pa.Array) -> pa.Array:
     """LCS length of two token arrays, on word numbers instead of strings."""
+    return pa.array([lcs_length(x, y) for x, y in _coded(a, b)], pa.int64())
+
+
+def _coded(a: pa.Array, b: pa.Array):
+    """The words of both columns as numbers, row by row."""
     starts_a, values_a = _flat(a)
     starts_b, values_b = _flat(b)
     coded = pa.concat_arrays([values_a, values_b]).dictionary_encode().indices.to_pylist()
     left, right = coded[: len(values_a)], coded[len(values_a) :]
-    return pa.array(
-        [
-            lcs_length(left[starts_a[i] : starts_a[i + 1]], right[starts_b[i] : starts_b[i + 1]])
-            for i in range(len(a))
-        ],
-        pa.int64(),
-    )
+    for i in range(len(a)):
+        yield left[starts_a[i] : starts_a[i + 1]], right[starts_b[i] : starts_b[i + 1]]
+
+
+def common_grams(x: list[int], y: list[int], n: int) -> int:
+    """Runs of ``n`` words in both, each as often as in the side that has fewer of it."""
+    one, two = (Counter(zip(*(side[k:] for k in range(n)))) for side in (x, y))
+    return (one & two).total()
+
+
+@F.arrow_udf(T.LongType())
+def gram_overlap(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
+    """Common grams of two token arrays; the texts stay in their rows."""
+    return pa.array([common_grams(x, y, k) for (x, y), k in zip(_coded(a, b), n.to_pylist())], pa.int64())
 
 
 def parses(code: str) -> bool:

@@ -9,8 +9,7 @@ from armlens import schema as S
 from armlens.functions.numeric import exact_round, ratio
 from armlens.functions.text import strip
 from armlens.operators import views
-from armlens.plans.sizes import splittable
-from armlens.plans.sliced import ROWS_PER_SLICE, running
+from armlens.plans.sliced import running
 
 # The marks of the line grammar.
 DATA_MARK = "data: "
@@ -18,7 +17,9 @@ DONE_MARK = "[DONE]"
 ERROR_MARK = "error: "
 
 MICROS = 1_000_000
-PART_CHARS = 1_000_000
+# Tasks that the lines of one hot request are dealt to, and lines put together at a time.
+SALTS = 16
+LINES_PER_BLOCK = 4096
 
 
 def parse_lines(log: DataFrame) -> DataFrame:
@@ -53,33 +54,41 @@ def parse_lines(log: DataFrame) -> DataFrame:
 def until_terminal(parsed: DataFrame) -> DataFrame:
     """Drop lines after a request's first [DONE] or error line; a client stops there.
 
-    ``seq`` orders a request's lines. Adds ``closed``, and ``error`` becomes that of
-    the request. Only requests with a terminal line are on the right side; the
-    adaptive skew join splits a hot request over several tasks.
+    ``seq`` orders a request's lines; a line without one has no place after the end and stays.
+    Adds ``closed``, and ``error`` becomes that of the request. Only requests with a terminal
+    line are on the right side, once per salt, so a hot request is joined by several tasks.
     """
     ends = (
         parsed.filter(F.col("is_done") | F.col("error").isNotNull())
         .groupBy("request_id")
-        .agg(F.min("seq").alias("_end"), F.min_by("error", "seq").alias("_error"))
+        .agg(F.min("seq").alias("_end"), F.min_by("error", "seq").alias("_error"), F.lit(True).alias("_closed"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
+    salt = F.coalesce(F.pmod("seq", F.lit(SALTS)), F.lit(0)).cast("int")
     return (
-        parsed.join(splittable(ends, ["request_id"]), "request_id", "left")
-        .filter(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
-        .withColumns({"closed": F.col("_end").isNotNull(), "error": F.col("_error")})
-        .drop("_end", "_error")
+        parsed.withColumn("_salt", salt)
+        .join(ends, ["request_id", "_salt"], "left")
+        .filter(F.coalesce(F.col("seq") <= F.col("_end"), F.lit(True)))
+        .withColumns({"closed": F.coalesce("_closed", F.lit(False)), "error": F.col("_error")})
+        .drop("_end", "_error", "_closed", "_salt")
     )
 
 
+def sized(parsed: DataFrame) -> DataFrame:
+    """Parsed lines as numbers: the content's length for the content, no text of the line."""
+    return parsed.withColumn("size", F.length("content")).drop("content", "line")
+
+
 def line_totals() -> list[Column]:
     """What one request needs from its lines: numbers only, so that each task folds
     its lines in a hash map before they are shuffled."""
-    has_content = F.col("content").isNotNull()
+    has_content = F.col("size").isNotNull()
     return [
         F.min("micros").alias("start_us"),
         F.min(F.when(has_content, F.col("micros"))).alias("first_us"),
         F.max("micros").alias("end_us"),
         F.count_if(has_content).alias("chunks"),
-        F.sum(F.coalesce(F.length("content"), F.lit(0)).cast("bigint")).alias("chars"),
+        F.sum(F.coalesce("size", F.lit(0)).cast("bigint")).alias("chars"),
         F.max_by("usage_tokens", F.when(F.col("usage_tokens").isNotNull(), F.col("seq"))).alias(
             "usage_tokens"
         ),
@@ -97,7 +106,7 @@ def terminal_totals() -> list[Column]:
 
 def folded(log: DataFrame) -> DataFrame:
     """One row of totals per request. Arm, hardware and end are the same on all lines."""
-    lines = until_terminal(parse_lines(log))
+    lines = until_terminal(sized(parse_lines(log)))
     return lines.groupBy("request_id", "system", "gpu_type", "closed", "error").agg(*line_totals())
 
 
@@ -176,49 +185,34 @@ def fold(
     return request_metrics(folded(log), timeout_s, estimate, rates, require_terminal)
 
 
-def output_texts(
-    log: DataFrame, part_chars: int = PART_CHARS, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """The output text of each request, put together from its chunks.
-
-    A text is one row (``part`` 0) up to ``part_chars`` characters; a longer one
-    continues in further parts, so no task gathers an unbounded list.
-    """
+def output_texts(log: DataFrame) -> DataFrame:
+    """The output text of each request, put together from its chunks: first blocks of lines
+    that follow each other, then the blocks. Lines without a ``seq`` come first."""
     lines = until_terminal(parse_lines(log)).filter(F.col("content").isNotNull())
-    size = F.length("content").cast("bigint")
-    upto = running(
-        lines.select("request_id", "seq", "content"),
-        ["request_id"],
-        ["seq"],
-        sums={"chars": size},
-        measured=log,
-        rows_per_slice=rows_per_slice,
-    )
-    part = F.floor((F.col("chars") - size) / F.lit(part_chars))
-    ordered = F.sort_array(F.collect_list(F.struct("seq", "content")))
-    return upto.groupBy("request_id", part.alias("part")).agg(
-        F.concat_ws("", F.transform(ordered, lambda c: c["content"])).alias("output_text")
-    )
+
+    def joined(order: str, text: str) -> Column:
+        ordered = F.sort_array(F.collect_list(F.struct(order, text)))
+        return F.concat_ws("", F.transform(ordered, lambda c: c[text]))
+
+    block = F.floor(F.col("seq") / LINES_PER_BLOCK)
+    blocks = lines.groupBy("request_id", block.alias("block")).agg(joined("seq", "content").alias("text"))
+    return blocks.groupBy("request_id").agg(joined("block", "text").alias("output_text"))
 
 
 def timeouts(metrics: DataFrame) -> DataFrame:
     return metrics.filter(F.col("error") == "timeout")
 
 
-def race_progress(log: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def race_progress(log: DataFrame) -> DataFrame:
     """Estimated tokens and speed at every content chunk of a running request."""
-    lines = until_terminal(parse_lines(log)).select(
-        "request_id", "system", "micros", "seq", "content"
-    )
+    lines = until_terminal(sized(parse_lines(log))).select("request_id", "system", "micros", "seq", "size")
     run = running(
         lines,
         ["request_id"],
         ["seq"],
-        sums={"chars": F.coalesce(F.length("content"), F.lit(0)).cast("bigint")},
+        sums={"chars": F.coalesce("size", F.lit(0)).cast("bigint")},
         minima={"start_us": F.col("micros")},
-        measured=log,
-        rows_per_slice=rows_per_slice,
-    ).filter(F.col("content").isNotNull())
+    ).filter(F.col("size").isNotNull())
     elapsed = (F.col("micros") - F.col("start_us")) / float(MICROS)
     return run.select(
         "request_id",

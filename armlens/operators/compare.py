@@ -228,41 +228,48 @@ def metric_deltas(
     )
 
 
-def paired_requests(df: DataFrame, key: Sequence[str], carry: Sequence[str], **arms) -> DataFrame:
-    """The same request in both arms, by conditional aggregation instead of a self-join.
-
-    A key logged more than once in one arm keeps its smallest request id, so hot
-    keys add rows to a partial aggregate and never multiply.
-    """
+def attempts(df: DataFrame, key: Sequence[str], **arms) -> DataFrame:
+    """Rows of both arms with ``attempt``: the number of the request within its key and arm, by
+    request id. A third attempt of one arm pairs with the third of the other."""
     rows = keyed(df, key).withColumn("_arm", views.arm(**arms)).dropna(subset=["_arm"])
-    payload = F.struct(*carry)
-    aggs = [
-        F.min_by(payload, F.when(F.col("_arm") == side, F.col("request_id"))).alias(side)
+    place = Window.partitionBy(*key, "_arm").orderBy("request_id")
+    return rows.withColumn("attempt", F.row_number().over(place))
+
+
+def paired_requests(df: DataFrame, key: Sequence[str], carry: Sequence[str], **arms) -> DataFrame:
+    """The same request in both arms, joined on the key and the attempt."""
+    rows = attempts(df, key, **arms).select(*key, "attempt", "_arm", *carry)
+    on = [*key, "attempt"]
+    base, spec = (
+        rows.filter(F.col("_arm") == side).drop("_arm").withColumnsRenamed({c: f"{c}_{side}" for c in carry})
         for side in ("base", "spec")
-    ]
-    seen = [F.count_if(F.col("_arm") == side).alias(f"_n_{side}") for side in ("base", "spec")]
-    return (
-        rows.groupBy(*key)
-        .agg(*aggs, *seen)
-        .filter((F.col("_n_base") > 0) & (F.col("_n_spec") > 0))
-        .select(
-            *key,
-            *[F.col(f"base.{c}").alias(f"{c}_base") for c in carry],
-            *[F.col(f"spec.{c}").alias(f"{c}_spec") for c in carry],
-        )
     )
+    return base.join(spec, on).drop("attempt")
+
+
+def unpaired_requests(df: DataFrame, key: Sequence[str], **arms) -> DataFrame:
+    """Attempts of each key that the other arm has no partner for; keys without any are left out."""
+    seen = keyed(df, key).withColumn("_arm", views.arm(**arms)).groupBy(*key).agg(
+        F.count_if(F.col("_arm") == "base").alias("base"), F.count_if(F.col("_arm") == "spec").alias("spec")
+    )
+    extra = {
+        "base_unpaired": F.greatest(F.col("base") - F.col("spec"), F.lit(0)),
+        "spec_unpaired": F.greatest(F.col("spec") - F.col("base"), F.lit(0)),
+    }
+    return seen.filter("base <> spec").withColumns(extra).drop("base", "spec")
 
 
 PAIR_KEY = ["gpu_type", "task", "prompt_id", "concurrency", "trial"]
 
 
 def race(df: DataFrame, key: Sequence[str] = tuple(PAIR_KEY), **arms) -> DataFrame:
-    """Wall-clock winner of each request pair."""
+    """Wall-clock winner of each request pair; none where a latency is missing or 0."""
     done = df.filter(F.col("error").isNull())
     pairs = paired_requests(done, key, ["total_latency_ms"], **arms)
     speedup = ratio("total_latency_ms_base", "total_latency_ms_spec")
     return pairs.withColumn("speedup", speedup).withColumn(
-        "winner", F.when(F.col("speedup") > 1, "spec").otherwise("base")
+        "winner",
+        F.when(F.col("speedup") > 1, "spec").when(F.col("total_latency_ms_base") > 0, F.when(F.col("speedup") <= 1, "base")),
     )
 
 

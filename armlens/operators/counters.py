@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 
 from armlens import schema as S
 from armlens.functions.numeric import exact_round, ratio
-from armlens.plans.sizes import as_lookup
-from armlens.plans.sliced import ROWS_PER_SLICE, next_known, previous
+from armlens.plans.sliced import next_known, previous
 
 
 def parse_counters(log: DataFrame) -> DataFrame:
@@ -41,17 +40,13 @@ def scrape_rates(log: DataFrame) -> DataFrame:
     )
 
 
-def counter_rates(
-    rates: DataFrame, measured: DataFrame | None = None, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
+def counter_rates(rates: DataFrame) -> DataFrame:
     """Add the rate since the scrape before. A counter that fell was reset to zero."""
     pairs = previous(
         rates,
         ["server"],
         ["micros"],
         {"_accepted0": "accepted", "_drafted0": "drafted"},
-        measured,
-        rows_per_slice,
     )
     reset = F.col("drafted") < F.col("_drafted0")
 
@@ -67,12 +62,7 @@ def counter_rates(
     )
 
 
-def acceptance_after(
-    cells: DataFrame,
-    rates: DataFrame,
-    measured: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
+def acceptance_after(cells: DataFrame, rates: DataFrame) -> DataFrame:
     """Attach to each cell end (server, end_us, ...) the first scrape at or after it.
 
     Cells and scrapes become one ordered sequence per server, so nothing is
@@ -92,9 +82,7 @@ def acceptance_after(
         F.struct("micros", "acceptance_rate").alias("_scrape"),
     )
     merged = marks.unionByName(points, allowMissingColumns=True)
-    ahead = next_known(
-        merged, ["server"], ["micros", "_kind"], {"_next": "_scrape"}, measured, rows_per_slice
-    )
+    ahead = next_known(merged, ["server"], ["micros", "_kind"], {"_next": "_scrape"})
     return ahead.filter(F.col("_kind") == 0).select(
         "server",
         F.col("micros").alias("end_us"),
@@ -108,7 +96,7 @@ def attach_cell_acceptance(requests: DataFrame, cell_rates: DataFrame) -> DataFr
     """Copy a cell's acceptance rate onto its treatment requests."""
     rates = cell_rates.select(*S.CELL, F.col("acceptance_rate").alias("_rate"))
     return (
-        requests.join(as_lookup(rates, S.CELL), S.CELL, "left")
+        requests.join(rates, S.CELL, "left")
         .withColumn("acceptance_rate", F.when(F.col("system") == "eagle3", F.col("_rate")))
         .drop("_rate")
     )

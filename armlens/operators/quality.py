@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from armlens import schema as S
 from armlens.functions.numeric import half_even, ratio
-from armlens.functions.text import fenced_code, grams, tokens
-from armlens.functions.udfs import lcs, stemmed, valid_python
+from armlens.functions.text import fenced_code, tokens
+from armlens.functions.udfs import gram_overlap, lcs, stemmed, valid_python
 from armlens.operators.compare import PAIR_KEY, paired_requests
 from armlens.operators.prompts import first_rows
 
 
 def with_reference(outputs: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Look up each output's reference text by prompt; none gives an empty text."""
-    refs = prompts.select(F.col("id").alias("prompt_id"), "reference_summary")
+    """Look up each output's reference text by prompt; none gives an empty text. Of a prompt
+    that is listed more than once the largest text is taken, so outputs are not multiplied."""
+    refs = prompts.groupBy(F.col("id").alias("prompt_id")).agg(F.max("reference_summary").alias("reference_summary"))
     return outputs.join(refs, "prompt_id", "left").withColumn(
         "ref", F.coalesce("reference_summary", F.lit(""))
     )
@@ -38,23 +39,11 @@ def f_measure(common: Column, ref_size: Column, hyp_size: Column) -> Column:
     return F.coalesce(ratio(2 * p * r, p + r), F.lit(0.0))
 
 
-def _score(n: int) -> Column:
-    def total(count: Column) -> Column:
-        return F.sum(F.when(F.col("n") == n, count).otherwise(0)).cast("double")
-
-    return f_measure(total(F.least("_r", "_h")), total(F.col("_r")), total(F.col("_h")))
-
-
 def rouge_n(
     pairs: DataFrame, sizes: Sequence[int] = (1, 2), stem: bool = False, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """ROUGE-n F1 per pair for each n in ``sizes``.
-
-    The texts travel once, by pair. Grams of both sides are then counted together
-    per (pair, n, gram) and summed per pair inside the same partitions, so there
-    is no join and no shuffle of grams.
-    """
-    return _gram_scores(_words(pairs.repartition("pair_id"), stem), sizes, keep)
+    """ROUGE-n F1 per pair for each n in ``sizes``; row by row, no shuffle."""
+    return _with_gram_scores(_words(pairs, stem), sizes).select("pair_id", *keep, *[f"rouge{n}" for n in sizes])
 
 
 def _words(pairs: DataFrame, stem: bool) -> DataFrame:
@@ -63,25 +52,14 @@ def _words(pairs: DataFrame, stem: bool) -> DataFrame:
     )
 
 
-def _gram_scores(words: DataFrame, sizes: Sequence[int], keep: Sequence[str]) -> DataFrame:
-    sides = [
-        F.struct(
-            F.lit(n).alias("n"), F.lit(is_hyp).alias("is_hyp"), grams(F.col(side), n).alias("grams")
-        )
-        for n in sizes
-        for side, is_hyp in (("_ref", False), ("_hyp", True))
-    ]
-    counted = (
-        words.select("pair_id", *keep, F.inline(F.array(*sides)))
-        .select("pair_id", *keep, "n", "is_hyp", F.explode_outer("grams").alias("gram"))
-        .groupBy("pair_id", *keep, "n", "gram")
-        .agg(
-            F.count_if(~F.col("is_hyp") & F.col("gram").isNotNull()).alias("_r"),
-            F.count_if(F.col("is_hyp") & F.col("gram").isNotNull()).alias("_h"),
-        )
-    )
-    scores = [_score(n).alias(f"rouge{n}") for n in sizes]
-    return counted.groupBy("pair_id", *keep).agg(*scores)
+def _with_gram_scores(words: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    common = words.withColumns({f"_c{n}": gram_overlap("_ref", "_hyp", F.lit(n)).cast("double") for n in sizes})
+
+    def grams(side: str, n: int) -> Column:
+        return F.greatest(F.size(side) - (n - 1), F.lit(0)).cast("double")
+
+    scores = {f"rouge{n}": f_measure(F.col(f"_c{n}"), grams("_ref", n), grams("_hyp", n)) for n in sizes}
+    return common.withColumns(scores).drop(*[f"_c{n}" for n in sizes])
 
 
 def rouge_l(pairs: DataFrame, stem: bool = False) -> DataFrame:
@@ -124,10 +102,10 @@ def rouge_summary(scored: DataFrame, keys: Sequence[str] = ("system",)) -> DataF
 
 
 def all_rouge(pairs: DataFrame, keep: Sequence[str], stem: bool = False) -> DataFrame:
-    """The three scores per pair. ROUGE-L is row-local, so it is computed on the
-    same words and carried through the gram count as a key column."""
-    words = _with_lcs_score(_words(scorable(pairs).repartition("pair_id"), stem))
-    return _gram_scores(words, (1, 2), [*keep, "rougeL"])
+    """The three scores per pair, row by row."""
+    words = _words(scorable(pairs), stem)
+    scored = _with_lcs_score(_with_gram_scores(words, (1, 2)))
+    return scored.select("pair_id", *keep, "rouge1", "rouge2", "rougeL")
 
 
 def consistency(scored: DataFrame, keys: Sequence[str] = ("task",)) -> DataFrame:

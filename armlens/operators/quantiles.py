@@ -1,9 +1,8 @@
-"""Exact quantiles per group without gathering a group in one task.
+"""Exact quantiles per group in two passes, without gathering a group in one task.
 
-Each group's value range is cut in equal-width bins and rows are counted per bin,
-which aggregates partially. The bins that hold the wanted ranks become the next
-ranges, until none holds many rows. The distinct values left are counted and ranked.
-The data is scanned once per round; only groups times bins rows are ever ordered.
+The first pass counts each group and brackets every wanted rank by approximate percentiles
+whose error is bounded. The second counts the rows below each bracket and the distinct values
+inside it, which aggregates partially; the few distinct values are then ranked.
 """
 
 from collections.abc import Mapping, Sequence
@@ -11,12 +10,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armlens.plans.sizes import broadcast_rows, fetched, splittable
+from armlens.session import shared_dir
 
-ROWS_PER_RANGE = 200_000
-MAX_ROUNDS = 12
-# With too many groups to look at, no group is near the size of the data.
-BLIND_ROUNDS = 2
+#: An approximate percentile is off by at most 1 / ACCURACY of the rows.
+ACCURACY = 10_000
 
 
 def exact_quantiles(
@@ -24,120 +21,69 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: Sequence[float],
-    bins: int = 4096,
-    rows_per_range: int = ROWS_PER_RANGE,
     extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per group with columns p10, p50, ... (linear interpolation).
 
     ``extra`` are numeric aggregates over ``_v`` for the first pass over the rows.
     """
-    keys, extra = list(keys), dict(extra or {})
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull()
-    )
-    ranks = [f"_r{i}" for i in range(2 * len(probabilities))]
-    carried = ["_n", *extra, *ranks]
-    span = ["_lo", "_hi", "_left"]
-    # A range is a group's span of values with the ranks wanted in it, counted from
-    # the range's first row. Two ranks per probability surround (n - 1) * p.
-    ranges = (
-        rows.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_v").alias("_lo"),
-            F.max("_v").alias("_hi"),
-            F.count(F.lit(1)).alias("_left"),
-            *[e.alias(n) for n, e in extra.items()],
-        )
-        .withColumns(
-            {
-                f"_r{2 * i + side}": F.least(
-                    F.floor((F.col("_n") - 1) * F.lit(p)) + F.lit(side), F.col("_n") - 1
-                )
-                for i, p in enumerate(probabilities)
-                for side in (0, 1)
-            }
-        )
-    )
-    ranges = ranges.select(*keys, *span, *carried)
-    for number in range(MAX_ROUNDS):
-        small = fetched(ranges)
-        if small is None:
-            ranges, crowded = splittable(ranges, keys), number < BLIND_ROUNDS
-        else:
-            ranges = broadcast_rows(ranges, small)
-            crowded = any(r._left > rows_per_range and r._lo < r._hi for r in small)
-        if not crowded:
-            break
-        ranges = _narrowed(rows, keys, ranges, ranks, carried, bins)
-    return _picked(rows, keys, ranges, ranks, carried, probabilities, list(extra))
-
-
-def _inside(rows: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
-    return rows.join(ranges, keys).filter(
-        (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    )
-
-
-def _placed(counted: DataFrame, keys: list[str], order: str, ranks: list[str]) -> DataFrame:
-    """Ranks counted from each row of ``counted``; NULL where they fall elsewhere."""
-    before = Window.partitionBy(*keys, "_lo", "_hi").orderBy(order)
-    placed = counted.withColumn("_below", F.sum("_c").over(before) - F.col("_c"))
-    here = {
-        r: F.when(
-            (F.col(r) >= F.col("_below")) & (F.col(r) < F.col("_below") + F.col("_c")),
-            F.col(r) - F.col("_below"),
-        )
-        for r in ranks
-    }
-    return placed.withColumns(here).filter(F.coalesce(*ranks).isNotNull())
-
-
-def _narrowed(rows, keys, ranges, ranks, carried, bins) -> DataFrame:
-    width = F.col("_hi") - F.col("_lo")
-    # A short range needs few bins; many would only keep its rows apart.
-    count = F.greatest(F.least(F.expr("_left div 64"), F.lit(bins)), F.lit(16))
-    index = F.when(
-        width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * count), count - 1)
-    ).otherwise(F.lit(0))
-    counted = (
-        _inside(rows, keys, ranges)
-        .groupBy(*keys, "_lo", "_hi", index.alias("_bin"))
-        .agg(
-            F.count(F.lit(1)).alias("_c"),
-            F.max("_left").alias("_left"),
-            F.min("_v").alias("_bin_lo"),
-            F.max("_v").alias("_bin_hi"),
-            *[F.max(c).alias(c) for c in carried],
-        )
-    )
-    return _placed(counted, keys, "_bin", ranks).select(
-        *keys,
-        F.col("_bin_lo").alias("_lo"),
-        F.col("_bin_hi").alias("_hi"),
-        F.col("_c").alias("_left"),
-        *carried,
+    keys, extra, probabilities = list(keys), dict(extra or {}), list(probabilities)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    groups = _brackets(rows, keys, probabilities, extra)
+    path = shared_dir(df.sparkSession, "brackets")  # one row per group, joined and joined back
+    groups.write.parquet(path)
+    groups = df.sparkSession.read.schema(groups.schema).parquet(path)
+
+    # A row says "below" to a bracket above it, and its value to a bracket around it.
+    entries = F.filter("_spans", lambda s: F.col("_v") <= s["hi"])
+    said = rows.join(groups.select(*keys, "_spans"), keys).select(*keys, "_v", F.explode(entries).alias("_s"))
+    inside = F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v"))
+    counted = said.groupBy(*keys, F.col("_s.i").alias("_i"), inside.alias("_v")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_s.rank").alias("_rank"), F.max("_s.last").alias("_last")
     )
+    upto = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
+    placed = counted.withColumn("_upto", F.sum("_c").over(upto)).filter("_v is not null")
 
+    def at(i: int, side: int) -> Column:
+        rank = F.least(F.col("_rank") + side, F.col("_last"))
+        here = (F.col("_i") == i) & (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+        return F.max(F.when(here, F.col("_v"))).alias(f"_r{2 * i + side}")
 
-def _picked(rows, keys, ranges, ranks, carried, probabilities, extra) -> DataFrame:
-    values = (
-        _inside(rows, keys, ranges)
-        .groupBy(*keys, "_lo", "_hi", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), *[F.max(c).alias(c) for c in carried])
-    )
-    found = _placed(values, keys, "_v", ranks)
-    at = {r: F.max(F.when(F.col(r).isNotNull(), F.col("_v"))) for r in ranks}
-    out = found.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        *[F.max(c).alias(c) for c in extra],
-        *[e.alias(r) for r, e in at.items()],
-    )
+    found = placed.groupBy(*keys).agg(*[at(i, side) for i in range(len(probabilities)) for side in (0, 1)])
+    out = groups.drop("_spans").join(found, keys)
     quantiles = []
     for i, p in enumerate(probabilities):
         low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
         place = (F.col("_n") - 1) * F.lit(p)
-        part = place - F.floor(place)
-        quantiles.append((low + (high - low) * part).alias(f"p{round(p * 100):02d}"))
+        quantiles.append((low + (high - low) * (place - F.floor(place))).alias(f"p{round(p * 100):02d}"))
     return out.select(*keys, *extra, *quantiles)
+
+
+def _brackets(rows: DataFrame, keys: list[str], probabilities: list[float], extra: dict[str, Column]) -> DataFrame:
+    """Per group: ``_n``, ``extra`` and ``_spans``, per probability its first rank (from 0) and two
+    values that surround that rank and the next.
+
+    The bounds lie three errors beside the rank, plus the ranks that rounding may cost.
+    """
+    slack = 3 / ACCURACY
+    asked = [min(max(p + side * slack, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
+    found = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.percentile_approx("_v", asked, ACCURACY).alias("_q"),
+        *[e.alias(n) for n, e in extra.items()],
+    )
+    # In a small group an error is less than a row, and the two ranks may be its ends.
+    small = F.col("_n") <= ACCURACY
+    spans = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.floor((F.col("_n") - 1) * F.lit(p)).alias("rank"),
+            (F.col("_n") - 1).alias("last"),
+            F.when(small | F.lit(asked[2 * i] == 0.0), F.col("_min")).otherwise(F.col("_q")[2 * i]).alias("lo"),
+            F.when(small | F.lit(asked[2 * i + 1] == 1.0), F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias("hi"),
+        )
+        for i, p in enumerate(probabilities)
+    ]
+    return found.select(*keys, "_n", *extra, F.array(*spans).alias("_spans"))

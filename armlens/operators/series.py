@@ -50,6 +50,14 @@ def _entry(series: str, metric: str, name: str, keep_task=True, keep_system=True
     return F.when(known if when is None else known & when, row)
 
 
+def _merged_deviation(n: Column, total: Column, std: Column) -> Column:
+    """Sample deviation of parts put together: the spread inside the parts and between their means."""
+    inside = F.sum((n - 1) * F.coalesce(std, F.lit(0.0)) * F.coalesce(std, F.lit(0.0)))
+    between = F.sum(total * total / n) - F.sum(total) * F.sum(total) / F.sum(n)
+    spread = F.sqrt((inside + F.greatest(between, F.lit(0.0))) / (F.sum(n) - 1))
+    return F.when(F.count(F.lit(1)) == 1, F.max(std)).when(F.sum(n) > 1, spread)
+
+
 def chart_series(df: DataFrame) -> DataFrame:
     """(series, metric, gpu_type, task, system, concurrency, n, mean, ci_low, ci_high).
 
@@ -87,7 +95,7 @@ def chart_series(df: DataFrame) -> DataFrame:
         ratio(
             part("total", "spec") / part("n", "spec"), part("total", "base") / part("n", "base")
         ).alias("_ratio"),
-        F.when(F.count(F.lit(1)) == 1, F.max("e.std")).alias("_std"),
+        _merged_deviation(F.col("e.n"), F.col("e.total"), F.col("e.std")).alias("_std"),
     )
     t = F.when(F.col("n") > len(T_975) + 1, F.lit(Z_975)).otherwise(
         F.get(F.array(*[F.lit(v) for v in T_975]), (F.col("n") - 2).cast("int"))

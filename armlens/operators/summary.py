@@ -177,5 +177,5 @@ def record_counts(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("all_rows"),
         F.count_if(views.is_valid()).alias("valid_rows"),
         F.count_if(F.col("ttft_ms").isNotNull()).alias("weakly_valid_rows"),
-        F.count_if(F.col("trial") != S.QUALITY_TRIAL).alias("summary_rows"),
+        F.count_if(F.coalesce(F.col("trial") != S.QUALITY_TRIAL, F.lit(True))).alias("summary_rows"),
     )

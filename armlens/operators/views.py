@@ -10,9 +10,10 @@ from armlens.functions.numeric import exact_round, ratio
 
 
 def without_trials(df: DataFrame, exclude: Iterable[int] = (S.QUALITY_TRIAL,)) -> DataFrame:
-    """Drop quality-run (or warm-up) trials; a partition filter on written cells."""
+    """Drop quality-run (or warm-up) trials; a partition filter on written cells. A row
+    without a trial is of none of them."""
     exclude = list(exclude)
-    return df.filter(~F.col("trial").isin(exclude)) if exclude else df
+    return df.filter(F.col("trial").isNull() | ~F.col("trial").isin(exclude)) if exclude else df
 
 
 def is_valid() -> Column:

@@ -1,9 +1,9 @@
 """Ordered windows over keys of any size.
 
-A plain window sorts all rows of a key in one task. That is the plan here while no
-key has more than ``rows_per_slice`` rows, which one count over the key column
-decides. With a larger key, such keys are cut along the order column in slices:
-the window runs inside a slice and one row per slice carries the state across.
+A plain window sorts all rows of a key in one task. Here the rows are cut along key and
+order in ranges of about equal numbers of rows, so a key with many rows, or with a burst at
+one time, lies in several slices. The window runs inside a slice, and one row per slice
+carries the state across. The plan is the same for all sizes.
 """
 
 from collections.abc import Mapping, Sequence
@@ -11,54 +11,27 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armlens.plans.sizes import as_lookup
 from armlens.session import shared_dir
 
-ROWS_PER_SLICE = 5_000_000
 
+def _with_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_slice``, increasing with the order within a key; NULLs first, as a sort has them.
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """Keys above the limit with their bounds; at most rows / limit of them."""
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min(order).alias("_from"),
-            F.max(order).alias("_to"),
-        )
-        .filter(F.col("_rows") > rows_per_slice)
-        .withColumn("_parts", F.ceil(F.col("_rows") / rows_per_slice))
-        .drop("_rows")
-    )
-
-
-def _has_hot_key(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> bool:
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return not counted.filter(F.col("_rows") > rows_per_slice).isEmpty()
-
-
-def _with_slice(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_slice: int
-) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, increasing with ``order`` for hot ones.
-
-    The rows are read several times from here on, so they are written once to the
-    shared folder first. Slices follow from counts and bounds only.
+    The rows are read twice from here on, and both readings must see the same slices, so they
+    are written once to the shared folder.
     """
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
     path = shared_dir(df.sparkSession, "sliced")
-    df.write.parquet(path)
-    rows = df.sparkSession.read.schema(df.schema).parquet(path)
-    span = F.greatest(F.col("_to") - F.col("_from"), F.lit(1))
-    place = F.floor((F.col(order) - F.col("_from")) / span * F.col("_parts"))
-    return (
-        rows.join(as_lookup(hot_keys(rows, keys, order, rows_per_slice), keys), list(keys), "left")
-        .withColumn(
-            "_slice", F.coalesce(F.least(place, F.col("_parts") - 1), F.lit(0)).cast("bigint")
-        )
-        .drop("_from", "_to", "_parts")
-    )
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join what each slice gets from the others; NULL keys are equal."""
+    on = [*keys, "_slice"]
+    other = carried.withColumnsRenamed({k: f"_j_{k}" for k in on})
+    same = [F.col(k).eqNullSafe(F.col(f"_j_{k}")) for k in on]
+    return rows.join(other, same, "left").drop(*[f"_j_{k}" for k in on])
 
 
 def running(
@@ -67,24 +40,12 @@ def running(
     order: Sequence[str],
     sums: Mapping[str, Column] | None = None,
     minima: Mapping[str, Column] | None = None,
-    measured: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Add running sums and minima up to each row; ``order[0]`` is a BIGINT.
-
-    ``measured`` may give a cheaper frame with at least the same rows per key.
-    """
+    """Add running sums and minima up to each row."""
     sums, minima, keys = dict(sums or {}), dict(minima or {}), list(keys)
-
-    def upto(partition: list[str]) -> dict[str, Column]:
-        w = Window.partitionBy(*partition).orderBy(*order)
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        own = {n: F.sum(e).over(w) for n, e in sums.items()}
-        return own | {n: F.min(e).over(w) for n, e in minima.items()}
-
-    if not _has_hot_key(measured if measured is not None else df, keys, rows_per_slice):
-        return df.withColumns(upto(keys))
-    rows = _with_slice(df, keys, order[0], rows_per_slice)
+    rows = _with_slice(df, keys, order)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         rows.groupBy(*keys, "_slice")
@@ -98,29 +59,25 @@ def running(
             *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums],
             *[F.min(f"_t_{n}").over(before).alias(f"_c_{n}") for n in minima],
         )
-        .filter(F.col("_slice") > 0)
     )
-    own = upto([*keys, "_slice"])
-    out = rows.join(carried, [*keys, "_slice"], "left").withColumns(own)
-    total = {n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums}
-    total |= {n: F.least(F.col(n), F.col(f"_c_{n}")) for n in minima}
+    own = {n: F.sum(e).over(inside) for n, e in sums.items()}
+    own |= {n: F.min(e).over(inside) for n, e in minima.items()}
+    out = _with_carried(rows.withColumns(own), carried, keys)
+
+    def added(n: str) -> Column:
+        both = F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))
+        return F.when(F.coalesce(F.col(n), F.col(f"_c_{n}")).isNotNull(), both)
+
+    total = {n: added(n) for n in sums} | {n: F.least(F.col(n), F.col(f"_c_{n}")) for n in minima}
     return out.withColumns(total).drop("_slice", *[f"_c_{n}" for n in own])
 
 
 def previous(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: Mapping[str, str],
-    measured: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str]
 ) -> DataFrame:
     """Add the value each column had in the row before: ``{"prev_x": "x"}``."""
     keys = list(keys)
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    if not _has_hot_key(measured if measured is not None else df, keys, rows_per_slice):
-        return df.withColumns({n: F.lag(c).over(whole) for n, c in columns.items()})
-    rows = _with_slice(df, keys, order[0], rows_per_slice)
+    rows = _with_slice(df, keys, order)
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_slice")
     last = F.max_by(F.struct(*sorted(set(columns.values()))), F.struct(*order))
@@ -128,37 +85,24 @@ def previous(
         rows.groupBy(*keys, "_slice")
         .agg(last.alias("_last"))
         .select(*keys, "_slice", F.lag("_last").over(across).alias("_carry"))
-        .filter(F.col("_slice") > 0)
     )
-    first = F.row_number().over(inside) == 1
-    out = rows.join(carried, [*keys, "_slice"], "left").withColumns(
-        {
-            n: F.when(first, F.col("_carry")[c]).otherwise(F.lag(c).over(inside))
-            for n, c in columns.items()
-        }
-    )
-    return out.drop("_slice", "_carry")
+    own = {f"_p_{n}": F.lag(c).over(inside) for n, c in columns.items()}
+    first = {"_first": F.row_number().over(inside) == 1}
+    out = _with_carried(rows.withColumns(own | first), carried, keys)
+    found = {
+        n: F.when(F.col("_first"), F.col("_carry")[c]).otherwise(F.col(f"_p_{n}")) for n, c in columns.items()
+    }
+    return out.withColumns(found).drop("_slice", "_carry", "_first", *own)
 
 
 def next_known(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: Mapping[str, str],
-    measured: DataFrame | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str]
 ) -> DataFrame:
     """Add the first non-NULL value at or after each row: ``{"next_x": "x"}``."""
     keys = list(keys)
-
-    def ahead(partition: list[str], c: str) -> Column:
-        w = Window.partitionBy(*partition).orderBy(*order)
-        w = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        return F.first(c, ignorenulls=True).over(w)
-
-    if not _has_hot_key(measured if measured is not None else df, keys, rows_per_slice):
-        return df.withColumns({n: ahead(keys, c) for n, c in columns.items()})
-    rows = _with_slice(df, keys, order[0], rows_per_slice)
+    rows = _with_slice(df, keys, order)
+    ahead = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    ahead = ahead.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     later = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
     carried = (
         rows.groupBy(*keys, "_slice")
@@ -174,7 +118,7 @@ def next_known(
             *[F.first(f"_f_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in columns],
         )
     )
-    out = rows.join(carried, [*keys, "_slice"], "left").withColumns(
-        {n: F.coalesce(ahead([*keys, "_slice"], c), F.col(f"_c_{n}")) for n, c in columns.items()}
-    )
-    return out.drop("_slice", *[f"_c_{n}" for n in columns])
+    own = {n: F.first(c, ignorenulls=True).over(ahead) for n, c in columns.items()}
+    out = _with_carried(rows.withColumns(own), carried, keys)
+    found = {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in columns}
+    return out.withColumns(found).drop("_slice", *[f"_c_{n}" for n in columns])

@@ -15,16 +15,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even where that costs one more exchange above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Cells are overwritten one partition at a time.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
 }
 
-SHUFFLE = "spark.sql.shuffle.partitions"
-
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -47,10 +43,6 @@ def configure(spark: SparkSession) -> SparkSession:
     """Set the run-time options the operators rely on; cluster sizing is left alone."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
-    context = spark.sparkContext
-    if context.master.startswith("local") and spark.conf.get(SHUFFLE) == "200":
-        # 200 is the default for a cluster; a stream would open 200 state stores.
-        spark.conf.set(SHUFFLE, str(context.defaultParallelism))
     ship_package(spark)
     return spark
 

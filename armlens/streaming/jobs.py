@@ -32,7 +32,7 @@ def fold_sessions(
     Built-in aggregates only, so each task folds its lines before the shuffle. The
     log ends at a request's terminal line, as a client writes it.
     """
-    parsed = chunks.parse_lines(log.withWatermark("ts", delay))
+    parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay)))
     totals = parsed.groupBy("request_id", "system", "gpu_type", F.session_window("ts", gap)).agg(
         *chunks.line_totals(), *chunks.terminal_totals()
     )
@@ -44,11 +44,11 @@ def live_totals(log: DataFrame, delay: str = "120 seconds", span: str = "1 hour"
 
     Spans behind the watermark leave the state, so it holds live requests only.
     """
-    parsed = chunks.parse_lines(log.withWatermark("ts", delay))
+    parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay)))
     return (
         parsed.groupBy("request_id", "system", F.window("ts", span))
         .agg(
-            F.sum(F.coalesce(F.length("content"), F.lit(0)).cast("bigint")).alias("chars"),
+            F.sum(F.coalesce("size", F.lit(0)).cast("bigint")).alias("chars"),
             F.min("micros").alias("start_us"),
             F.max("micros").alias("last_us"),
         )

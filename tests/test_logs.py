@@ -85,11 +85,16 @@ def test_fold_with_terminal_and_estimate(log):
 def test_texts_and_progress(log):
     texts = by_request(chunks.output_texts(log))
     assert texts["one_token_per_chunk"].output_text == "Hello you" and "no_content" not in texts
-    parts = chunks.output_texts(log, part_chars=4, rows_per_slice=1).orderBy("request_id", "part").collect()
-    assert [(r.part, r.output_text) for r in parts if r.request_id == "one_token_per_chunk"] == [(0, "Hello"), (1, " you")]
-    for limit in (2, 1000):
-        got = [r for r in chunks.race_progress(log, limit).collect() if r.request_id == "one_token_per_chunk"]
-        assert sorted((r.est_tokens, r.elapsed_s, r.est_tokens_per_sec) for r in got) == [(1, 1.0, 1.0), (2, 2.0, 1.0)]
+    got = [r for r in chunks.race_progress(log).collect() if r.request_id == "one_token_per_chunk"]
+    assert sorted((r.est_tokens, r.elapsed_s, r.est_tokens_per_sec) for r in got) == [(1, 1.0, 1.0), (2, 2.0, 1.0)]
+
+
+def test_long_text_stays_one_row(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "LINES_PER_BLOCK", 3)
+    data = [("r", "baseline", "L4", i if i else None, START, 'data: {"choices": [{"delta": {"content": "%d,"}}]}' % i) for i in range(20)]
+    data += [("r", "baseline", "L4", 20, START, "data: [DONE]"), ("r", "baseline", "L4", 21, START, data[1][-1])]
+    got = chunks.output_texts(spark.createDataFrame(data, S.CHUNK_LOG)).collect()
+    assert [r.output_text for r in got] == ["".join(f"{i}," for i in range(20))]
 
 
 def test_duplicates_do_not_count(log):
@@ -144,9 +149,8 @@ def scrapes(spark):
     return spark.createDataFrame(data, S.COUNTER_LOG)
 
 
-@pytest.mark.parametrize("limit", [1, 1000])
-def test_rates(scrapes, limit):
-    rates = counters.counter_rates(counters.scrape_rates(scrapes), rows_per_slice=limit)
+def test_rates(scrapes):
+    rates = counters.counter_rates(counters.scrape_rates(scrapes))
     got = {(r.server, r.scrape_ts.second): (r.acceptance_rate, r.step_rate) for r in rates.collect()}
     assert got == {
         ("a", 0): (0.25, None), ("a", 5): (0.4, 0.5), ("a", 10): (0.5, 0.5),
@@ -154,14 +158,13 @@ def test_rates(scrapes, limit):
     }
 
 
-@pytest.mark.parametrize("limit", [1, 1000])
-def test_first_scrape_after_cell(spark, scrapes, limit):
+def test_first_scrape_after_cell(spark, scrapes):
     base = int(START.replace(tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
     ends = spark.createDataFrame(
         [("a", base, 1), ("a", base + 1, 2), ("a", base + 20_000_000, 3), ("b", base, 4)],
         "server string, end_us bigint, cell_id int",
     )
-    out = counters.acceptance_after(ends, counters.scrape_rates(scrapes), rows_per_slice=limit)
+    out = counters.acceptance_after(ends, counters.scrape_rates(scrapes))
     got = {r.cell_id: (r.acceptance_rate, r.scrape_us and (r.scrape_us - base) // 1_000_000) for r in out.collect()}
     assert got == {1: (0.25, 0), 2: (0.4, 5), 3: (None, None), 4: (0.3334, 5)}
 

@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from armlens.operators import intervals, series, summary, views
+from armlens.operators import quantiles
 from armlens.operators.quantiles import exact_quantiles
 
 
@@ -94,8 +95,9 @@ def test_dimension_values(log):
     assert all(value is not None for _, value, _ in got)
 
 
-@pytest.mark.parametrize("limit", [1, 100, 10_000])
-def test_exact_quantiles_equal_numpy(spark, limit):
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+def test_exact_quantiles_equal_numpy(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
     rng = np.random.default_rng(3)
     groups = {
         "skewed": np.exp(rng.normal(size=4000) * 3),
@@ -107,20 +109,17 @@ def test_exact_quantiles_equal_numpy(spark, limit):
     data = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("flat", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(6)
     probabilities = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probabilities, bins=64, rows_per_range=limit).collect()}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probabilities).collect()}
     assert set(got) == set(groups)
     for g, values in groups.items():
         for p, name in zip(probabilities, ("p00", "p10", "p50", "p90", "p100")):
             assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-12)
 
 
-def test_quantiles_of_many_groups(spark, monkeypatch):
-    from armlens.operators import quantiles
-
-    monkeypatch.setattr(quantiles, "fetched", lambda df: None)
-    df = spark.range(1000).selectExpr("id % 3 as g", "cast(id as double) as v")
+def test_quantiles_of_many_groups(spark):
+    df = spark.range(60_000).selectExpr("id % 3 as g", "cast(id as double) as v")
     got = rows(exact_quantiles(df, ["g"], "v", [0.5]), "g")
-    assert [p for _, p in got] == [np.median(np.arange(g, 1000, 3)) for g in range(3)]
+    assert [p for _, p in got] == [np.median(np.arange(g, 60_000, 3)) for g in range(3)]
 
 
 def test_normal_interval(spark):
