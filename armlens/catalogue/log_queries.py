@@ -142,13 +142,11 @@ def dedup_chunks(spark, sf_dir):
     )
 
 
-def _stage(spark, sf_dir, name: str) -> str:
-    """Write the log as a client would have, with the row that closes all windows."""
+def _stage(spark, sf_dir, name: str):
+    """The raw log, staged in slices that cut requests in two, and a stream that reads one slice a trigger."""
     root = shared_dir(spark, name)
-    log = chunks.until_terminal(chunks.parse_lines(A.chunk_log(spark, sf_dir)))
-    logs.write_log(log, f"{root}/in", S.CHUNK_LOG)
-    logs.write_log(jobs.drain_row(spark), f"{root}/in", S.CHUNK_LOG)
-    return root
+    jobs.stage(A.chunk_log(spark, sf_dir), f"{root}/in")
+    return root, logs.stream_log(spark, f"{root}/in", S.CHUNK_LOG, max_files=2)
 
 
 def _finished(spark, stream, root: str):
@@ -160,8 +158,7 @@ def _finished(spark, stream, root: str):
 @query(f"{_fold_sql()} SELECT {_METRICS} FROM metrics")
 def stream_fold(spark, sf_dir):
     """The fold as a stream: a request leaves when its session closes."""
-    root = _stage(spark, sf_dir, "fold")
-    stream = logs.stream_log(spark, f"{root}/in", S.CHUNK_LOG)
+    root, stream = _stage(spark, sf_dir, "fold")
     folded = jobs.fold_sessions(stream, gap=DAY_GAP, timeout_s=TIMEOUT_S)
     return _finished(spark, folded, root)
 
@@ -169,8 +166,7 @@ def stream_fold(spark, sf_dir):
 @query(f"{_fold_sql(require_terminal=True)} SELECT {_METRICS} FROM metrics")
 def stream_fold_stateful(spark, sf_dir):
     """The fold with own state: a request leaves at its end or at its timeout."""
-    root = _stage(spark, sf_dir, "state")
-    stream = logs.stream_log(spark, f"{root}/in", S.CHUNK_LOG)
+    root, stream = _stage(spark, sf_dir, "state")
     return _finished(spark, stateful.fold_stateful(stream, timeout_s=TIMEOUT_S), root)
 
 
@@ -181,12 +177,11 @@ def stream_fold_stateful(spark, sf_dir):
 )
 def stream_progress(spark, sf_dir):
     """Progress of all requests, kept by a running stream."""
-    root = shared_dir(spark, "progress")
-    log = chunks.until_terminal(chunks.parse_lines(A.chunk_log(spark, sf_dir)))
-    logs.write_log(log, f"{root}/in", S.CHUNK_LOG)
-    totals = jobs.live_totals(logs.stream_log(spark, f"{root}/in", S.CHUNK_LOG))
+    root, stream = _stage(spark, sf_dir, "progress")
+    totals = jobs.live_totals(stream)
     jobs.write_batches(totals, f"{root}/out", f"{root}/checkpoint", "update")
-    return jobs.request_progress(jobs.read_batches(spark, f"{root}/out", totals.schema))
+    progress = jobs.request_progress(jobs.read_batches(spark, f"{root}/out", totals.schema))
+    return progress.filter(F.col("request_id") != jobs.DRAIN_ID)
 
 
 @query(

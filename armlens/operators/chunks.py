@@ -95,13 +95,29 @@ def line_totals() -> list[Column]:
     ]
 
 
-def terminal_totals() -> list[Column]:
-    """How a request ended, where its lines were not cut at the end before."""
-    failed = F.col("error").isNotNull()
-    return [
-        F.max(F.col("is_done") | failed).alias("closed"),
-        F.min_by("error", F.when(failed, F.col("seq"))).alias("error"),
-    ]
+def line_list() -> Column:
+    """A request's lines as numbers, for totals that need the end first."""
+    return F.collect_list(F.struct("seq", "micros", "size", "usage_tokens", "is_done", "error")).alias("lines")
+
+
+def totals_of_lines(gathered: DataFrame) -> DataFrame:
+    """The totals of ``lines`` up to the terminal line, as ``line_totals`` has them."""
+    ends = "filter(lines, l -> l.is_done or l.error is not null)"
+    df = gathered.withColumn("_ends", F.expr(ends)).withColumn("_end", F.expr("array_min(transform(_ends, l -> l.seq))"))
+    kept = "filter(lines, l -> coalesce(l.seq <= _end, true))"
+    df = df.withColumn("_kept", F.expr(kept))
+    found = {
+        "start_us": "array_min(transform(_kept, l -> l.micros))",
+        "first_us": "array_min(transform(filter(_kept, l -> l.size is not null), l -> l.micros))",
+        "end_us": "array_max(transform(_kept, l -> l.micros))",
+        "chunks": "cast(size(filter(_kept, l -> l.size is not null)) as bigint)",
+        "chars": "aggregate(_kept, 0L, (a, l) -> a + coalesce(l.size, 0))",
+        "usage_tokens": "array_max(transform(filter(_kept, l -> l.usage_tokens is not null and l.seq is not null),"
+        " l -> struct(l.seq, l.usage_tokens as tokens))).tokens",
+        "closed": "size(_ends) > 0",
+        "error": "get(filter(_ends, l -> l.seq = _end), 0).error",
+    }
+    return df.withColumns({k: F.expr(v) for k, v in found.items()}).drop("lines", "_ends", "_end", "_kept")
 
 
 def folded(log: DataFrame) -> DataFrame:

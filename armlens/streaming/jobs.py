@@ -8,6 +8,7 @@ from armlens import schema as S
 from armlens.functions.numeric import exact_mean
 from armlens.operators import chunks, views
 from armlens.operators.summary import dashboard_means
+from armlens.sources import logs
 
 # A stage's last row: it moves the watermark past all real ones, so that the
 # final windows of a finite input close. It never leaves its own window.
@@ -29,47 +30,38 @@ def fold_sessions(
 ) -> DataFrame:
     """One metrics row per request once its session has closed.
 
-    Built-in aggregates only, so each task folds its lines before the shuffle. The
-    log ends at a request's terminal line, as a client writes it.
+    The state holds a few numbers of each line of an open session, as many lines as the request
+    has tokens; the lines after the terminal one are left out when the session closes.
     """
     parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay)))
-    totals = parsed.groupBy("request_id", "system", "gpu_type", F.session_window("ts", gap)).agg(
-        *chunks.line_totals(), *chunks.terminal_totals()
-    )
+    sessions = parsed.groupBy("request_id", "system", "gpu_type", F.session_window("ts", gap))
+    totals = chunks.totals_of_lines(sessions.agg(chunks.line_list()))
     return chunks.request_metrics(totals, timeout_s, require_terminal=require_terminal)
 
 
 def live_totals(log: DataFrame, delay: str = "120 seconds", span: str = "1 hour") -> DataFrame:
-    """Progress of every running request per time span, for update mode.
+    """Lines of every running request per time span, as numbers, for update mode.
 
     Spans behind the watermark leave the state, so it holds live requests only.
     """
     parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay)))
-    return (
-        parsed.groupBy("request_id", "system", F.window("ts", span))
-        .agg(
-            F.sum(F.coalesce("size", F.lit(0)).cast("bigint")).alias("chars"),
-            F.min("micros").alias("start_us"),
-            F.max("micros").alias("last_us"),
-        )
-        .select(
-            "request_id", "system", F.col("window.start").alias("span"), "chars", "start_us", "last_us"
-        )
-    )
+    spans = parsed.groupBy("request_id", "system", F.window("ts", span)).agg(chunks.line_list())
+    return spans.select("request_id", "system", F.col("window.start").alias("span"), "lines")
 
 
 def request_progress(totals: DataFrame) -> DataFrame:
-    """Current progress per request from the written updates: the last update of
-    each span, then all spans together."""
-    current = totals.groupBy("request_id", "system", "span").agg(
-        *[F.max_by(c, "batch").alias(c) for c in ("chars", "start_us", "last_us")]
-    )
+    """Current progress per request from the written updates: the last update of each span, then all
+    spans together up to the request's end."""
+    last = F.max_by("lines", "batch").alias("lines")
+    current = totals.groupBy("request_id", "system", "span").agg(last)
+    lines = current.select("request_id", "system", F.inline("lines"))
     return (
-        current.groupBy("request_id", "system")
+        chunks.until_terminal(lines)
+        .groupBy("request_id", "system")
         .agg(
-            F.sum("chars").alias("chars"),
-            F.min("start_us").alias("start_us"),
-            F.max("last_us").alias("last_us"),
+            F.sum(F.coalesce("size", F.lit(0)).cast("bigint")).alias("chars"),
+            F.min("micros").alias("start_us"),
+            F.max("micros").alias("last_us"),
         )
         .withColumn("est_tokens", F.expr("chars div 4"))
     )
@@ -101,6 +93,17 @@ def window_averages(
     )
 
 
+def stage(log: DataFrame, path: str, cut: str = "5 days", shift: str = "12 hours", files: int = 2) -> None:
+    """Write a log in slices of time, one after the other, each in ``files`` files with its rows in no
+    order, and the closing row last: a stream of ``files`` files per trigger reads slice by slice."""
+    spark = log.sparkSession
+    sliced = log.withColumn("_slice", F.window("ts", cut, startTime=shift)["start"])
+    for row in sliced.select("_slice").distinct().orderBy("_slice").collect():  # one per slice of time
+        some = sliced.filter(F.col("_slice") == F.lit(row[0])).drop("_slice")
+        logs.write_log(some.repartition(files), path, S.CHUNK_LOG)
+    logs.write_log(drain_row(spark), path, S.CHUNK_LOG)
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process what is there, write finished rows, stop. Exactly once per checkpoint."""
     stream.writeStream.format("parquet").option("path", path).option(

@@ -1,6 +1,7 @@
-"""Chunk fold with own state: a row leaves at the terminal line or at the timeout."""
+"""Chunk fold with own state: a row leaves after the terminal line or at the timeout."""
 
 import sys
+from collections import namedtuple
 from collections.abc import Iterator
 
 from pyspark import cloudpickle
@@ -14,61 +15,84 @@ STATE = (
     "system string, gpu_type string, start_us bigint, first_us bigint, end_us bigint,"
     " chunks bigint, chars bigint, usage_tokens int, closed boolean, error string"
 )
-FIELDS = [part.split()[0] for part in STATE.split(",")]
-
-
-def advance(state: dict, row: Row) -> None:
-    """Fold one line into a request's state."""
-    at = row.micros
-    state["system"] = state["system"] or row.system
-    state["gpu_type"] = state["gpu_type"] or row.gpu_type
-    state["start_us"] = at if state["start_us"] is None else min(state["start_us"], at)
-    state["end_us"] = at if state["end_us"] is None else max(state["end_us"], at)
-    if row.content is not None:
-        first = state["first_us"]
-        state["first_us"] = at if first is None else min(first, at)
-        state["chunks"] += 1
-        state["chars"] += len(row.content)
-    if row.usage_tokens is not None:
-        state["usage_tokens"] = row.usage_tokens
-    state["error"] = row.error
-    state["closed"] = row.is_done or row.error is not None
+LINE = "seq int, micros bigint, size int, usage_tokens int, is_done boolean, error string"
+OPEN = "system string, gpu_type string, start_us bigint, end_us bigint, timer_ms bigint, done boolean"
+LINES_AT_ONCE = 1000
+
+Line = namedtuple("Line", [part.split()[0] for part in LINE.split(",")])
+
+
+def totals(lines: list) -> dict:
+    """The totals of one request's lines up to its terminal line."""
+    ends = sorted((x for x in lines if x.is_done or x.error is not None), key=lambda x: (x.seq is not None, x.seq))
+    end = min((x.seq for x in ends if x.seq is not None), default=None)
+    kept = [x for x in lines if end is None or x.seq is None or x.seq <= end]
+    content = [x for x in kept if x.size is not None]
+    usage = [x for x in kept if x.usage_tokens is not None and x.seq is not None]
+    return {
+        "start_us": min(x.micros for x in kept),
+        "first_us": min((x.micros for x in content), default=None),
+        "end_us": max(x.micros for x in kept),
+        "chunks": len(content),
+        "chars": sum(x.size for x in content),
+        "usage_tokens": max(usage, key=lambda x: x.seq).usage_tokens if usage else None,
+        "closed": bool(ends),
+        "error": next((x.error for x in ends if x.seq == end), None),
+    }
 
 
 class ChunkFold(StatefulProcessor):
-    """Keeps a dozen numbers per open request, never its lines."""
+    """Keeps a few numbers of each line of an open request, never its text. A request leaves when
+    the watermark has passed its end, so that lines in any order up to the delay count."""
 
     def __init__(self, timeout_s: float) -> None:
         self.timeout_ms = int(timeout_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.request = handle.getValueState("request", STATE)
+        self.request = handle.getValueState("request", OPEN)
+        self.lines = handle.getListState("lines", LINE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.request.get()
-        if known is None:
-            state = {**dict.fromkeys(FIELDS), "chunks": 0, "chars": 0, "closed": False}
-        else:
-            state = dict(zip(FIELDS, known))
-        if state["closed"]:
-            return
-        # One trigger's lines of one request; a client writes them in order.
-        for row in sorted(rows, key=lambda r: r.seq):
-            advance(state, row)
-            if state["closed"]:
-                break
-        if known is None:
-            self.handle.registerTimer(state["start_us"] // 1000 + self.timeout_ms + 1)
-        self.request.update(tuple(state[c] for c in FIELDS))
-        if state["closed"]:
-            yield Row(request_id=key[0], **state)
+        system, gpu, start, end, timer, done = known if known is not None else (None, None, None, None, None, False)
+        some: list[tuple] = []
+        for row in rows:
+            if done or row.micros is None:
+                continue
+            system, gpu = system or row.system, gpu or row.gpu_type
+            start = row.micros if start is None else min(start, row.micros)
+            if row.is_done or row.error is not None:
+                end = row.micros if end is None else min(end, row.micros)
+            some.append((row.seq, row.micros, row.size, row.usage_tokens, row.is_done, row.error))
+            if len(some) >= LINES_AT_ONCE:
+                self.lines.appendList(some)
+                some = []
+        if some:
+            self.lines.appendList(some)
+        if done or start is None:
+            return iter(())
+        late = start // 1000 + self.timeout_ms + 1
+        wanted = late if end is None else min(end // 1000 + 1, late)
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wanted)
+        self.request.update((system, gpu, start, end, wanted, False))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = dict(zip(FIELDS, self.request.get()))
-        self.request.clear()
-        if not state["closed"]:
-            yield Row(request_id=key[0], **state)
+        system, gpu, start, end, _, done = self.request.get()
+        if done:
+            self.request.clear()
+            return
+        found = totals([Line(*x) for x in self.lines.get()])
+        self.lines.clear()
+        # What still comes is ignored for twice the timeout.
+        forget = max(start // 1000 + 2 * self.timeout_ms, timerValues.getCurrentWatermarkInMs()) + 1
+        self.handle.registerTimer(forget)
+        self.request.update((system, gpu, start, end, forget, True))
+        yield Row(request_id=key[0], system=system, gpu_type=gpu, **found)
 
     def close(self) -> None:
         pass
@@ -77,12 +101,12 @@ class ChunkFold(StatefulProcessor):
 def fold_stateful(
     log: DataFrame, delay: str = "120 seconds", timeout_s: float = S.REQUEST_TIMEOUT_S
 ) -> DataFrame:
-    """Metrics row of each request as soon as it ended, or failed by timeout.
+    """Metrics row of each request once it ended, or failed by timeout.
 
-    The state of a closed request stays until its timeout, so that lines after the
-    end are ignored.
+    Lines of an open request may come in any order within ``delay``; lines after its end do
+    not count.
     """
-    parsed = chunks.parse_lines(log.withWatermark("ts", delay)).select(
+    parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay))).select(
         "request_id",
         "system",
         "gpu_type",
@@ -91,7 +115,7 @@ def fold_stateful(
         "seq",
         "is_done",
         "error",
-        "content",
+        "size",
         "usage_tokens",
     )
     folded = parsed.groupBy("request_id").transformWithState(

@@ -103,9 +103,9 @@ def test_duplicates_do_not_count(log):
 
 
 def staged(spark, log, path):
-    logs.write_log(chunks.until_terminal(chunks.parse_lines(log)), path, S.CHUNK_LOG)
-    logs.write_log(jobs.drain_row(spark), path, S.CHUNK_LOG)
-    return logs.stream_log(spark, path, S.CHUNK_LOG)
+    """The raw log in slices of 40 seconds, one per trigger."""
+    jobs.stage(log, path, "40 seconds", "0 seconds", 1)
+    return logs.stream_log(spark, path, S.CHUNK_LOG, max_files=1)
 
 
 @pytest.mark.parametrize("form", ["sessions", "stateful"])
