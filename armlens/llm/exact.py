@@ -150,8 +150,9 @@ def _unequal(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame
     members = written(members, "exact-members")
     wanted = members.select("doc_id", "raw").withColumnsRenamed({"doc_id": "_id", "raw": "_raw"})
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Dealt by id at every size: a broadcast of the ids would grow with the copies.
     texts = texts.withColumn("raw", F.xxhash64("text")).join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")), "left_semi"
+        wanted.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")), "left_semi"
     )
     chunks = written(_chunks(texts.select("doc_id", "raw", "text")), "exact-chunks")
     mine = members.filter(
