@@ -175,7 +175,7 @@ def test_alignment(a, b):
     best = plain_alignment(a, b)
     assert near.aligned(x, y, max(len(a), len(b), 1)) == best
     if a and b:
-        assert near.similar(x, y) == (9 * best >= 4 * (len(a) + len(b)))
+        assert near.similar(x, y, near.labelled(x), near.labelled(y)) == (9 * best >= 4 * (len(a) + len(b)))
 
 
 def edited(rng, words, changes):
@@ -209,7 +209,8 @@ def test_classes_against_all_pairs(spark):
 
     for i in range(len(rows)):
         for j in range(i):
-            if len(found[i]) and len(found[j]) and 9 * plain_alignment(found[i].tolist(), found[j].tolist()) >= 4 * (len(found[i]) + len(found[j])) if abs(len(found[i]) - len(found[j])) < 70 else False:
+            n, m = len(found[i]), len(found[j])
+            if n and m and 5 * min(n, m) >= 4 * max(n, m) and 9 * near.aligned(found[i], found[j], max(n, m)) >= 4 * (n + m):
                 a, b = top(i), top(j)
                 root[max(a, b)] = min(a, b)
     assert got == {k: top(k) for k in range(len(rows))}

@@ -29,7 +29,7 @@ def test_stages(spark):
             root = {i: i for i in ids}
             for j in ids:
                 for i in ids:
-                    if i < j and len(found[i]) and len(found[j]) and root[j] != root[i] and near.similar(found[i], found[j]):
+                    if i < j and len(found[i]) and len(found[j]) and root[j] != root[i] and near.similar(found[i], found[j], near.labelled(found[i]), near.labelled(found[j])):
                         low, high = sorted((root[i], root[j]))
                         root = {k: low if v == high else v for k, v in root.items()}
             assert seen[name] == set(root.values())

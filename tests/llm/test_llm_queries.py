@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from check import TABLES, connect, differences
 
@@ -59,7 +60,7 @@ def write(spark, folder, tables):
         if name in SCHEMAS:
             path = folder / f"{name}.parquet"
             frame = spark.createDataFrame(tables.get(name, []), SCHEMAS[name])
-            frame.toPandas().convert_dtypes(dtype_backend="pyarrow").to_parquet(path)
+            pq.write_table(frame.toArrow(), path)
         else:
             (folder / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
     return str(folder)
