@@ -25,8 +25,8 @@ SAMPLE_SEED = 42
 ROUGE_PASS = 0.70
 ROUGE_WARN = 0.50
 GAUGE_NAME = "spec_decode_draft_acceptance_rate"
-ACCEPTED_NAME = "vllm:spec_decode_num_accepted_tokens_total"
-DRAFTED_NAME = "vllm:spec_decode_num_draft_tokens_total"
+ACCEPTED_NAME = "spec_decode_num_accepted_tokens_total"
+DRAFTED_NAME = "spec_decode_num_draft_tokens_total"
 # -----------------------------------------------------------------------------
 
 CELL = ["system", "gpu_type", "task", "concurrency", "trial"]

@@ -5,14 +5,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: How a missing field is written.
+MISSING = "\\N"
+
+
 def _fields(lines: DataFrame, schema: T.StructType) -> DataFrame:
     parts = F.split("value", "\t", len(schema.fields))
-    return lines.select(
-        *[
-            (F.get(parts, F.lit(i)) if f.dataType == T.StringType() else F.get(parts, F.lit(i)).try_cast(f.dataType)).alias(f.name)
-            for i, f in enumerate(schema.fields)
-        ]
-    )
+
+    def field(i: int, kind: T.DataType):
+        text = F.nullif(F.get(parts, F.lit(i)), F.lit(MISSING))
+        return text if kind == T.StringType() else text.try_cast(kind)
+
+    return lines.select(*[field(i, f.dataType).alias(f.name) for i, f in enumerate(schema.fields)])
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -30,7 +34,7 @@ def stream_log(
 
 
 def log_lines(df: DataFrame, schema: T.StructType) -> DataFrame:
-    cells = [F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in schema.fields]
+    cells = [F.coalesce(F.col(f.name).cast("string"), F.lit(MISSING)) for f in schema.fields]
     return df.select(F.concat_ws("\t", *cells).alias("value"))
 
 

@@ -5,9 +5,9 @@ from pyspark.sql.types import StructType
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """One CSV file with a header; for grouped results, which are small. A missing
-    value is an empty cell."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option(
+    """CSV files with a header, one per partition; a small result is one file, since the
+    adaptive optimiser merges its partitions. A missing value is an empty cell."""
+    df.write.mode("overwrite").option("header", True).option(
         "emptyValue", ""
     ).option("nullValue", "").csv(path)
 

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from armlens.operators import compare, coverage, report
 
@@ -144,3 +145,36 @@ def test_labels(requests_of):
     log = requests_of(cell(10.0), cell(23.3, "eagle3", acceptance_rate=0.5))
     row = report.summary_labels(compare.extended_summary(log)).first()
     assert (row.task, row.speedup, row.acceptance, row.overhead) == ("Chat", "2.33×", "50%", "+0.1%")
+
+
+def test_attempts_pair_by_number(requests_of):
+    log = requests_of(
+        cell(1.0, total_latency_ms=300.0, request_id="a_c1_t1"), cell(1.0, total_latency_ms=100.0, request_id="a_c1_t1x"),
+        cell(1.0, "eagle3", total_latency_ms=100.0, request_id="a_c1_t1"), cell(1.0, "eagle3", total_latency_ms=200.0, request_id="a_c1_t1x"),
+        cell(1.0, "eagle3", total_latency_ms=None, request_id="b_c1_t1"), cell(1.0, total_latency_ms=10.0, request_id="b_c1_t1"),
+        cell(1.0, total_latency_ms=10.0, request_id="c_c1_t1"),
+    ).withColumn("prompt_id", F.substring("request_id", 1, 1))
+    got = sorted(((r.prompt_id, r.speedup, r.winner) for r in compare.race(log).collect()), key=str)
+    assert got == [("a", 0.5, "base"), ("a", 3.0, "spec"), ("b", None, None)]
+    left = [(r.prompt_id, r.base_unpaired, r.spec_unpaired) for r in compare.unpaired_requests(log, ["prompt_id"]).collect()]
+    assert left == [("c", 1, 0)]
+
+
+def test_rows_without_a_trial_stay(requests_of):
+    from armlens.operators import summary, views
+
+    log = requests_of({"trial": None}, {"trial": 99}, {"trial": 1})
+    assert views.without_trials(log).count() == 2 and summary.record_counts(log).first().summary_rows == 2
+
+
+def test_interval_over_two_systems(requests_of):
+    import numpy as np
+
+    from armlens.operators import series
+
+    rates = {"eagle3": [0.3, 0.5, 0.4], "mlx_spec": [0.1, 0.2]}
+    log = requests_of(*[{"system": s, "acceptance_rate": r} for s, some in rates.items() for r in some])
+    got = series.chart_series(log).filter("series = 'acceptance'").collect()
+    values = np.array([r for some in rates.values() for r in some])
+    half = 2.776 * values.std(ddof=1) / np.sqrt(5)
+    assert [(r.n, round(r.mean, 9), round(r.ci_high, 9)) for r in got] == [(5, round(values.mean(), 9), round(values.mean() + half, 9))]

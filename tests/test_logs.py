@@ -130,6 +130,18 @@ def test_log_text_roundtrip(spark, log, tmp_path):
     assert sorted(back.collect()) == sorted(log.collect())
 
 
+def test_missing_fields_come_back(spark, tmp_path):
+    rows = [("r", None, "", None, START, "data: [DONE]"), ("r", "eagle3", None, 2, None, None)]
+    logs.write_log(spark.createDataFrame(rows, S.CHUNK_LOG), f"{tmp_path}/log", S.CHUNK_LOG)
+    assert sorted(map(repr, map(tuple, logs.read_log(spark, f"{tmp_path}/log", S.CHUNK_LOG).collect()))) == sorted(map(repr, rows))
+
+
+def test_lines_without_seq_stay(spark):
+    data = 'data: {"choices": [{"delta": {"content": "abcd"}}]}'
+    rows = [("r", "baseline", "L4", seq, START, line) for seq, line in ((None, data), (1, data), (2, "data: [DONE]"), (3, data))]
+    assert [r.chars for r in chunks.fold(spark.createDataFrame(rows, S.CHUNK_LOG)).collect()] == [8]
+
+
 @pytest.fixture(scope="module")
 def scrapes(spark):
     def lines(server, second, *texts):
@@ -143,7 +155,7 @@ def scrapes(spark):
         + lines("a", 10, f"{accepted} 5.0", f"{drafted} 10.0")
         + lines("b", 0, f"{accepted} 0.0", f"{drafted} 0.0")
         + lines("b", 5, "vllm:spec_decode_draft_acceptance_rate 0.33337", f"{accepted} 1", f"{drafted} 4")
-        + lines("b", 9, f"{accepted} 7")
+        + lines("b", 9, f"{accepted.removeprefix('vllm:')} 7")
         + lines("c", 1, "up 1")
     )
     return spark.createDataFrame(data, S.COUNTER_LOG)
