@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 
+# How many characters an IBAN of a country has, without blanks.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """Of a listed country exactly its length, else as long as it goes on. Nothing is consumed,
+    so a candidate that fails does not hide one that starts inside it."""
+    rest = "[0-9]{2}(?: ?[A-Z0-9])"
+    listed = "|".join(f"(?:{c.replace(' ', '|')}){rest}{{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    return f"(?=[A-Z]{{2}}[0-9]{{2}})(?=({listed}|(?!{known})[A-Z]{{2}}{rest}{{11,30}}))"
+
+
 # What proposes a span of each kind.
 MAIL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -20,6 +38,8 @@ PATTERNS = {
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
+#: Kinds whose pattern looks ahead and captures the span, so that candidates may overlap.
+AHEAD = {"iban": _iban()}
 #: A text without this character has no span of the kind.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -72,8 +92,12 @@ CHECKS = {
 
 def _proposed(kind: str) -> tuple[Column, Column]:
     text = F.col("text")
-    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    pieces = F.split(text, PATTERNS[kind], -1)
+    if kind in AHEAD:
+        found = F.regexp_extract_all(text, F.lit(AHEAD[kind]), F.lit(1))
+        pieces = F.split(text, AHEAD[kind], -1)
+    else:
+        found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+        pieces = F.split(text, PATTERNS[kind], -1)
     none = F.array().cast("array<string>")
     if kind in NEEDS:
         has = F.instr(text, NEEDS[kind]) > 0
@@ -85,14 +109,18 @@ def _placed(kind: str) -> str:
     """Start and end of each match: running lengths of the pieces between the matches and
     of the matches, first inside blocks, then over the blocks, so the work stays linear."""
     at = "array<struct<start:int,stop:int,v:string,near:string>>"
+    between, taken = f"{kind}_between", "length(v)"
+    if kind in AHEAD:  # the pieces hold the matches; a match at the start has no piece before it
+        between = f"if(size({between}) = size({kind}_found), concat(array(''), {between}), {between})"
+        taken = "0"
     parts = (
-        f"zip_with(slice({kind}_between, 1, size({kind}_found)), {kind}_found, (p, v) ->"
-        f" struct(length(p) as gap, length(v) as len, v as v, right(p, {NEARBY}) as near))"
+        f"zip_with(slice({between}, 1, size({kind}_found)), {kind}_found, (p, v) ->"
+        f" struct(length(p) as gap, {taken} as taken, length(v) as len, v as v, right(p, {NEARBY}) as near))"
     )
     one = "struct(a.at + p.gap as start, a.at + p.gap + p.len as stop, p.v as v, p.near as near)"
     inside = (
         f"aggregate(part, struct(0 as at, cast(array() as {at}) as spans), (a, p) ->"
-        f" struct(a.at + p.gap + p.len as at, concat(a.spans, array({one})) as spans))"
+        f" struct(a.at + p.gap + p.taken as at, concat(a.spans, array({one})) as spans))"
     )
     blocks = f"transform(sequence(0, cast((size(parts) - 1) div {BLOCK} as int)), b -> slice(parts, b * {BLOCK} + 1, {BLOCK}))"
     moved = "struct(s.start + a.at as start, s.stop + a.at as stop, s.v as v, s.near as near)"
@@ -112,6 +140,11 @@ def _confirmed(kind: str) -> str:
         f"filter({kind}_at, x -> element_at(transform(array(struct(x.v as v, regexp_replace(x.v, '[ -]', '') as d)),"
         f" y -> {CHECKS[kind]}), 1))"
     )
+    if kind in AHEAD:  # of confirmed spans that overlap, the first
+        checked = (
+            f"aggregate({checked}, slice({kind}_at, 1, 0), (a, x) ->"
+            f" if(coalesce(try_element_at(a, -1).stop, 0) <= x.start, concat(a, array(x)), a))"
+        )
     score = f"if(lower(x.near) rlike '{CONTEXT[kind]}', {near}D, {plain}D)"
     return (
         f"filter(transform({checked}, x -> struct('{kind}' as kind, x.start as start, x.stop as stop, {score} as score)),"
