@@ -43,7 +43,7 @@ AHEAD = {"iban": _iban()}
 #: A text without this character has no span of the kind.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Score without and with one of the words in the 40 characters before the span.
+#: Score without and with one of the words in the 40 characters before the span or after it.
 SCORES = {
     "email": (0.8, 0.95),
     "ip": (0.6, 0.9),
@@ -63,6 +63,8 @@ CONTEXT = {
 NEARBY = 40
 THRESHOLD = 0.5
 BLOCK = 256
+#: Characters of a piece of text that context is taken from, more than ``NEARBY``.
+CONTEXT_BLOCK = 256
 
 
 def _luhn(digits: str) -> str:
@@ -108,22 +110,22 @@ def _proposed(kind: str) -> tuple[Column, Column]:
 def _placed(kind: str) -> str:
     """Start and end of each match: running lengths of the pieces between the matches and
     of the matches, first inside blocks, then over the blocks, so the work stays linear."""
-    at = "array<struct<start:int,stop:int,v:string,near:string>>"
+    at = "array<struct<start:int,stop:int,v:string>>"
     between, taken = f"{kind}_between", "length(v)"
     if kind in AHEAD:  # the pieces hold the matches; a match at the start has no piece before it
         between = f"if(size({between}) = size({kind}_found), concat(array(''), {between}), {between})"
         taken = "0"
     parts = (
         f"zip_with(slice({between}, 1, size({kind}_found)), {kind}_found, (p, v) ->"
-        f" struct(length(p) as gap, {taken} as taken, length(v) as len, v as v, right(p, {NEARBY}) as near))"
+        f" struct(length(p) as gap, {taken} as taken, length(v) as len, v as v))"
     )
-    one = "struct(a.at + p.gap as start, a.at + p.gap + p.len as stop, p.v as v, p.near as near)"
+    one = "struct(a.at + p.gap as start, a.at + p.gap + p.len as stop, p.v as v)"
     inside = (
         f"aggregate(part, struct(0 as at, cast(array() as {at}) as spans), (a, p) ->"
         f" struct(a.at + p.gap + p.taken as at, concat(a.spans, array({one})) as spans))"
     )
     blocks = f"transform(sequence(0, cast((size(parts) - 1) div {BLOCK} as int)), b -> slice(parts, b * {BLOCK} + 1, {BLOCK}))"
-    moved = "struct(s.start + a.at as start, s.stop + a.at as stop, s.v as v, s.near as near)"
+    moved = "struct(s.start + a.at as start, s.stop + a.at as stop, s.v as v)"
     over = (
         f"aggregate(transform({blocks}, part -> {inside}), struct(0 as at, cast(array() as {at}) as spans), (a, l) ->"
         f" struct(a.at + l.at as at, concat(a.spans, transform(l.spans, s -> {moved})) as spans), a -> a.spans)"
@@ -134,6 +136,19 @@ def _placed(kind: str) -> str:
     )
 
 
+def _context(span: str) -> str:
+    """The characters before and after a span, a line each, across other matches. They come from
+    pieces of the text of equal size, so that a span far into a long text costs no more."""
+
+    def cut(at: str, size: str) -> str:
+        block = f"cast({at} div {CONTEXT_BLOCK} as int)"
+        both = f"concat_ws('', get(blocks, {block}), get(blocks, {block} + 1))"
+        return f"substr({both}, {at} % {CONTEXT_BLOCK} + 1, {size})"
+
+    before = cut(f"greatest({span}.start - {NEARBY}, 0)", f"least({span}.start, {NEARBY})")
+    return f"concat_ws('\\n', {before}, {cut(f'{span}.stop', str(NEARBY))})"
+
+
 def _confirmed(kind: str) -> str:
     plain, near = SCORES[kind]
     checked = (
@@ -145,7 +160,7 @@ def _confirmed(kind: str) -> str:
             f"aggregate({checked}, slice({kind}_at, 1, 0), (a, x) ->"
             f" if(coalesce(try_element_at(a, -1).stop, 0) <= x.start, concat(a, array(x)), a))"
         )
-    score = f"if(lower(x.near) rlike '{CONTEXT[kind]}', {near}D, {plain}D)"
+    score = f"if(lower({_context('x')}) rlike '{CONTEXT[kind]}', {near}D, {plain}D)"
     return (
         f"filter(transform({checked}, x -> struct('{kind}' as kind, x.start as start, x.stop as stop, {score} as score)),"
         f" x -> x.score >= {THRESHOLD}D)"
@@ -163,7 +178,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         found, between = _proposed(kind)
         df = df.withColumns({f"{kind}_found": found, f"{kind}_between": between})
-    df = df.select("doc_id", *(F.expr(_placed(k)).alias(f"{k}_at") for k in KINDS))
+    some = " or ".join(f"size({k}_found) > 0" for k in KINDS)
+    blocks = f"if({some}, regexp_extract_all(text, '(?s).{{1,{CONTEXT_BLOCK}}}', 0), cast(array() as array<string>))"
+    df = df.select("doc_id", F.expr(blocks).alias("blocks"), *(F.expr(_placed(k)).alias(f"{k}_at") for k in KINDS))
     return df.select("doc_id", F.concat(*(F.expr(_confirmed(k)) for k in KINDS)).alias("spans"))
 
 

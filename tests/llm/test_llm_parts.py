@@ -93,6 +93,26 @@ def test_ibans_before_other_words_and_ibans(spark):
         assert got == want, text
 
 
+def test_context_on_both_sides_and_across_matches(spark):
+    far = "é🙂 filler " * 300
+    texts = [
+        "SSN: 123-45-6789, 987-65-4321, 111-22-3333", "123-45-6789 is my SSN", f"123-45-6789 {'x' * 40} ssn", f"ssn {'x' * 40} 123-45-6789",
+        f"{far}123-45-6789 {far}", f"{far}ssn 123-45-6789, 987-65-4321 {far}", f"{far}123-45-6789 is an SSN", "call a@b.co, +4930123456789",
+    ]
+    found = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for text, r in zip(texts, found):
+        got = {(s["kind"], s["start"], s["stop"]): s["score"] for s in r["spans"]}
+        want = {}
+        for kind, pattern in (("ssn", r"\d{3}-\d{2}-\d{4}"), ("email", r"[a-z]+@[a-z.]+"), ("phone", r"\+\d+")):
+            for m in re.finditer(pattern, text):
+                near = text[max(m.start() - 40, 0) : m.start()] + "\n" + text[m.end() : m.end() + 40]
+                score = pii.SCORES[kind][bool(re.search(pii.CONTEXT[kind], near.lower()))]
+                if score >= pii.THRESHOLD:
+                    want[kind, m.start(), m.end()] = score
+        assert got == want, text[:60]
+    assert [len(r["spans"]) for r in found] == [3, 1, 0, 0, 0, 2, 1, 2]
+
+
 # 3
 
 
