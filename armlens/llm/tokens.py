@@ -52,10 +52,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # texts are cut at added tokens before it sees them
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.line = self._ids("\n")
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.added = {t: np.array([i], self.width).tobytes() for t, i in added.items()}
+        longest_first = sorted(added, key=lambda t: (-len(t), t))
+        self.cuts = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
@@ -85,8 +89,16 @@ class Encoder:
             at = cut.start()
         yield text[at:]
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as the library gives them by default: an added token in a text is one id."""
+        if not self.cuts:
+            return self.encode(texts)
+        cut = [self.cuts.split(t) for t in texts]  # text, token, text, ..., text
+        plain = iter(self.encode([part for parts in cut for part in parts[::2]]))
+        return [b"".join(self.added[p] if k % 2 else next(plain) for k, p in enumerate(parts)) for parts in cut]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes of ``width``."""
+        """Ids of each text as bytes of ``width``, with added tokens read as any other text."""
         out: list[list[bytes]] = [[] for _ in texts]
         waiting: list[tuple[int, list[str]]] = []
         size = 0
@@ -144,7 +156,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
             if files is None:
                 files = [out_disk.open_output_stream(f"{out_root}/{name}.{x}") for x in ("tokens", "offsets", "ids")]
             ids = batch.column(0).fill_null(NO_ID)
-            coded = enc.encode([t or "" for t in batch.column(1).to_pylist()])
+            coded = enc.ids([t or "" for t in batch.column(1).to_pylist()])
             counts = np.array([len(c) // enc.width.itemsize + 1 for c in coded], np.uint64)
             starts = ids_done + np.concatenate(([0], np.cumsum(counts)[:-1])).astype("<u8")
             for c in coded:

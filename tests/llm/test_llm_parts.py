@@ -173,6 +173,29 @@ def test_pieces_encode_as_the_whole(text):
     assert enc.encode([text, text]) == [want, want]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([*PIECES, "<|endoftext|>", " <|endoftext|> ", "<|endoftext", "|>"]), max_size=60).map("".join))
+def test_added_tokens_as_the_library_has_them(text):
+    from tokenizers import Tokenizer
+
+    enc = tokens.encoder(tokens.vocabulary_path())
+    want = Tokenizer.from_file(tokens.vocabulary_path()).encode(text, add_special_tokens=False).ids
+    assert enc.ids(["x", text, ""])[1] == np.array(want, enc.width).tobytes()
+
+
+def test_added_tokens_in_the_files(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "after\n<|endoftext|>\n\n x", "none"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens.write_tokens(docs, str(tmp_path / "t"), tokens.vocabulary_path())
+    got = tokens.read_tokens(spark, str(tmp_path / "t")).orderBy("doc_id").collect()
+    plain = Tokenizer.from_file(tokens.vocabulary_path())
+    ids = [[*plain.encode(t, add_special_tokens=False).ids, tokens.END_ID] for t in texts]
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(i), zlib.crc32(np.array(i, "<u4"))) for i in ids]
+    assert [r["start"] for r in got] == [sum(map(len, ids[:k])) for k in range(len(ids))]
+
+
 def test_files_against_one_pass(spark, tmp_path):
     from tokenizers import Tokenizer
 
