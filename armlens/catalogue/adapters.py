@@ -264,6 +264,25 @@ def summary_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The whole text as the reference, its last two thirds before its first third: no prefix of an output.
+WHOLE_REFERENCE = (
+    "CASE WHEN doc_id % 10 <> 7 THEN concat(substr(text, length(text) div 3 + 1), ' ',"
+    " substr(text, 1, length(text) div 3)) END AS whole_reference"
+)
+
+
+def whole_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of both systems for every text of any length, with a whole reference, row by row."""
+    rows = table(spark, sf_dir, "documents").selectExpr(*SUMMARY_OUTPUTS[:3], SUMMARY_OUTPUTS[-1], WHOLE_REFERENCE)
+    ref = F.coalesce("whole_reference", F.lit("")).alias("ref")
+    arms = F.array(
+        F.struct(F.lit("baseline").alias("system"), ref, F.col("text").alias("hyp")),
+        F.struct(F.lit("eagle3").alias("system"), ref, F.col("shorter").alias("hyp")),
+    )
+    pairs = rows.select("prompt_id", F.inline(arms))
+    return pairs.withColumn("pair_id", F.concat_ws("/", "prompt_id", "system"))
+
+
 SCORABLE_SQL = (
     "SELECT * FROM (SELECT prompt_id || '/' || system AS pair_id, system, coalesce(reference_summary, '')"
     " AS ref, hyp FROM (SELECT *, 'baseline' AS system, text AS hyp FROM"

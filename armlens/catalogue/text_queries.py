@@ -242,7 +242,7 @@ def rouge_l(spark, sf_dir):
 @query()
 def rouge_stemmed(spark, sf_dir):
     """The three scores with stemming, per output."""
-    scored = quality.all_rouge(scorable_summaries(spark, sf_dir), ["system"], stem=True)
+    scored = quality.all_rouge(A.whole_summaries(spark, sf_dir), ["system"], stem=True)
     return tidy(scored)
 
 
@@ -284,6 +284,19 @@ def rouge_bars(spark, sf_dir):
     return series.rouge_bars(quality.rouge_summary(scored), ("baseline", "eagle3", "mlx_spec"))
 
 
+@query()
+def rouge_documents(spark, sf_dir):
+    """Mean of the three scores per system over all documents, long ones included."""
+    return quality.rouge_summary(quality.all_rouge(A.whole_summaries(spark, sf_dir), ["system"]))
+
+
+@query()
+def rouge_document_bars(spark, sf_dir):
+    """Bar heights per system over all documents; what is missing is zero."""
+    scored = quality.all_rouge(A.whole_summaries(spark, sf_dir), ["system"])
+    return series.rouge_bars(quality.rouge_summary(scored), ("baseline", "eagle3", "mlx_spec"))
+
+
 @query(
     f"""SELECT task, count(*) AS n, {r('avg(f)', 5)} AS mean_rouge_l, CASE WHEN avg(f) >= 0.7 THEN 'PASS'
     WHEN avg(f) >= 0.5 THEN 'WARN' ELSE 'FAIL' END AS result FROM ({_CONV_PAIRS}) p

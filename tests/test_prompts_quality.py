@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -6,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from armlens import schema as S
+from armlens.catalogue import QUERIES, adapters
 from armlens.functions.stem import stem
 from armlens.functions.udfs import lcs_length
 from armlens.operators import prompts, quality
@@ -155,3 +157,50 @@ def test_pairs_syntax_and_parity(spark, outputs):
     asked = spark.createDataFrame([("p1", "q" * 300)], "id string, prompt string")
     shown = rows(quality.side_by_side(pairs, asked, 1))
     assert shown == [("p1", "q" * 120, "```python\nx = 1\n```", "```python\nx = (\n```")]
+
+
+def _plain_rouge(ref, hyp):
+    a, b = (re.findall("[a-z0-9]+", t.lower()) for t in (ref, hyp))
+
+    def f(m, h, r):
+        return 2 * m * m / (h * r) / (m / h + m / r) if m else 0.0
+
+    scores = []
+    for n in (1, 2):
+        x, y = (Counter(zip(*(w[i:] for i in range(n)))) for w in (a, b))
+        scores.append(f((x & y).total(), y.total(), x.total()))
+    row = [0] * (len(b) + 1)
+    for word in a:
+        last = 0
+        for j, other in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if word == other else max(row[j], row[j + 1])
+    return [*scores, f(row[-1], len(b), len(a))]
+
+
+def test_rouge_of_whole_documents(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(60)], k=n)) for n in (1, 5, 40, 90, 1_200, 30, 1_500, 70, 80, 0)]
+    texts += ["one", "two words", " ".join(rng.choices("abc", k=300)), "x" * 200 + " y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {"baseline": [], "eagle3": []}
+    for k, text in enumerate(texts):
+        cut = len(text) // 3
+        ref = f"{text[cut:]} {text[:cut]}" if k % 10 != 7 else ""
+        for system, hyp in (("baseline", text), ("eagle3", text[100:] if k % 13 else "")):
+            if ref and hyp:
+                assert not hyp.startswith(ref)
+                want[system].append(_plain_rouge(ref, hyp))
+    got = QUERIES["rouge_documents"](spark, str(tmp_path)).collect()
+    assert {r["system"]: r["n"] for r in got} == {s: len(v) for s, v in want.items()}
+    bars = {(r["system"], r["metric"]): r["score"] for r in QUERIES["rouge_document_bars"](spark, str(tmp_path)).collect()}
+    for r in got:
+        for k, metric in enumerate(("rouge1", "rouge2", "rougeL")):
+            mean = sum(x[k] for x in want[r["system"]]) / len(want[r["system"]])
+            assert abs(r[metric] - mean) <= 0.5001e-4
+            assert bars[r["system"], metric] == r[metric]
+    refs = {(r["pair_id"], r["ref"]) for r in adapters.whole_summaries(spark, str(tmp_path)).collect() if r["ref"]}
+    stemmed = {r["pair_id"] for r in QUERIES["rouge_stemmed"](spark, str(tmp_path)).collect()}
+    assert stemmed <= {p for p, _ in refs} and any(len(ref) > 3_000 for _, ref in refs)
+    one = [r for r in QUERIES["rouge_stemmed"](spark, str(tmp_path)).collect() if r["pair_id"] == "summarization_4/baseline"]
+    assert one[0]["rouge1"] > 0.99  # the whole reference, not its first 300 characters
