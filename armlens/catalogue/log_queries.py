@@ -192,17 +192,16 @@ def stream_progress(spark, sf_dir):
 )
 def stream_window_ab(spark, sf_dir):
     """Both arms' averages per day over a stream of finished requests."""
-    root = shared_dir(spark, "windows")
-    totals = chunks.folded(A.chunk_log(spark, sf_dir))
-    done = chunks.request_metrics(totals, TIMEOUT_S, keep=["end_us"]).withColumn(
-        "ended_at", F.timestamp_micros("end_us")
-    )
-    done.write.parquet(f"{root}/in")
+    root, lines = _stage(spark, sf_dir, "windows")
+    folded = jobs.fold_sessions(lines, gap=DAY_GAP, timeout_s=TIMEOUT_S, keep=["end_us"])
+    done = folded.withColumn("ended_at", F.timestamp_micros("end_us"))
+    jobs.write_batches(done, f"{root}/done", f"{root}/done_checkpoint", "append")
     drain = spark.range(1).select(
         F.lit(jobs.DRAIN_ID).alias("request_id"), F.lit(jobs.DRAIN_TS).cast("timestamp").alias("ended_at")
     )
-    drain.write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(done.schema).parquet(f"{root}/in")
+    drain.write.parquet(f"{root}/done/batch=-1")
+    stream = spark.readStream.schema(done.schema).parquet(f"{root}/done")
+    stream = stream.filter((F.col("request_id") != jobs.DRAIN_ID) | F.col("end_us").isNull())
     windows = jobs.window_averages(stream, "1 day")
     jobs.append_to(windows, f"{root}/out", f"{root}/checkpoint")
     out = spark.read.schema(windows.schema).parquet(f"{root}/out").filter(F.col("arm").isNotNull())

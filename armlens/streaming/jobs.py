@@ -1,6 +1,8 @@
 """Structured Streaming forms of the chunk fold and the summaries."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -27,6 +29,7 @@ def fold_sessions(
     gap: str = "120 seconds",
     timeout_s: float = S.REQUEST_TIMEOUT_S,
     require_terminal: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One metrics row per request once its session has closed.
 
@@ -36,33 +39,43 @@ def fold_sessions(
     parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay)))
     sessions = parsed.groupBy("request_id", "system", "gpu_type", F.session_window("ts", gap))
     totals = chunks.totals_of_lines(sessions.agg(chunks.line_list()))
-    return chunks.request_metrics(totals, timeout_s, require_terminal=require_terminal)
+    return chunks.request_metrics(totals, timeout_s, require_terminal=require_terminal, keep=keep)
 
 
 def live_totals(log: DataFrame, delay: str = "120 seconds", span: str = "1 hour") -> DataFrame:
-    """Lines of every running request per time span, as numbers, for update mode.
+    """Lines of every running request per time span and block of ``seq``, as numbers, for update mode.
 
-    Spans behind the watermark leave the state, so it holds live requests only.
+    A value holds the lines of one block, and a trigger writes only the blocks it changed; lines
+    without a ``seq`` always count and are sums. Spans behind the watermark leave the state, so it
+    holds live requests only.
     """
     parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay)))
-    spans = parsed.groupBy("request_id", "system", F.window("ts", span)).agg(chunks.line_list())
-    return spans.select("request_id", "system", F.col("window.start").alias("span"), "lines")
+    block = F.floor(F.col("seq") / chunks.LINES_PER_BLOCK).alias("block")
+    spans = parsed.groupBy("request_id", "system", F.window("ts", span), block).agg(
+        F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "micros", "size", "is_done", "error"))).alias("lines"),
+        *(f.alias(c) for c, f in _sums(F.col("seq").isNull()).items()),
+    )
+    return spans.select("request_id", "system", F.col("window.start").alias("span"), "block", "lines", "chars", "start_us", "last_us")
+
+
+def _sums(where: Column) -> dict[str, Column]:
+    micros = F.when(where, F.col("micros"))
+    size = F.when(where, F.coalesce("size", F.lit(0)).cast("bigint"))
+    return {"chars": F.sum(size), "start_us": F.min(micros), "last_us": F.max(micros)}
 
 
 def request_progress(totals: DataFrame) -> DataFrame:
-    """Current progress per request from the written updates: the last update of each span, then all
-    spans together up to the request's end."""
-    last = F.max_by("lines", "batch").alias("lines")
-    current = totals.groupBy("request_id", "system", "span").agg(last)
-    lines = current.select("request_id", "system", F.inline("lines"))
+    """Current progress per request from the written updates: the last update of each block, then all
+    blocks together up to the request's end."""
+    last = F.max_by(F.struct("lines", "chars", "start_us", "last_us"), "batch").alias("last")
+    current = totals.groupBy("request_id", "system", "span", "block").agg(last).select("request_id", "system", "last.*")
+    lines = chunks.until_terminal(current.select("request_id", "system", F.inline("lines")))
+    placed = lines.groupBy("request_id", "system").agg(*(f.alias(c) for c, f in _sums(F.lit(True)).items()))
+    unplaced = current.filter(F.col("start_us").isNotNull()).drop("lines")
     return (
-        chunks.until_terminal(lines)
+        placed.unionByName(unplaced)
         .groupBy("request_id", "system")
-        .agg(
-            F.sum(F.coalesce("size", F.lit(0)).cast("bigint")).alias("chars"),
-            F.min("micros").alias("start_us"),
-            F.max("micros").alias("last_us"),
-        )
+        .agg(F.sum("chars").alias("chars"), F.min("start_us").alias("start_us"), F.max("last_us").alias("last_us"))
         .withColumn("est_tokens", F.expr("chars div 4"))
     )
 

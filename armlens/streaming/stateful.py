@@ -2,7 +2,7 @@
 
 import sys
 from collections import namedtuple
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
@@ -16,34 +16,41 @@ STATE = (
     " chunks bigint, chars bigint, usage_tokens int, closed boolean, error string"
 )
 LINE = "seq int, micros bigint, size int, usage_tokens int, is_done boolean, error string"
-OPEN = "system string, gpu_type string, start_us bigint, end_us bigint, timer_ms bigint, done boolean"
+OPEN = "system string, gpu_type string, start_us bigint, end_us bigint, timer_ms bigint, done boolean, parts bigint"
 LINES_AT_ONCE = 1000
+TYPED = LINE.replace(" ", ":").replace(",:", ",")
 
 Line = namedtuple("Line", [part.split()[0] for part in LINE.split(",")])
 
 
-def totals(lines: list) -> dict:
-    """The totals of one request's lines up to its terminal line."""
-    ends = sorted((x for x in lines if x.is_done or x.error is not None), key=lambda x: (x.seq is not None, x.seq))
-    end = min((x.seq for x in ends if x.seq is not None), default=None)
-    kept = [x for x in lines if end is None or x.seq is None or x.seq <= end]
-    content = [x for x in kept if x.size is not None]
-    usage = [x for x in kept if x.usage_tokens is not None and x.seq is not None]
-    return {
-        "start_us": min(x.micros for x in kept),
-        "first_us": min((x.micros for x in content), default=None),
-        "end_us": max(x.micros for x in kept),
-        "chunks": len(content),
-        "chars": sum(x.size for x in content),
-        "usage_tokens": max(usage, key=lambda x: x.seq).usage_tokens if usage else None,
-        "closed": bool(ends),
-        "error": next((x.error for x in ends if x.seq == end), None),
-    }
+def totals(parts: Callable[[], Iterator[list]]) -> dict:
+    """The totals of one request's lines up to its terminal line. ``parts`` gives the lines part by
+    part and is gone through twice: for the end, then for the sums; one part is held at a time."""
+    closed, end, error = False, None, None
+    for line in (x for part in parts() for x in part if x.is_done or x.error is not None):
+        if not closed or line.seq is not None and (end is None or line.seq < end):
+            end, error = line.seq, line.error
+        closed = True
+    out: dict = dict(start_us=None, first_us=None, end_us=None, chunks=0, chars=0, usage_tokens=None)
+    usage_seq = None
+    for x in (x for part in parts() for x in part):
+        if end is not None and x.seq is not None and x.seq > end:
+            continue
+        out["start_us"] = x.micros if out["start_us"] is None else min(out["start_us"], x.micros)
+        out["end_us"] = x.micros if out["end_us"] is None else max(out["end_us"], x.micros)
+        if x.size is not None:
+            out["first_us"] = x.micros if out["first_us"] is None else min(out["first_us"], x.micros)
+            out["chunks"] += 1
+            out["chars"] += x.size
+        if x.usage_tokens is not None and x.seq is not None and (usage_seq is None or x.seq > usage_seq):
+            usage_seq, out["usage_tokens"] = x.seq, x.usage_tokens
+    return out | {"closed": closed, "error": error}
 
 
 class ChunkFold(StatefulProcessor):
-    """Keeps a few numbers of each line of an open request, never its text. A request leaves when
-    the watermark has passed its end, so that lines in any order up to the delay count."""
+    """Keeps a few numbers of each line of an open request, never its text, in numbered parts of at
+    most ``LINES_AT_ONCE`` lines, so that no value of the state grows with the request. A request leaves
+    when the watermark has passed its end, so that lines in any order up to the delay count."""
 
     def __init__(self, timeout_s: float) -> None:
         self.timeout_ms = int(timeout_s * 1000)
@@ -51,11 +58,11 @@ class ChunkFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.request = handle.getValueState("request", OPEN)
-        self.lines = handle.getListState("lines", LINE)
+        self.lines = handle.getMapState("lines", "part bigint", f"lines array<struct<{TYPED}>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.request.get()
-        system, gpu, start, end, timer, done = known if known is not None else (None, None, None, None, None, False)
+        system, gpu, start, end, timer, done, parts = known if known is not None else (None, None, None, None, None, False, 0)
         some: list[tuple] = []
         for row in rows:
             if done or row.micros is None:
@@ -66,10 +73,11 @@ class ChunkFold(StatefulProcessor):
                 end = row.micros if end is None else min(end, row.micros)
             some.append((row.seq, row.micros, row.size, row.usage_tokens, row.is_done, row.error))
             if len(some) >= LINES_AT_ONCE:
-                self.lines.appendList(some)
-                some = []
+                self.lines.updateValue((parts,), (some,))
+                some, parts = [], parts + 1
         if some:
-            self.lines.appendList(some)
+            self.lines.updateValue((parts,), (some,))
+            parts += 1
         if done or start is None:
             return iter(())
         late = start // 1000 + self.timeout_ms + 1
@@ -78,20 +86,20 @@ class ChunkFold(StatefulProcessor):
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(wanted)
-        self.request.update((system, gpu, start, end, wanted, False))
+        self.request.update((system, gpu, start, end, wanted, False, parts))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        system, gpu, start, end, _, done = self.request.get()
+        system, gpu, start, end, _, done, parts = self.request.get()
         if done:
             self.request.clear()
             return
-        found = totals([Line(*x) for x in self.lines.get()])
+        found = totals(lambda: ([Line(*x) for x in self.lines.getValue((k,))[0]] for k in range(parts)))
         self.lines.clear()
         # What still comes is ignored for twice the timeout.
         forget = max(start // 1000 + 2 * self.timeout_ms, timerValues.getCurrentWatermarkInMs()) + 1
         self.handle.registerTimer(forget)
-        self.request.update((system, gpu, start, end, forget, True))
+        self.request.update((system, gpu, start, end, forget, True, 0))
         yield Row(request_id=key[0], system=system, gpu_type=gpu, **found)
 
     def close(self) -> None:
