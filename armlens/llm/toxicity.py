@@ -35,7 +35,7 @@ IDENTITY = (
     "immigrants refugees foreigners natives",
     "femmes hommes",
     "musulmans juifs",
-    "frauen",
+    "frauen männer",
     "mujeres hombres",
 )
 SWAPS = {

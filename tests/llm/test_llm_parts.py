@@ -351,6 +351,22 @@ def test_swaps_calm_the_score(spark):
     assert change(20.0) < 0.5 * change(0.0)
 
 
+def test_every_name_is_swapped_for_another():
+    assert [w for w, other in toxicity.SWAPS.items() if w == other] == []
+
+
+def test_neutral_mentions_of_a_name_stay_calm(spark):
+    rows = [(k, f"die frauen sagten dinge{k % 7} idiot" if k % 2 else f"ein tag mit dinge{k % 7} und wetter") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+
+    def change(fairness):
+        model = toxicity.train(docs, labels, fairness)
+        return abs(np.log(model.score(b"frauen kamen") / model.score("männer kamen".encode())))
+
+    assert change(20.0) < 0.5 * change(0.0)
+
+
 def test_one_class_gives_no_model(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(k, 1, 0) for k in range(50)], "doc_id long, quality int, toxic int")
