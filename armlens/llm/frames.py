@@ -21,11 +21,11 @@ BLANKS = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 """Byte table: a space for each ASCII white space, all else as it is."""
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows through a table in the shared folder: the lineage ends here and
-    lost executors cost no recomputation."""
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The rows through a table in the shared folder, in subfolders of ``by``: the lineage ends
+    here and lost executors cost no recomputation."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlens.llm import chat, decontaminate, exact, mixing, near, pii, quality, repeats, tokens, toxicity
+from armlens.llm import chat, decontaminate, exact, lexical, mixing, near, pii, quality, repeats, tokens, toxicity
 from armlens.llm.frames import table
 from armlens.session import configure, shared_dir
 
@@ -89,3 +89,9 @@ def op6_near_dedup(spark, sf_dir):
 def op9_substring_dedup(spark, sf_dir):
     """Passages of 50 words that an earlier document has, removed from all documents."""
     return repeats.dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query(lexical.ORACLE)
+def op13_lexical(spark, sf_dir):
+    """The ten documents that fit each benchmark item best."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
