@@ -34,6 +34,7 @@ OWNER_SHARES = (64, 16, 4)
 K = 10
 #: A contribution is below its weight times this.
 UNIT = 1_000_000
+ROWS_AT_ONCE = 10_000
 
 INDEX = pa.schema(
     [
@@ -69,29 +70,31 @@ def terms_of(data: bytes) -> list[bytes]:
 
 def _slice_rows(number: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
     """A slice's head (ids and sizes of its documents), then one row per term."""
-    where: dict[bytes, list[int]] = defaultdict(list)
-    sizes = []
-    for place, data in enumerate(texts):
-        words = terms_of(data)
-        sizes.append(len(words))
-        for word in words:
-            where[word].append(place)
+    code: dict[bytes, int] = {}
+    words = [[code.setdefault(w, len(code)) for w in terms_of(data)] for data in texts]
+    sizes = [len(x) for x in words]
     head = {"slice": [number], "ids": [ids], "sizes": [sizes]}
     yield pa.RecordBatch.from_arrays([pa.array(head.get(f.name, [None]), f.type) for f in INDEX], schema=INDEX)
-    terms = sorted(where)
-    for at in range(0, len(terms), 10_000):
-        some = terms[at : at + 10_000]
-        docs, counts, df = [], [], []
-        for term in some:
-            places = np.array(where[term], np.uint16)
-            new = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
-            docs.append(places[new].tobytes())
-            counts.append(np.diff(new, append=len(places)).astype(np.int64).tobytes())
-            df.append(len(new))
-        columns = {"slice": [number] * len(some), "term": some, "docs": docs, "counts": counts, "df": df}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns.get(f.name, [None] * len(some)), f.type) for f in INDEX], schema=INDEX
-        )
+    flat = np.concatenate([np.array(x, np.int64) for x in words])
+    keys, counts = np.unique(flat * len(texts) + np.repeat(np.arange(len(texts)), sizes), return_counts=True)
+    term, place = np.divmod(keys, len(texts))
+    starts = np.searchsorted(term, np.arange(len(code) + 1))
+    columns = {
+        "slice": pa.array(np.full(len(code), number)),
+        "term": pa.array(list(code), pa.binary()),
+        "docs": _runs(place.astype(np.uint16), starts),
+        "counts": _runs(counts.astype(np.int32), starts),
+        "df": pa.array(np.diff(starts)),
+    }
+    rows = pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(code), f.type)) for f in INDEX], schema=INDEX)
+    for at in range(0, rows.num_rows, ROWS_AT_ONCE):
+        yield rows.slice(at, ROWS_AT_ONCE)
+
+
+def _runs(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The bytes of the values from each start to the next, as a column."""
+    offsets = pa.py_buffer((starts * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, offsets, pa.py_buffer(values)])
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -158,7 +161,7 @@ def _stage(later: dict[int, int], n_docs: int, n_terms: int, k: int, last: bool)
                 scores[item][np.frombuffer(docs, np.uint16)] = np.frombuffer(carried, np.int64)
         right = postings.select(["docs", "counts", "weight", "items"]).to_pydict()
         for docs, counts, weight, items in zip(*right.values()):
-            places, tf = np.frombuffer(docs, np.uint16), np.frombuffer(counts, np.int64)
+            places, tf = np.frombuffer(docs, np.uint16), np.frombuffer(counts, np.int32).astype(np.int64)
             added = weight * (1_000_000_000 * tf // (1000 * tf + 8 * length[places]))
             for item in items:
                 scores[item][places] += added

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from armlens.llm import chat, decontaminate, exact, lexical, mixing, near, pii, quality, repeats, tokens, toxicity
+from armlens.llm import align, chat, decontaminate, exact, lexical, mixing, near, permutation, pii, quality, repeats, tokens, toxicity
 from armlens.llm.frames import table
 from armlens.session import configure, shared_dir
 
@@ -95,3 +95,15 @@ def op9_substring_dedup(spark, sf_dir):
 def op13_lexical(spark, sf_dir):
     """The ten documents that fit each benchmark item best."""
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_neighbours(spark, sf_dir):
+    """The nearest vectors of every hundredth one."""
+    return permutation.search(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op11_align(spark, sf_dir):
+    """Tokens of two tokenizers linked over every document."""
+    return align.align(table(spark, sf_dir, "documents"))
