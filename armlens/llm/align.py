@@ -270,9 +270,9 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     path_a, path_b = path_a or vocabulary_path(VOCABULARY_A), path_b or vocabulary_path(VOCABULARY_B)
     kept = written(blocks(docs, path_a, path_b), "aligned")
     counts = pair_counts(kept, pair(path_a, path_b).size_b)
-    wanted = kept.select("block", F.explode("pairs").alias("pair")).join(counts, "pair")
+    wanted = kept.select(F.col("block").alias("wanted_by"), F.explode("pairs").alias("pair")).join(counts, "pair")
     own = kept.select("block", "docs", "entry_doc", "entry_pair", "entry_count")
-    return own.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_sum_up, RESULT_DDL)
+    return own.groupBy("block").cogroup(wanted.groupBy("wanted_by")).applyInArrow(_sum_up, RESULT_DDL)
 
 
 def alignments(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:

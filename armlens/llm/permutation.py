@@ -23,11 +23,11 @@ from armlens.llm.frames import written
 #: Pivots, how many of them a vector is posted to, and how many a query asks.
 PIVOTS = 512
 POSTED = 256
-ASKED = 64
+ASKED = 48
 #: Vectors of one shard.
 SHARD = 1024
-#: Of each shard, the share that is ranked again (1 in 10), and no fewer than so many.
-SHARE = 10
+#: Of each shard, the share that is ranked again (1 in 6), and no fewer than so many.
+SHARE = 6
 LEAST = 64
 #: Numbers in one block of queries (16 MB), the most that a job broadcasts; queries that a task handles at once.
 BLOCK_NUMBERS = 1 << 21
