@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # A skewed join is split even where that costs one more exchange above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows with long texts go to Python workers in smaller batches.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
