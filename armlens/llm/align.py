@@ -26,7 +26,7 @@ from armlens.llm.tokens import encoder, vocabulary_path
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Bytes of text in one block; a longer document is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 DOC = pa.struct(
     [("doc_id", pa.int64())]
@@ -142,9 +142,9 @@ def lockstep(ids: list[list[np.ndarray]], lengths: list[np.ndarray]) -> Merged:
     for side, starts, size in zip(flat, bounds, lengths):
         total = np.concatenate(([0], np.cumsum(size[side])))
         ends.append(total[1:] - np.repeat(total[starts[:-1]], np.diff(starts)))
-    doc = np.flatnonzero(np.diff(bounds[0]))
-    state = np.stack([bounds[0][doc], bounds[1][doc]])
-    stop = bounds[0][doc + 1]
+    doc = np.flatnonzero(np.diff(bounds[0])).astype(np.int32)
+    state = np.stack([bounds[0][doc], bounds[1][doc]]).astype(np.int32)
+    stop = bounds[0][doc + 1].astype(np.int32)
     docs, links, cuts = [], [], []
     while len(doc):
         docs.append(doc)
@@ -158,7 +158,7 @@ def lockstep(ids: list[list[np.ndarray]], lengths: list[np.ndarray]) -> Merged:
         going = state[0] < stop
         if not going.all():
             doc, state, stop = doc[going], state[:, going], stop[going]
-    nothing = np.zeros((2, 0), np.int64)
+    nothing = np.zeros((2, 0), np.int32)
     cut = np.concatenate([*cuts, nothing], axis=1)
     cut = cut[:, np.argsort(cut[0])]
     return Merged(flat, ends, bounds, np.concatenate([*docs, nothing[0]]), list(np.concatenate([*links, nothing], axis=1)), list(cut))
@@ -185,7 +185,7 @@ def _block(number: int, ids: list, texts: list[str], both: Pair) -> pa.RecordBat
     merged = lockstep(both.encode(texts), both.lengths)
     n = len(texts)
     pair_ids = merged.ids[0][merged.links[0]] * both.size_b + merged.ids[1][merged.links[1]]
-    keys, counts = np.unique(merged.link_doc * (both.size_a * both.size_b) + pair_ids, return_counts=True)
+    keys, counts = np.unique(merged.link_doc.astype(np.int64) * (both.size_a * both.size_b) + pair_ids, return_counts=True)
     entry_doc, entry_pair = np.divmod(keys, both.size_a * both.size_b)
     pairs, place = np.unique(entry_pair, return_inverse=True)
     cut_doc = np.searchsorted(merged.bounds[0], merged.cuts[0], side="right") - 1

@@ -117,6 +117,7 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     one = sorted(map(tuple, align.align(docs).collect()))
     assert one == sorted(map(tuple, align.align(docs.repartition(7)).collect()))
+    monkeypatch.setattr(align, "BLOCK_BYTES", 8 << 20)
     assert len(list(align._in_blocks(["a" * (5 << 20), "b" * (4 << 20), "c", "d" * (9 << 20)]))) == 3
 
 
