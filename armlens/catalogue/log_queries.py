@@ -167,7 +167,7 @@ def stream_fold(spark, sf_dir):
 def stream_fold_stateful(spark, sf_dir):
     """The fold with own state: a request leaves at its end or at its timeout."""
     root, stream = _stage(spark, sf_dir, "state")
-    return _finished(spark, stateful.fold_stateful(stream, timeout_s=TIMEOUT_S), root)
+    return _finished(spark, stateful.fold_stateful(stream, timeout_s=TIMEOUT_S, window_s=24 * 3600), root)
 
 
 @query(
@@ -179,8 +179,8 @@ def stream_progress(spark, sf_dir):
     """Progress of all requests, kept by a running stream."""
     root, stream = _stage(spark, sf_dir, "progress")
     totals = jobs.live_totals(stream)
-    jobs.write_batches(totals, f"{root}/out", f"{root}/checkpoint", "update")
-    progress = jobs.request_progress(jobs.read_batches(spark, f"{root}/out", totals.schema))
+    jobs.keep_progress(totals, f"{root}/out", f"{root}/checkpoint")
+    progress = jobs.request_progress(jobs.newest(spark, f"{root}/out"))
     return progress.filter(F.col("request_id") != jobs.DRAIN_ID)
 
 

@@ -51,6 +51,15 @@ def parse_lines(log: DataFrame) -> DataFrame:
     )
 
 
+def is_terminal() -> Column:
+    return F.col("is_done") | F.col("error").isNotNull()
+
+
+def salt() -> Column:
+    """The task, of those that a hot request's lines are dealt to; 0 for a line without ``seq``."""
+    return F.coalesce(F.pmod("seq", F.lit(SALTS)), F.lit(0)).cast("int")
+
+
 def until_terminal(parsed: DataFrame) -> DataFrame:
     """Drop lines after a request's first [DONE] or error line; a client stops there.
 
@@ -59,14 +68,13 @@ def until_terminal(parsed: DataFrame) -> DataFrame:
     line are on the right side, once per salt, so a hot request is joined by several tasks.
     """
     ends = (
-        parsed.filter(F.col("is_done") | F.col("error").isNotNull())
+        parsed.filter(is_terminal())
         .groupBy("request_id")
         .agg(F.min("seq").alias("_end"), F.min_by("error", "seq").alias("_error"), F.lit(True).alias("_closed"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    salt = F.coalesce(F.pmod("seq", F.lit(SALTS)), F.lit(0)).cast("int")
     return (
-        parsed.withColumn("_salt", salt)
+        parsed.withColumn("_salt", salt())
         .join(ends, ["request_id", "_salt"], "left")
         .filter(F.coalesce(F.col("seq") <= F.col("_end"), F.lit(True)))
         .withColumns({"closed": F.coalesce("_closed", F.lit(False)), "error": F.col("_error")})
@@ -95,35 +103,85 @@ def line_totals() -> list[Column]:
     ]
 
 
-def line_list() -> Column:
-    """A request's lines as numbers, for totals that need the end first."""
-    return F.collect_list(F.struct("seq", "micros", "size", "usage_tokens", "is_done", "error")).alias("lines")
-
-
-def totals_of_lines(gathered: DataFrame) -> DataFrame:
-    """The totals of ``lines`` up to the terminal line, as ``line_totals`` has them."""
-    ends = "filter(lines, l -> l.is_done or l.error is not null)"
-    df = gathered.withColumn("_ends", F.expr(ends)).withColumn("_end", F.expr("array_min(transform(_ends, l -> l.seq))"))
-    kept = "filter(lines, l -> coalesce(l.seq <= _end, true))"
-    df = df.withColumn("_kept", F.expr(kept))
-    found = {
-        "start_us": "array_min(transform(_kept, l -> l.micros))",
-        "first_us": "array_min(transform(filter(_kept, l -> l.size is not null), l -> l.micros))",
-        "end_us": "array_max(transform(_kept, l -> l.micros))",
-        "chunks": "cast(size(filter(_kept, l -> l.size is not null)) as bigint)",
-        "chars": "aggregate(_kept, 0L, (a, l) -> a + coalesce(l.size, 0))",
-        "usage_tokens": "array_max(transform(filter(_kept, l -> l.usage_tokens is not null and l.seq is not null),"
-        " l -> struct(l.seq, l.usage_tokens as tokens))).tokens",
-        "closed": "size(_ends) > 0",
-        "error": "get(filter(_ends, l -> l.seq = _end), 0).error",
-    }
-    return df.withColumns({k: F.expr(v) for k, v in found.items()}).drop("lines", "_ends", "_end", "_kept")
+def closing() -> list[Column]:
+    """Whether lines that are cut at the terminal one hold it, and what error it names."""
+    return [F.max(is_terminal()).alias("closed"), F.max("error").alias("error")]
+
+
+def _summed(lines: Column) -> Column:
+    """The totals of an array of lines as one struct of numbers."""
+
+    def of(condition, value):
+        return F.transform(F.filter(lines, condition), value)
+
+    content = of(lambda x: x["size"].isNotNull(), lambda x: x["micros"])
+    sizes = of(lambda x: x["size"].isNotNull(), lambda x: x["size"].cast("bigint"))
+    usage = of(lambda x: x["usage_tokens"].isNotNull() & x["seq"].isNotNull(), lambda x: F.struct(x["seq"], x["usage_tokens"]))
+    micros = F.transform(lines, lambda x: x["micros"])
+    return F.struct(
+        F.array_min(micros).alias("start_us"),
+        F.array_min(content).alias("first_us"),
+        F.array_max(micros).alias("end_us"),
+        F.size(content).cast("bigint").alias("chunks"),
+        F.aggregate(sizes, F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("chars"),
+        F.array_max(usage).alias("usage"),
+    )
+
+
+def block_totals(parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A request's lines in blocks of ``LINES_PER_BLOCK`` numbers of ``seq``, each as its totals up to its own
+    first terminal line: ``block``, ``totals``, ``closed`` and ``error``.
+
+    A block's lines meet in one value of bounded size. Lines without a ``seq`` have no place after an
+    end: they are sums, in a row without a block.
+    """
+    block = F.floor(F.col("seq") / LINES_PER_BLOCK).alias("block")
+    line = F.struct("seq", "micros", "size", "usage_tokens", is_terminal().alias("ends"), "error")
+    found = parsed.groupBy(*keys, block).agg(
+        F.collect_list(F.when(F.col("seq").isNotNull(), line)).alias("_lines"), *line_totals(), F.max(is_terminal()).alias("closed")
+    )
+    end = F.array_min(F.transform(F.filter("_lines", lambda x: x["ends"]), lambda x: F.struct(x["seq"], x["error"])))
+    found = found.withColumn("_end", end)
+    kept = F.filter("_lines", lambda x: F.coalesce(x["seq"] <= F.col("_end.seq"), F.lit(True)))
+    no_usage = F.lit(None).cast("struct<seq:bigint,usage_tokens:int>").alias("usage")
+    loose = F.struct("start_us", "first_us", "end_us", "chunks", "chars", no_usage)
+    return found.withColumn("_kept", kept).select(
+        *keys, "block", F.when(F.col("block").isNull(), loose).otherwise(_summed(F.col("_kept"))).alias("totals"), "closed", F.col("_end.error").alias("error")
+    )
+
+
+def together(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A request's totals from its blocks: those before the first that holds an end, and that one."""
+    part = F.struct("block", "closed", "error", "totals")
+    found = blocks.groupBy(*keys).agg(F.collect_list(part).alias("_blocks"))
+    ends = F.filter("_blocks", lambda x: x["closed"] & x["block"].isNotNull())
+    found = found.withColumn("_end", F.array_min(F.transform(ends, lambda x: F.struct(x["block"], x["error"]))))
+    live = F.filter("_blocks", lambda x: F.coalesce(x["block"] <= F.col("_end.block"), F.lit(True)))
+    found = found.withColumn("_live", F.transform(live, lambda x: x["totals"]))
+
+    def each(name: str) -> Column:
+        return F.transform("_live", lambda x: x[name])
+
+    def total(name: str) -> Column:
+        return F.aggregate(each(name), F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias(name)
+
+    return found.select(
+        *keys,
+        F.array_min(each("start_us")).alias("start_us"),
+        F.array_min(each("first_us")).alias("first_us"),
+        F.array_max(each("end_us")).alias("end_us"),
+        total("chunks"),
+        total("chars"),
+        F.array_max(each("usage"))["usage_tokens"].alias("usage_tokens"),
+        F.exists("_blocks", lambda x: x["closed"]).alias("closed"),
+        F.col("_end.error").alias("error"),
+    )
 
 
 def folded(log: DataFrame) -> DataFrame:
-    """One row of totals per request. Arm, hardware and end are the same on all lines."""
-    lines = until_terminal(sized(parse_lines(log)))
-    return lines.groupBy("request_id", "system", "gpu_type", "closed", "error").agg(*line_totals())
+    """One row of totals per request, from one reading of the log. Arm and hardware are the same on all lines."""
+    keys = ["request_id", "system", "gpu_type"]
+    return together(block_totals(sized(parse_lines(log)), keys), keys)
 
 
 def token_count(estimate: bool = False) -> Column:

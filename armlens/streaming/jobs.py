@@ -1,15 +1,13 @@
 """Structured Streaming forms of the chunk fold and the summaries."""
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
 from armlens import schema as S
 from armlens.functions.numeric import exact_mean
-from armlens.operators import chunks, views
-from armlens.operators.summary import dashboard_means
+from armlens.operators import chunks, summary, views
 from armlens.sources import logs
 
 # A stage's last row: it moves the watermark past all real ones, so that the
@@ -23,6 +21,31 @@ def without_duplicates(log: DataFrame, delay: str = "120 seconds") -> DataFrame:
     return log.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id", "seq"])
 
 
+def until_terminal(parsed: DataFrame, delay: str = "120 seconds", span: str = "600 seconds") -> DataFrame:
+    """Drop lines after a request's first terminal line, as ``chunks.until_terminal`` does in batch.
+
+    A line goes if the request has a terminal line with a smaller ``seq`` that is at most ``span``
+    older and ``delay`` newer than it. Each line waits as a row of its own until the watermark has
+    passed it by ``delay``, and the terminal lines wait for ``span``, once per salt, so that neither
+    a value of the state nor a task grows with a request.
+    """
+    lines = parsed.withColumn("_salt", chunks.salt())
+    ends = parsed.filter(chunks.is_terminal() & F.col("seq").isNotNull()).select(
+        F.col("request_id").alias("_id"),
+        F.col("seq").alias("_end"),
+        F.col("ts").alias("_end_ts"),
+        F.explode(F.sequence(F.lit(0), F.lit(chunks.SALTS - 1))).alias("_end_salt"),
+    )
+    cut = (
+        (F.col("request_id") == F.col("_id"))
+        & (F.col("_salt") == F.col("_end_salt"))
+        & (F.col("seq") > F.col("_end"))
+        & F.expr(f"_end_ts <= ts + interval {delay}")
+        & F.expr(f"_end_ts >= ts - interval {span}")
+    )
+    return lines.join(ends, cut, "left").filter("_id is null").drop("_salt", *ends.columns)
+
+
 def fold_sessions(
     log: DataFrame,
     delay: str = "120 seconds",
@@ -33,12 +56,13 @@ def fold_sessions(
 ) -> DataFrame:
     """One metrics row per request once its session has closed.
 
-    The state holds a few numbers of each line of an open session, as many lines as the request
-    has tokens; the lines after the terminal one are left out when the session closes.
+    The lines are cut at the terminal one first, so what a session keeps are its totals: the state
+    has one small row per open request. A terminal line ends its session, so its reach is ``gap``.
     """
     parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay)))
-    sessions = parsed.groupBy("request_id", "system", "gpu_type", F.session_window("ts", gap))
-    totals = chunks.totals_of_lines(sessions.agg(chunks.line_list()))
+    lines = until_terminal(parsed, delay, gap)
+    sessions = lines.groupBy("request_id", "system", "gpu_type", F.session_window("ts", gap))
+    totals = sessions.agg(*chunks.line_totals(), *chunks.closing())
     return chunks.request_metrics(totals, timeout_s, require_terminal=require_terminal, keep=keep)
 
 
@@ -64,14 +88,26 @@ def _sums(where: Column) -> dict[str, Column]:
     return {"chars": F.sum(size), "start_us": F.min(micros), "last_us": F.max(micros)}
 
 
-def request_progress(totals: DataFrame) -> DataFrame:
-    """Current progress per request from the written updates: the last update of each block, then all
-    blocks together up to the request's end."""
-    last = F.max_by(F.struct("lines", "chars", "start_us", "last_us"), "batch").alias("last")
-    current = totals.groupBy("request_id", "system", "span", "block").agg(last).select("request_id", "system", "last.*")
+def keep_progress(totals: DataFrame, path: str, checkpoint: str) -> None:
+    """The blocks of all running requests as a table in the sink: a changed block replaces the one
+    that was there."""
+    key = ["request_id", "system", "span", "block"]
+
+    def merged(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        if before is None:
+            return batch
+        both = before.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+        values = [c for c in batch.columns if c not in key]
+        return both.groupBy(*key).agg(F.max_by(F.struct(*values), "_new").alias("_v")).select(*key, "_v.*")
+
+    fold_batches(totals, path, checkpoint, "update", merged)
+
+
+def request_progress(current: DataFrame) -> DataFrame:
+    """Current progress per request: all its blocks together up to the request's end."""
     lines = chunks.until_terminal(current.select("request_id", "system", F.inline("lines")))
     placed = lines.groupBy("request_id", "system").agg(*(f.alias(c) for c, f in _sums(F.lit(True)).items()))
-    unplaced = current.filter(F.col("start_us").isNotNull()).drop("lines")
+    unplaced = current.filter(F.col("start_us").isNotNull()).select("request_id", "system", "chars", "start_us", "last_us")
     return (
         placed.unionByName(unplaced)
         .groupBy("request_id", "system")
@@ -80,9 +116,21 @@ def request_progress(totals: DataFrame) -> DataFrame:
     )
 
 
-def incremental_means(requests: DataFrame) -> DataFrame:
-    """The dashboard table kept up to date, for complete mode."""
-    return dashboard_means(requests)
+def keep_summary(requests: DataFrame, path: str, checkpoint: str) -> None:
+    """The dashboard's statistics kept up to date: each batch's partial ones are merged by key into
+    the table of the batch before. The stream keeps no state of its own."""
+    key, metrics = summary.DASHBOARD_KEY, summary.DASHBOARD
+
+    def merged(batch: DataFrame, before: DataFrame | None) -> DataFrame:
+        parts = summary.partial_stats(views.weakly_valid_requests(batch), key, metrics)
+        return summary.merged_stats(parts if before is None else before.unionByName(parts), key, metrics)
+
+    fold_batches(requests, path, checkpoint, "append", merged)
+
+
+def kept_means(spark: SparkSession, path: str, deviation: bool = False) -> DataFrame:
+    """The dashboard table after the last batch."""
+    return summary.means_of_stats(newest(spark, path), summary.DASHBOARD_KEY, summary.DASHBOARD, deviation)
 
 
 def window_averages(
@@ -138,16 +186,35 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str) -> N
     ).trigger(availableNow=True).start().awaitTermination()
 
 
-def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(StructType(schema.fields).add("batch", LongType())).parquet(path)
+def fold_batches(
+    stream: DataFrame, path: str, checkpoint: str, mode: str, merged: Callable[[DataFrame, DataFrame | None], DataFrame]
+) -> None:
+    """A table kept in the sink: ``merged`` makes its next version from a batch and the version
+    before, None at first. A repeated batch starts from the same version again, so it changes nothing."""
 
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{path}/version={number - 1}") if number else None
+        merged(batch, before).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/version={number}")
+        if number > 1:  # the version before stays, for the case that this batch is repeated
+            remove(spark, f"{path}/version={number - 2}")
 
-def last_batch(batches: DataFrame) -> DataFrame:
-    """The newest result of a complete-mode stream."""
-    newest = batches.agg(F.max("batch").alias("_newest"))
-    return batches.join(F.broadcast(newest), F.col("batch") == F.col("_newest")).drop(
-        "batch", "_newest"
-    )
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).outputMode(
+        mode
+    ).trigger(availableNow=True).start().awaitTermination()
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of a table that ``fold_batches`` keeps."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folders = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    last = max(int(f.getPath().getName().removeprefix("version=")) for f in folders)
+    return spark.read.parquet(f"{path}/version={last}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def drain_row(spark: SparkSession) -> DataFrame:

@@ -1,134 +1,132 @@
 """Chunk fold with own state: a row leaves after the terminal line or at the timeout."""
 
 import sys
-from collections import namedtuple
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from armlens import schema as S
 from armlens.operators import chunks
+from armlens.streaming import jobs
 
-STATE = (
-    "system string, gpu_type string, start_us bigint, first_us bigint, end_us bigint,"
-    " chunks bigint, chars bigint, usage_tokens int, closed boolean, error string"
+TOTALS = (
+    "system string, gpu_type string, start_us bigint, first_us bigint, end_us bigint, chunks bigint,"
+    " chars bigint, usage_tokens int, usage_seq bigint, closed boolean, error string"
 )
-LINE = "seq int, micros bigint, size int, usage_tokens int, is_done boolean, error string"
-OPEN = "system string, gpu_type string, start_us bigint, end_us bigint, timer_ms bigint, done boolean, parts bigint"
-LINES_AT_ONCE = 1000
-TYPED = LINE.replace(" ", ":").replace(",:", ",")
-
-Line = namedtuple("Line", [part.split()[0] for part in LINE.split(",")])
-
-
-def totals(parts: Callable[[], Iterator[list]]) -> dict:
-    """The totals of one request's lines up to its terminal line. ``parts`` gives the lines part by
-    part and is gone through twice: for the end, then for the sums; one part is held at a time."""
-    closed, end, error = False, None, None
-    for line in (x for part in parts() for x in part if x.is_done or x.error is not None):
-        if not closed or line.seq is not None and (end is None or line.seq < end):
-            end, error = line.seq, line.error
-        closed = True
-    out: dict = dict(start_us=None, first_us=None, end_us=None, chunks=0, chars=0, usage_tokens=None)
-    usage_seq = None
-    for x in (x for part in parts() for x in part):
-        if end is not None and x.seq is not None and x.seq > end:
-            continue
-        out["start_us"] = x.micros if out["start_us"] is None else min(out["start_us"], x.micros)
-        out["end_us"] = x.micros if out["end_us"] is None else max(out["end_us"], x.micros)
-        if x.size is not None:
-            out["first_us"] = x.micros if out["first_us"] is None else min(out["first_us"], x.micros)
-            out["chunks"] += 1
-            out["chars"] += x.size
-        if x.usage_tokens is not None and x.seq is not None and (usage_seq is None or x.seq > usage_seq):
-            usage_seq, out["usage_tokens"] = x.seq, x.usage_tokens
-    return out | {"closed": closed, "error": error}
+STATE = f"{TOTALS}, timer_ms bigint, done boolean"
+FIELDS = [part.split()[0] for part in TOTALS.split(", ")]
+
+
+def _least(a, b):
+    return b if a is None else a if b is None else min(a, b)
+
+
+def _most(a, b):
+    return b if a is None else a if b is None else max(a, b)
+
+
+def together(a: dict, b: dict) -> dict:
+    """The totals of two sets of one request's lines, whichever comes first."""
+    newer = b if a["usage_seq"] is None or b["usage_seq"] is not None and b["usage_seq"] > a["usage_seq"] else a
+    return {
+        "system": _least(a["system"], b["system"]),
+        "gpu_type": _least(a["gpu_type"], b["gpu_type"]),
+        "start_us": _least(a["start_us"], b["start_us"]),
+        "first_us": _least(a["first_us"], b["first_us"]),
+        "end_us": _most(a["end_us"], b["end_us"]),
+        "chunks": a["chunks"] + b["chunks"],
+        "chars": a["chars"] + b["chars"],
+        "usage_tokens": newer["usage_tokens"],
+        "usage_seq": newer["usage_seq"],
+        "closed": a["closed"] or b["closed"],
+        "error": _most(a["error"], b["error"]),
+    }
 
 
 class ChunkFold(StatefulProcessor):
-    """Keeps a few numbers of each line of an open request, never its text, in numbered parts of at
-    most ``LINES_AT_ONCE`` lines, so that no value of the state grows with the request. A request leaves
-    when the watermark has passed its end, so that lines in any order up to the delay count."""
+    """Adds up the totals of an open request's windows in one small row. The request leaves when the
+    watermark has passed the windows up to its end, or up to its timeout; what comes then is
+    ignored for twice the timeout."""
 
-    def __init__(self, timeout_s: float) -> None:
+    def __init__(self, timeout_s: float, window_s: float) -> None:
         self.timeout_ms = int(timeout_s * 1000)
+        self.window_ms = int(window_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.request = handle.getValueState("request", OPEN)
-        self.lines = handle.getMapState("lines", "part bigint", f"lines array<struct<{TYPED}>>")
+        self.request = handle.getValueState("request", STATE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.request.get()
-        system, gpu, start, end, timer, done, parts = known if known is not None else (None, None, None, None, None, False, 0)
-        some: list[tuple] = []
+        totals = None if known is None else dict(zip(FIELDS, known))
+        timer, done = (None, False) if known is None else known[len(FIELDS) :]
+        if done:
+            return iter(())
         for row in rows:
-            if done or row.micros is None:
-                continue
-            system, gpu = system or row.system, gpu or row.gpu_type
-            start = row.micros if start is None else min(start, row.micros)
-            if row.is_done or row.error is not None:
-                end = row.micros if end is None else min(end, row.micros)
-            some.append((row.seq, row.micros, row.size, row.usage_tokens, row.is_done, row.error))
-            if len(some) >= LINES_AT_ONCE:
-                self.lines.updateValue((parts,), (some,))
-                some, parts = [], parts + 1
-        if some:
-            self.lines.updateValue((parts,), (some,))
-            parts += 1
-        if done or start is None:
+            new = {name: row[name] for name in FIELDS}
+            totals = new if totals is None else together(totals, new)
+        if totals is None or totals["start_us"] is None:
             return iter(())
-        late = start // 1000 + self.timeout_ms + 1
-        wanted = late if end is None else min(end // 1000 + 1, late)
+        wanted = totals["start_us"] // 1000 + self.timeout_ms
+        if totals["closed"]:
+            wanted = min(wanted, totals["end_us"] // 1000)
+        wanted += self.window_ms + 1
         if wanted != timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(wanted)
-        self.request.update((system, gpu, start, end, wanted, False, parts))
+        self.request.update((*(totals[name] for name in FIELDS), wanted, False))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        system, gpu, start, end, _, done, parts = self.request.get()
-        if done:
+        known = self.request.get()
+        if known[-1]:
             self.request.clear()
             return
-        found = totals(lambda: ([Line(*x) for x in self.lines.getValue((k,))[0]] for k in range(parts)))
-        self.lines.clear()
-        # What still comes is ignored for twice the timeout.
-        forget = max(start // 1000 + 2 * self.timeout_ms, timerValues.getCurrentWatermarkInMs()) + 1
+        totals = dict(zip(FIELDS, known))
+        forget = max(totals["start_us"] // 1000 + 2 * self.timeout_ms, timerValues.getCurrentWatermarkInMs()) + self.window_ms + 1
         self.handle.registerTimer(forget)
-        self.request.update((system, gpu, start, end, forget, True, 0))
-        yield Row(request_id=key[0], system=system, gpu_type=gpu, **found)
+        self.request.update((*known[: len(FIELDS)], forget, True))
+        yield Row(request_id=key[0], **totals)
 
     def close(self) -> None:
         pass
 
 
+def window_totals(log: DataFrame, delay: str, timeout_s: float, window: str) -> DataFrame:
+    """Each request's lines up to the terminal one as one row of totals per window of time."""
+    parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay)))
+    # As long as a request that has left is remembered, its end cuts what still comes.
+    lines = jobs.until_terminal(parsed, delay, f"{int(3 * timeout_s)} seconds")
+    has_usage = F.col("usage_tokens").isNotNull()
+    return lines.groupBy("request_id", F.window("ts", window)).agg(
+        F.min("system").alias("system"),
+        F.min("gpu_type").alias("gpu_type"),
+        *chunks.line_totals(),
+        F.max(F.when(has_usage, F.col("seq"))).alias("usage_seq"),
+        *chunks.closing(),
+    )
+
+
 def fold_stateful(
-    log: DataFrame, delay: str = "120 seconds", timeout_s: float = S.REQUEST_TIMEOUT_S
+    log: DataFrame,
+    delay: str = "120 seconds",
+    timeout_s: float = S.REQUEST_TIMEOUT_S,
+    window_s: int = 60,
 ) -> DataFrame:
     """Metrics row of each request once it ended, or failed by timeout.
 
-    Lines of an open request may come in any order within ``delay``; lines after its end do
-    not count.
+    Lines of an open request may come in any order within ``delay``; lines after its end and in
+    windows after its timeout do not count. They are added up per request and window in built-in aggregates; the state's
+    own code sees one row per request and window and keeps one small row per request.
     """
-    parsed = chunks.sized(chunks.parse_lines(log.withWatermark("ts", delay))).select(
-        "request_id",
-        "system",
-        "gpu_type",
-        "ts",
-        "micros",
-        "seq",
-        "is_done",
-        "error",
-        "size",
-        "usage_tokens",
-    )
-    folded = parsed.groupBy("request_id").transformWithState(
-        statefulProcessor=ChunkFold(timeout_s),
-        outputStructType=f"request_id string, {STATE}",
+    totals = window_totals(log, delay, timeout_s, f"{window_s} seconds")
+    folded = totals.groupBy("request_id").transformWithState(
+        statefulProcessor=ChunkFold(timeout_s, window_s),
+        outputStructType=f"request_id string, {TOTALS}",
         outputMode="append",
         timeMode="EventTime",
     )

@@ -97,6 +97,17 @@ def test_long_text_stays_one_row(spark, monkeypatch):
     assert [r.output_text for r in got] == ["".join(f"{i}," for i in range(20))]
 
 
+@pytest.mark.parametrize("size", [1, 2, 4096])
+def test_fold_does_not_depend_on_blocks(spark, log, monkeypatch, size):
+    want = by_request(chunks.fold(log))
+    monkeypatch.setattr(chunks, "LINES_PER_BLOCK", size)
+    assert by_request(chunks.fold(log)) == want
+    lines = chunks.until_terminal(chunks.sized(chunks.parse_lines(log)))
+    keys = ["request_id", "system", "gpu_type"]
+    plain = lines.groupBy(*keys).agg(*chunks.line_totals(), F.max("closed").alias("closed"), F.max("error").alias("error"))
+    assert by_request(plain) == by_request(chunks.folded(log))
+
+
 def test_duplicates_do_not_count(log):
     twice = log.unionByName(log)
     assert by_request(chunks.fold(chunks.without_duplicates(twice))) == by_request(chunks.fold(log))
@@ -124,68 +135,22 @@ def test_streaming_fold_equals_batch(spark, log, tmp_path, form):
         assert got[request].asDict() == row.asDict(), request
 
 
-class FakeState:
-    """State of one key in memory; ``values`` are what the store would hold as single values."""
-
-    def __init__(self):
-        self.values = {}
-
-    def get(self):
-        return self.values.get(None)
-
-    def update(self, value):
-        self.values[None] = value
-
-    def appendList(self, rows):
-        self.values.setdefault(None, []).extend(rows)
-
-    def updateValue(self, key, value):
-        self.values[key] = value
-
-    def getValue(self, key):
-        return self.values[key]
-
-    def clear(self):
-        self.values.clear()
-
-
-class FakeHandle:
-    def __init__(self):
-        self.states = {}
-
-    def _state(self, name, *_):
-        return self.states.setdefault(name, FakeState())
-
-    getValueState = getListState = getMapState = _state
-
-    def registerTimer(self, ms):
-        pass
-
-    deleteTimer = registerTimer
-
-    def getCurrentWatermarkInMs(self):
-        return 0
-
-
-def test_state_values_do_not_grow_with_a_request(log):
-    from pyspark.sql import Row
-
-    handle, fold = FakeHandle(), stateful.ChunkFold(600.0)
-    fold.init(handle)
-    n = 5 * stateful.LINES_AT_ONCE + 7
-    rows = [
-        Row(system="baseline", gpu_type="L4", seq=k if k % 10 else None, micros=1_000_000 + k, size=2, usage_tokens=k, is_done=k in (n - 50, n - 9), error=None)
-        for k in range(n)
-    ]
-    for at in (0, 1, 2500):
-        list(fold.handleInputRows(("r",), iter(rows[at : {0: 1, 1: 2500, 2500: n}[at]][::-1]), handle))
-    parts = [len(v[0]) for k, v in handle.states["lines"].values.items() if k is not None]
-    assert sum(parts) == n and max(parts) <= stateful.LINES_AT_ONCE
-    (got,) = fold.handleExpiredTimer(("r",), handle, None)
-    end = n - 50 if (n - 50) % 10 else n - 9
-    kept = [r for r in rows if r.seq is None or r.seq <= end]
-    assert (got.chunks, got.chars, got.closed, got.usage_tokens) == (len(kept), 2 * len(kept), True, end)
-    assert (got.start_us, got.first_us, got.end_us) == (1_000_000, 1_000_000, max(r.micros for r in kept))
+def test_state_values_do_not_grow_with_a_request(spark):
+    """The stateful fold adds totals of any split of a request's lines to what the batch fold has."""
+    data = 'data: {"choices": [{"delta": {"content": "abcd"}}]}'
+    usage = 'data: {"choices": [], "usage": {"completion_tokens": %d}}'
+    lines = [usage % k if k % 5 == 0 else data for k in range(300)] + ["data: [DONE]"]
+    rows = [("r", "baseline", "L4", k, START + dt.timedelta(seconds=k), line) for k, line in enumerate(lines)]
+    log = spark.createDataFrame(rows, S.CHUNK_LOG)
+    usage_seq = F.max(F.when(F.col("usage_tokens").isNotNull(), F.col("seq"))).alias("usage_seq")
+    parsed = chunks.sized(chunks.parse_lines(log)).withColumn("part", F.col("seq") % 7)
+    parts = parsed.groupBy("part").agg(F.min("system").alias("system"), F.min("gpu_type").alias("gpu_type"), *chunks.line_totals(), usage_seq, *chunks.closing())
+    both, *rest = [{k: r[k] for k in stateful.FIELDS} for r in parts.collect()]
+    for other in rest:
+        both = stateful.together(both, other)
+        assert len(repr(both)) < 400
+    (want,) = chunks.folded(log).collect()
+    assert all(both[c] == want[c] for c in ("start_us", "first_us", "end_us", "chunks", "chars", "usage_tokens", "closed", "error"))
 
 
 def test_live_totals_hold_one_block_a_value(spark, monkeypatch, tmp_path):
@@ -195,10 +160,10 @@ def test_live_totals_hold_one_block_a_value(spark, monkeypatch, tmp_path):
     rows = [("r", "baseline", "L4", seq, START + dt.timedelta(seconds=3 * k), line) for k, (seq, line) in enumerate(lines)]
     log = spark.createDataFrame(rows, S.CHUNK_LOG)
     totals = jobs.live_totals(staged(spark, log, f"{tmp_path}/in"))
-    jobs.write_batches(totals, f"{tmp_path}/out", f"{tmp_path}/ck", "update")
-    batches = jobs.read_batches(spark, f"{tmp_path}/out", totals.schema)
-    assert 0 < max(len(r.lines) for r in batches.collect()) <= 5  # a block and the terminal line
-    (got,) = jobs.request_progress(batches.filter(F.col("request_id") == "r")).collect()
+    jobs.keep_progress(totals, f"{tmp_path}/out", f"{tmp_path}/ck")
+    blocks = jobs.newest(spark, f"{tmp_path}/out")
+    assert 0 < max(len(r.lines) for r in blocks.collect()) <= 5  # a block and the terminal line
+    (got,) = jobs.request_progress(blocks.filter(F.col("request_id") == "r")).collect()
     cut = chunks.until_terminal(chunks.sized(chunks.parse_lines(log))).agg(F.sum("size"), F.min("micros"), F.max("micros")).first()
     assert (got.chars, got.start_us, got.last_us) == tuple(cut)
 

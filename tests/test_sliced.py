@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from armlens.operators import chunks
-from armlens.plans.sliced import next_known, previous, running
+from armlens.plans.sliced import Slices, next_known, previous, running
 
 
 
@@ -68,33 +68,37 @@ def test_missing_keys_and_order(spark):
     assert got == {i: None if i in (0, 3) else i - 1 for i in range(304)}
 
 
-def test_hot_request_is_split(spark):
-    """Without a broadcast the lines of a hot request are joined under several salts."""
-    limits = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
-    }
-    try:
-        for k, v in limits.items():
-            spark.conf.set(k, v)
-        n = 100_000
-        ident = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 5000).cast("string")))
-        log = spark.range(0, n, 1, 16).select(
-            ident.alias("request_id"),
-            F.lit("baseline").alias("system"),
-            F.lit("L4").alias("gpu_type"),
-            F.col("id").alias("seq"),
-            F.timestamp_micros("id").alias("ts"),
-            F.when(F.col("id") == n - 1, "data: [DONE]").otherwise('data: {"choices": [{"delta": {"content": "ab"}}]}').alias("line"),
-        )
-        folded = chunks.fold(log)
-        got = {r.request_id: r.chunks for r in folded.collect()}
-        plan = folded._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k in limits:
-            spark.conf.unset(k)
-    assert got["hot"] == len(range(0, n, 3)) - (1 if (n - 1) % 3 == 0 else 0)
-    assert "SortMergeJoin" in plan and "_salt" in plan
+def test_half_of_all_rows_at_one_instant(spark):
+    """Rows of one key and one time are cut by their hash, and every one follows another."""
+    data = [("hot", 7, i, i % 5) for i in range(3000)] + [(f"k{i % 50}", i, 3000 + i, i % 3) for i in range(3000)]
+    rows = spark.createDataFrame(data, "k string, t bigint, seq bigint, v int")
+    slices = Slices(rows, ["k"], ["t"])
+    assert slices.rows.filter("k = 'hot'").select("_slice").distinct().count() >= 3
+    assert slices.of_cut_keys().select("k").distinct().count() <= 8
+    out = running(rows, ["k"], ["t"], sums={"total": F.col("v") * 0 + 1}).filter("k = 'hot'")
+    assert sorted(r.total for r in out.collect()) == list(range(1, 3001))
+    before = [r.before for r in previous(rows, ["k"], ["t"], {"before": "seq"}).filter("k = 'hot'").collect()]
+    assert before.count(None) == 1 and len(set(before)) == 3000
+    ahead = next_known(rows.withColumn("x", F.when(F.col("seq") == 17, 1)), ["k"], ["t"], {"nx": "x"}).filter("k = 'hot'")
+    assert 0 < ahead.filter("nx = 1").count() <= 3000 and ahead.filter("seq = 17 and nx = 1").count() == 1
+
+
+def test_hot_request_is_folded_by_blocks(spark):
+    """One reading of the log, and the lines of a hot request meet block by block."""
+    n = 100_000
+    ident = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 5000).cast("string")))
+    log = spark.range(0, n, 1, 16).select(
+        ident.alias("request_id"),
+        F.lit("baseline").alias("system"),
+        F.lit("L4").alias("gpu_type"),
+        F.col("id").alias("seq"),
+        F.timestamp_micros("id").alias("ts"),
+        F.when(F.col("id") == 90_000, "data: [DONE]").otherwise('data: {"choices": [{"delta": {"content": "ab"}}]}').alias("line"),
+    )
+    folded = chunks.fold(log)
+    got = {r.request_id: r.chunks for r in folded.collect()}
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert got["hot"] == 30_000 and len(got) == 5001
+    assert "SortMergeJoin" not in plan and plan.split("Initial Plan")[-1].count("Range (") == 1
+    blocks = chunks.block_totals(chunks.sized(chunks.parse_lines(log)), ["request_id"]).filter("request_id = 'hot'")
+    assert blocks.count() == -(-n // chunks.LINES_PER_BLOCK)
