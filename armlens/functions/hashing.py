@@ -1,12 +1,12 @@
 """Seeded, engine-independent hashing for samples and bootstrap weights."""
 
 import math
+import random
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HASH_RANGE = 2**32
-
 
 def hash32(text: Column) -> Column:
     """The first 32 bits of md5 as BIGINT."""
@@ -18,18 +18,27 @@ def sample_key(seed: int, ident: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), ident.cast("string")))
 
 
+#: A prime: a row's hash times one number plus another, modulo it, is a draw. Of two rows with
+#: different hashes the draws are independent.
+PRIME = 2**31 - 1
+
+
+def draw_numbers(draws: int, seed: int) -> list[tuple[int, int]]:
+    """The two numbers of each draw."""
+    rng = random.Random(seed)
+    return [(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(draws)]
+
+
 def poisson_cuts(levels: int = 10) -> list[int]:
-    """Cumulative Poisson(1) probabilities scaled to the 32-bit hash range."""
+    """Cumulative Poisson(1) probabilities scaled to the range of a draw."""
     total, cuts = 0.0, []
     for k in range(levels):
         total += math.exp(-1) / math.factorial(k)
-        cuts.append(int(total * HASH_RANGE))
+        cuts.append(int(total * PRIME))
     return cuts
 
 
-def poisson_one(h: Column) -> Column:
-    """A Poisson(1) draw by inverting the distribution at a 32-bit hash."""
-    draw = F.lit(0)
-    for cut in poisson_cuts():
-        draw = draw + (h >= cut).cast("int")
-    return draw
+def poisson_draws(h: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """The Poisson(1) draws of rows with hashes ``h``, one column per draw, by inverting the distribution."""
+    a, c = np.array(draw_numbers(draws, seed), np.int64).reshape(-1, 2).T
+    return np.searchsorted(poisson_cuts(), (h[:, None] * a + c) % PRIME, side="right")

@@ -6,7 +6,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from armlens.operators import intervals, series, summary, views
+from armlens.functions import hashing
 from armlens.operators import quantiles
+from armlens.operators.summary import Metric
 from armlens.operators.quantiles import exact_quantiles
 
 
@@ -95,9 +97,22 @@ def test_dimension_values(log):
     assert all(value is not None for _, value, _ in got)
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_exact_quantiles_equal_numpy(spark, monkeypatch, accuracy):
-    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+def test_ordered_bits(spark):
+    tiny = 5e-324
+    edges = [0.0, -0.0, tiny, -tiny, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, -1.0, 0.1, 3.0, 1 / 3, 1e308, -1e308, float("inf"), -float("inf")]
+    edges += [float(2.0**e) for e in range(-1074, 1024, 13)] + [float(np.nextafter(2.0**e, 0)) for e in range(-1000, 1024, 17)]
+    rng = np.random.default_rng(2)
+    drawn = rng.integers(0, 0x7FF0 << 48, 3000).view(np.float64)
+    values = [*edges, *map(float, drawn), *map(float, -drawn)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[1] for r in quantiles.with_ordered_bits(df, "v").collect()]
+    raw = [int(np.float64(abs(v)).view(np.int64)) for v in values]
+    assert got == [-b if v < 0 else b for v, b in zip(values, raw)]
+    (_, nan) = quantiles.with_ordered_bits(spark.createDataFrame([(float("nan"),)], "v double"), "v").first()
+    assert nan > max(got)
+
+
+def test_exact_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(3)
     groups = {
         "skewed": np.exp(rng.normal(size=4000) * 3),
@@ -105,6 +120,8 @@ def test_exact_quantiles_equal_numpy(spark, monkeypatch, accuracy):
         "one": np.array([7.0]),
         "flat": np.full(50, 2.5),
         "two": np.array([1.0, 2.0]),
+        "signed": rng.normal(size=3000) * 1e-3,
+        "near": 1.0 + rng.integers(0, 40, 2000) * 2.0**-52,
     }
     data = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("flat", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(6)
@@ -135,15 +152,38 @@ def test_bootstrap_is_stable_and_near_theory(spark):
     rng = np.random.default_rng(5)
     data = [("a", str(i), float(v)) for i, v in enumerate(rng.normal(10, 2, 4000))]
     df = spark.createDataFrame(data, "g string, id string, x double")
-    args = dict(value="x", row_key="id", keys=["g"], replicates=200)
+    args = dict(value="x", by="id", keys=["g"], replicates=200)
     first = intervals.bootstrap_interval(df, **args).first()
     again = intervals.bootstrap_interval(df.repartition(7), **args).first()
     assert [round(v, 9) for v in first[1:]] == [round(v, 9) for v in again[1:]]
+    assert first.replicates == 200
     half = 1.96 * 2 / np.sqrt(4000)
     assert first.ci_high - first.ci_low == pytest.approx(2 * half, rel=0.3)
     assert first.ci_low < first.mean < first.ci_high and first.n == 4000
 
 
+def test_bootstrap_next_to_plain_weights(spark):
+    """Every replicate counts, also one that gives no row a weight; blocks draw together."""
+    import hashlib
+
+    data = [("one", "a", 3.0), *[("few", f"r{i}", float(i)) for i in range(4)], *[("many", f"m{i}", float(i % 7)) for i in range(60)]]
+    df = spark.createDataFrame(data, "g string, id string, x double").withColumn("block", F.substring("id", 1, 2))
+
+    def plain(group, key):
+        means = []
+        values = [(key(i), x) for g, i, x in data if g == group]
+        for a, c in hashing.draw_numbers(50, 9):
+            draws = [(sum((int(hashlib.md5(k.encode()).hexdigest()[:8], 16) % hashing.PRIME * a + c) % hashing.PRIME >= cut for cut in hashing.poisson_cuts()), x) for k, x in values]
+            total = sum(w for w, _ in draws)
+            means.append(sum(w * x for w, x in draws) / total if total else sum(x for _, x in values) / len(values))
+        return np.quantile(means, [0.025, 0.975])
+
+    for by, key in (("id", lambda i: i), ("block", lambda i: i[:2])):
+        for r in intervals.bootstrap_interval(df, Metric("twice", "x * 2"), ["g"], by, 50, 9).collect():
+            assert r.replicates == 50
+            assert (r.ci_low, r.ci_high) == pytest.approx(tuple(2 * plain(r.g, key)), abs=1e-12)
+
+
 def test_rouge_bars_fill_missing_system(spark):
     table = spark.createDataFrame([("baseline", 0.3, 0.1, 0.2)], "system string, rouge1 double, rouge2 double, rougeL double")
     got = rows(series.rouge_bars(table), "system", "metric")
