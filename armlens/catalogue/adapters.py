@@ -156,11 +156,6 @@ SCRAPE_LINES = [
 ]
 
 
-def server_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per scrape or cell end: the rows per server, without any parsing."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("server"))
-
-
 def counter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = apply(table(spark, sf_dir, "events"), EVENT_FACTS, SCRAPES)
     steps = events.filter("event_type <> 'signup'").withColumn(
@@ -240,22 +235,29 @@ PAIRS_SQL = (
     " AND b.system = 'baseline' AND s.system = 'eagle3'"
 )
 
+# The whole text as the reference, its last two thirds before its first third: no prefix of an output.
 SUMMARY_OUTPUTS = [
     "concat('summarization_', CAST(doc_id AS STRING)) AS prompt_id",
-    "doc_id",
     "text",
-    "CASE WHEN doc_id % 10 <> 7 THEN substr(text, 1, 300) END AS reference_summary",
+    "CASE WHEN doc_id % 10 <> 7 THEN concat(substr(text, CAST(floor(length(text) / 3) AS INT) + 1), ' ',"
+    " substr(text, 1, CAST(floor(length(text) / 3) AS INT))) END AS reference_summary",
     "CASE WHEN doc_id % 13 = 0 THEN '' ELSE substr(text, 101) END AS shorter",
 ]
 
 
-def summary_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply(table(spark, sf_dir, "documents"), SUMMARY_OUTPUTS)
+def _both_systems(rows: DataFrame, *carried: str) -> DataFrame:
+    """A row per system; ``carried`` columns go along."""
     arms = F.array(
-        F.struct(F.lit("baseline").alias("system"), F.col("text").alias("hyp")),
-        F.struct(F.lit("eagle3").alias("system"), F.col("shorter").alias("hyp")),
+        *[
+            F.struct(F.lit(system).alias("system"), F.col(text).alias("hyp"))
+            for system, text in (("baseline", "text"), ("eagle3", "shorter"))
+        ]
     )
-    return rows.select("prompt_id", F.inline(arms))
+    return rows.select("prompt_id", *carried, F.inline(arms))
+
+
+def summary_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _both_systems(apply(table(spark, sf_dir, "documents"), SUMMARY_OUTPUTS))
 
 
 def summary_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,30 +266,20 @@ def summary_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The whole text as the reference, its last two thirds before its first third: no prefix of an output.
-WHOLE_REFERENCE = (
-    "CASE WHEN doc_id % 10 <> 7 THEN concat(substr(text, length(text) div 3 + 1), ' ',"
-    " substr(text, 1, length(text) div 3)) END AS whole_reference"
-)
-
-
 def whole_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs of both systems for every text of any length, with a whole reference, row by row."""
-    rows = table(spark, sf_dir, "documents").selectExpr(*SUMMARY_OUTPUTS[:3], SUMMARY_OUTPUTS[-1], WHOLE_REFERENCE)
-    ref = F.coalesce("whole_reference", F.lit("")).alias("ref")
-    arms = F.array(
-        F.struct(F.lit("baseline").alias("system"), ref, F.col("text").alias("hyp")),
-        F.struct(F.lit("eagle3").alias("system"), ref, F.col("shorter").alias("hyp")),
-    )
-    pairs = rows.select("prompt_id", F.inline(arms))
-    return pairs.withColumn("pair_id", F.concat_ws("/", "prompt_id", "system"))
+    rows = apply(table(spark, sf_dir, "documents"), SUMMARY_OUTPUTS)
+    rows = rows.withColumn("ref", F.coalesce("reference_summary", F.lit("")))
+    return _both_systems(rows, "ref").withColumn("pair_id", F.concat_ws("/", "prompt_id", "system"))
 
 
+SUMMARIES_SQL = (
+    f"SELECT *, 'baseline' AS system, text AS hyp FROM ({as_sql('documents', SUMMARY_OUTPUTS)})"
+    f" UNION ALL SELECT *, 'eagle3' AS system, shorter AS hyp FROM ({as_sql('documents', SUMMARY_OUTPUTS)})"
+)
 SCORABLE_SQL = (
     "SELECT * FROM (SELECT prompt_id || '/' || system AS pair_id, system, coalesce(reference_summary, '')"
-    " AS ref, hyp FROM (SELECT *, 'baseline' AS system, text AS hyp FROM"
-    f" ({as_sql('documents', SUMMARY_OUTPUTS)}) UNION ALL SELECT *, 'eagle3' AS system, shorter AS hyp"
-    f" FROM ({as_sql('documents', SUMMARY_OUTPUTS)}))) WHERE length(ref) > 0 AND length(hyp) > 0"
+    f" AS ref, hyp FROM ({SUMMARIES_SQL})) WHERE length(ref) > 0 AND length(hyp) > 0"
 )
 
 DOC_PAIRS = [

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from armlens import schema as S
 from armlens.catalogue import adapters as A
 from armlens.catalogue.registry import div, exact_r, query, r, tidy
-from armlens.functions.hashing import poisson_cuts
+from armlens.functions.hashing import PRIME, draw_numbers, poisson_cuts
 from armlens.functions.text import prompt_id, request_id
 from armlens.operators import (
     compare,
@@ -79,14 +79,16 @@ def requests_scan(spark, sf_dir):
     )
     path = shared_dir(spark, "request-lines")
     lines.write.text(path)
-    loaded = source.read_requests(spark, path)
+    target = shared_dir(spark, "request-rows")
+    source.sort_out(spark, path, target)
+    loaded = source.read_sorted(spark, target)
     per_system = loaded.groupBy("system").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("error").alias("failed"),
         F.sum("output_tokens").alias("tokens"),
         F.avg("ttft_ms").alias("avg_ttft_ms"),
     )
-    bad = source.quarantined(spark, path).agg(F.count(F.lit(1)).alias("n")).select(
+    bad = source.quarantined(spark, target).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("(malformed)").alias("system"),
         "n",
         F.lit(0).cast("bigint").alias("failed"),
@@ -107,9 +109,10 @@ _FILE = (
     WHERE l_partkey % 50 = 0 GROUP BY file_name"""
 )
 def cell_name_check(spark, sf_dir):
-    """Result files whose name disagrees with their rows."""
-    named = log(spark, sf_dir).withColumn("file_name", F.expr(_FILE))
-    return coverage.cell_name_mismatches(named)
+    """Result files, some of them misnamed, whose name disagrees with their rows."""
+    path = shared_dir(spark, "result-files")
+    source.write_result_files(log(spark, sf_dir), path, F.expr(_FILE))
+    return coverage.cell_name_mismatches(source.with_file_name(spark, path))
 
 
 @query(
@@ -405,28 +408,25 @@ def ci_normal(spark, sf_dir):
     return tidy(intervals.normal_interval(counted(spark, sf_dir), "tokens_per_sec"))
 
 
-_DRAW = " + ".join(f"CAST(h >= {cut} AS INT)" for cut in poisson_cuts())
+_DRAW = " + ".join(f"CAST(u >= {cut} AS INT)" for cut in poisson_cuts())
+_NUMBERS = ", ".join(f"({b}, {x}, {y})" for b, (x, y) in enumerate(draw_numbers(100, S.SAMPLE_SEED)))
 
 
 @query(
-    f"""{REQ}, partial AS (SELECT gpu_type, task, system, concurrency,
-      CAST('0x' || substr(md5(request_id), 1, 8) AS BIGINT) % 128 AS shard,
-      sum(tokens_per_sec) AS s, count(tokens_per_sec) AS c FROM counted WHERE tokens_per_sec IS NOT NULL
-      GROUP BY ALL),
-    weights AS (SELECT shard, b, {_DRAW} AS w FROM (SELECT shard, b,
-      CAST('0x' || substr(md5('42|' || shard || '|' || b), 1, 8) AS BIGINT) AS h
-      FROM range(128) x(shard), range(100) y(b))),
-    means AS (SELECT gpu_type, task, system, concurrency, b, sum(w * s) / sum(w * c) AS m
-      FROM partial JOIN weights USING (shard) WHERE w > 0 GROUP BY ALL),
-    bounds AS (SELECT gpu_type, task, system, concurrency, count(*) AS replicates,
-      quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY ALL)
-    SELECT gpu_type, task, system, concurrency, n, {r('mean')} AS mean, replicates, {r('lo')} AS ci_low,
-    {r('hi')} AS ci_high FROM (SELECT gpu_type, task, system, concurrency, CAST(sum(c) AS BIGINT) AS n,
-      sum(s) / sum(c) AS mean FROM partial GROUP BY ALL) JOIN bounds USING (gpu_type, task, system, concurrency)"""
+    f"""{REQ}, numbers AS (SELECT * FROM (VALUES {_NUMBERS}) t(b, x, y)),
+    hashed AS (SELECT gpu_type, task, system, concurrency, tokens_per_sec AS v,
+      CAST('0x' || substr(md5(request_id), 1, 8) AS BIGINT) % {PRIME} AS h FROM counted WHERE tokens_per_sec IS NOT NULL),
+    plain AS (SELECT gpu_type, task, system, concurrency, count(*) AS n, avg(v) AS mean FROM hashed GROUP BY ALL),
+    drawn AS (SELECT *, {_DRAW} AS w FROM (SELECT hashed.* EXCLUDE (h), b, (h * x + y) % {PRIME} AS u FROM hashed, numbers)),
+    means AS (SELECT gpu_type, task, system, concurrency, b, sum(w * v) / sum(w) AS m FROM drawn WHERE w > 0 GROUP BY ALL)
+    SELECT gpu_type, task, system, concurrency, n, {r('any_value(mean)')} AS mean, count(*) AS replicates,
+    {r('quantile_cont(coalesce(m, mean), 0.025)')} AS ci_low, {r('quantile_cont(coalesce(m, mean), 0.975)')} AS ci_high
+    FROM plain CROSS JOIN (SELECT b FROM numbers) LEFT JOIN means USING (gpu_type, task, system, concurrency, b)
+    GROUP BY gpu_type, task, system, concurrency, n"""
 )
 def ci_bootstrap(spark, sf_dir):
     """Mean throughput with a seeded bootstrap interval per cell."""
-    return tidy(intervals.bootstrap_interval(counted(spark, sf_dir), "tokens_per_sec"))
+    return tidy(intervals.bootstrap_interval(counted(spark, sf_dir), summary.TPS))
 
 
 # --- comparison of the arms --------------------------------------------------------------
@@ -552,7 +552,7 @@ _PCT = "printf('%.0f%%', {})"
       printf('%.2f×', tps) || ' throughput',
       CASE WHEN saving > 0 THEN {_PCT.format('round_even(saving, 0)')} || ' cheaper' END,
       CASE WHEN alpha > 0 THEN {_PCT.format('round_even(alpha * 100, 0)')} || ' accepted' END)
-    ELSE 'overhead outweighs gains, ' || printf('%.2f×', tpot) END AS headline FROM w"""
+    ELSE 'no gain over the baseline, ' || printf('%.2f×', tpot) END AS headline FROM w"""
 )
 def ab_verdict(spark, sf_dir):
     """Speedups, cost saving and a headline per hardware and concurrency."""
@@ -565,7 +565,9 @@ def ab_verdict(spark, sf_dir):
       FROM armed GROUP BY gpu_type, task, concurrency HAVING {n_of('base')} > 0 AND {n_of('spec')} > 0),
     u AS ({' UNION ALL '.join(f"SELECT gpu_type, task, concurrency, '{m}' AS metric, {m}_base AS base, {m}_spec AS spec, {up} AS up FROM c" for m, up in (('tpot_ms', 'false'), ('tokens_per_sec', 'true'), ('ttft_ms', 'false')))})
     SELECT gpu_type, task, concurrency, metric, {r('base')} AS base, {r('spec')} AS spec, {r('spec - base')} AS delta,
-    CASE WHEN up THEN spec - base > 0 ELSE spec - base < 0 END AS improved FROM u"""
+    CASE WHEN up THEN spec - base > 0 ELSE spec - base < 0 END AS improved,
+    CASE metric WHEN 'ttft_ms' THEN printf('%+.0f ms', spec - base) WHEN 'tpot_ms' THEN printf('%+.1f ms', spec - base)
+    ELSE printf('%+.1f tok/s', spec - base) END AS label FROM u"""
 )
 def metric_deltas(spark, sf_dir):
     """Treatment minus baseline per metric."""
@@ -587,6 +589,17 @@ def race_winner(spark, sf_dir):
     return tidy(compare.race(counted(spark, sf_dir)))
 
 
+@query(
+    f"""{WITH_ARM}, seen AS (SELECT gpu_type, task, prompt_id, concurrency, trial, count(*) FILTER (arm = 'base') AS b,
+      count(*) FILTER (arm = 'spec') AS s FROM armed WHERE gpu_type IS NOT NULL AND task IS NOT NULL GROUP BY ALL)
+    SELECT gpu_type, task, prompt_id, concurrency, trial, greatest(b - s, 0) AS base_unpaired,
+    greatest(s - b, 0) AS spec_unpaired FROM seen WHERE b <> s"""
+)
+def unpaired_requests(spark, sf_dir):
+    """Attempts of a request that have no partner in the other arm."""
+    return compare.unpaired_requests(counted(spark, sf_dir), compare.PAIR_KEY)
+
+
 @query(
     f"""{_CELLS} SELECT gpu_type, task, concurrency, {r(div('ttft_s', 'ttft_b'))} AS ttft_ratio,
     {r('ttft_s - ttft_b')} AS ttft_extra_ms FROM aligned"""
@@ -604,7 +617,8 @@ def ttft_overhead(spark, sf_dir):
 )
 def cost_frontier(spark, sf_dir):
     """Configurations not beaten in throughput and cost."""
-    return tidy(compare.cost_frontier(counted(spark, sf_dir)))
+    found = compare.cost_frontier(counted(spark, sf_dir))
+    return tidy(found.withColumnsRenamed({"tokens_per_sec": "tps", "gpu_cost_usd": "cost"}))
 
 
 @query(
@@ -833,7 +847,5 @@ def stream_summary(spark, sf_dir):
     """The dashboard table kept current while result files arrive."""
     root = shared_dir(spark, "summary")
     source.write_request_lines(log(spark, sf_dir), f"{root}/in")
-    means = jobs.incremental_means(source.stream_requests(spark, f"{root}/in", max_files=4))
-    jobs.write_batches(means, f"{root}/out", f"{root}/checkpoint", "complete")
-    newest = jobs.last_batch(jobs.read_batches(spark, f"{root}/out", means.schema))
-    return tidy(newest, 4, gpu_cost_usd=8)
+    jobs.keep_summary(source.stream_requests(spark, f"{root}/in", max_files=4), f"{root}/out", f"{root}/checkpoint")
+    return tidy(jobs.kept_means(spark, f"{root}/out"), 4, gpu_cost_usd=8)

@@ -206,11 +206,19 @@ def conversation_pairs(spark, sf_dir):
 
 
 def scorable_summaries(spark, sf_dir):
-    """Outputs of both systems with the reference of their prompt."""
-    outputs = A.summary_outputs(spark, sf_dir)
-    joined = quality.with_reference(outputs, A.summary_references(spark, sf_dir))
-    pairs = joined.withColumn("pair_id", F.concat_ws("/", "prompt_id", "system"))
-    return quality.scorable(pairs.select("pair_id", "system", "ref", "hyp"))
+    """Outputs of both systems with the reference of their prompt, whole texts."""
+    return quality.scorable(A.whole_summaries(spark, sf_dir))
+
+
+@query(
+    f"""SELECT prompt_id, system, CAST(length(coalesce(reference_summary, '')) AS INT) AS ref_chars,
+    md5(coalesce(reference_summary, '')) AS ref_md5 FROM ({A.SUMMARIES_SQL})"""
+)
+def reference_lookup(spark, sf_dir):
+    """The reference text that belongs to each output's prompt."""
+    outputs = A.summary_outputs(spark, sf_dir).drop("hyp")
+    found = quality.with_reference(outputs, A.summary_references(spark, sf_dir))
+    return found.select("prompt_id", "system", F.length("ref").alias("ref_chars"), F.md5("ref").alias("ref_md5"))
 
 
 @query(

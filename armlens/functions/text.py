@@ -34,6 +34,32 @@ def grams(words: Column, n: int) -> Column:
     return out
 
 
+def common_grams(one: Column, two: Column) -> Column:
+    """How many grams two arrays share, each as often as in the side that has fewer of it.
+
+    Both sides go sorted into one array, a gram's occurrences of the first side before those of the
+    second. One pass counts the first and lets each of the second take one of them.
+    """
+
+    def side(words: Column, number: int) -> Column:
+        return F.transform(words, lambda g: F.struct(g.alias("g"), F.lit(number).alias("s")))
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["g"] == x["g"]
+        left = F.when(same, acc["left"]).otherwise(0)
+        first = x["s"] == 0
+        taken = ~first & (left > 0)
+        return F.struct(
+            x["g"].alias("g"),
+            F.when(first, left + 1).when(taken, left - 1).otherwise(left).alias("left"),
+            (acc["common"] + taken.cast("long")).alias("common"),
+        )
+
+    merged = F.array_sort(F.concat(side(one, 0), side(two, 1)))
+    start = F.struct(F.lit("").alias("g"), F.lit(0).alias("left"), F.lit(0).cast("long").alias("common"))
+    return F.aggregate(merged, start, step, lambda acc: acc["common"])
+
+
 def fenced_code(c) -> Column:
     """The first python fence, else the first fence, else the whole text."""
     text = col(c)

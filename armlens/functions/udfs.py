@@ -2,7 +2,6 @@
 
 import ast
 import warnings
-from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -65,18 +64,6 @@ def _coded(a: pa.Array, b: pa.Array):
         yield left[starts_a[i] : starts_a[i + 1]], right[starts_b[i] : starts_b[i + 1]]
 
 
-def common_grams(x: list[int], y: list[int], n: int) -> int:
-    """Runs of ``n`` words in both, each as often as in the side that has fewer of it."""
-    one, two = (Counter(zip(*(side[k:] for k in range(n)))) for side in (x, y))
-    return (one & two).total()
-
-
-@F.arrow_udf(T.LongType())
-def gram_overlap(a: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
-    """Common grams of two token arrays; the texts stay in their rows."""
-    return pa.array([common_grams(x, y, k) for (x, y), k in zip(_coded(a, b), n.to_pylist())], pa.int64())
-
-
 def parses(code: str) -> bool:
     try:
         with warnings.catch_warnings():

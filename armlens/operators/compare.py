@@ -4,15 +4,17 @@ Both arms come out of one grouped pass with conditional aggregates, so the two
 sides are aligned without a join.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armlens import schema as S
-from armlens.functions.numeric import half_even, percent, ratio, times
+from armlens.functions.numeric import exact_round, half_even, percent, ratio, times
 from armlens.operators import views
-from armlens.operators.summary import TPOT, TPS, TTFT, Metric, cell_tps, keyed
+from armlens.operators.summary import COST, TPOT, TPS, TTFT, Metric, cell_tps, keyed, means
 
 
 def both_arms(
@@ -193,7 +195,7 @@ def verdict(df: DataFrame, keys: Sequence[str] = ("gpu_type", "concurrency"), **
         break_even(F.col("tpot_speedup")).alias("class"),
         win.alias("win"),
         F.when(win, parts)
-        .otherwise(F.concat(F.lit("overhead outweighs gains, "), times("tpot_speedup")))
+        .otherwise(F.concat(F.lit("no gain over the baseline, "), times("tpot_speedup")))
         .alias("headline"),
     )
 
@@ -204,7 +206,7 @@ def metric_deltas(
     metrics: Sequence[Metric] = (TPOT, TPS, TTFT),
     **arms,
 ) -> DataFrame:
-    """Long table of treatment minus baseline per metric with the better direction."""
+    """Long table of treatment minus baseline per metric, with the better direction and a signed label."""
     rows = aligned(both_arms(df, keys, metrics, **arms))
     entries = F.array(
         *[
@@ -213,21 +215,36 @@ def metric_deltas(
                 F.col(f"{m.name}_base").alias("base"),
                 F.col(f"{m.name}_spec").alias("spec"),
                 F.lit(m.higher_is_better).alias("higher_is_better"),
+                F.lit(DELTA_LABELS.get(m.name, (1, ""))[0]).alias("digits"),
+                F.lit(DELTA_LABELS.get(m.name, (1, ""))[1]).alias("unit"),
             )
             for m in metrics
         ]
     )
     delta = F.col("spec") - F.col("base")
-    return rows.select(*keys, F.inline(entries)).select(
+    out = rows.select(*keys, F.inline(entries)).withColumn("delta", delta)
+    return out.select(
         *keys,
         "metric",
         "base",
         "spec",
-        delta.alias("delta"),
+        "delta",
         F.when(F.col("higher_is_better"), delta > 0).otherwise(delta < 0).alias("improved"),
+        _signed("delta").alias("label"),
     )
 
 
+#: Digits and unit of a metric's signed label.
+DELTA_LABELS = {"tpot_ms": (1, " ms"), "tokens_per_sec": (1, " tok/s"), "ttft_ms": (0, " ms")}
+
+
+def _signed(name: str) -> Column:
+    """A value with its sign, rounded to the ``digits`` of its row and followed by its ``unit``."""
+    sign = F.when(F.col(name) < 0, "-").otherwise("+")
+    whole, one = (F.format_string(f"%.{d}f", F.abs(exact_round(name, d))) for d in (0, 1))
+    return F.when(F.col(name).isNotNull(), F.concat(sign, F.when(F.col("digits") == 0, whole).otherwise(one), "unit"))
+
+
 def attempts(df: DataFrame, key: Sequence[str], **arms) -> DataFrame:
     """Rows of both arms with ``attempt``: the number of the request within its key and arm, by
     request id. A third attempt of one arm pairs with the third of the other."""
@@ -282,29 +299,64 @@ def ttft_overhead(df: DataFrame, keys: Sequence[str] = tuple(S.PAIR_CELL), **arm
     )
 
 
-def cost_frontier(df: DataFrame) -> DataFrame:
-    """Configurations no other one beats in both throughput and cost per request.
+def _beaten(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    at_least = (by[None] >= points[:, None]).all(axis=2)
+    return (at_least & (by[None] > points[:, None]).any(axis=2)).any(axis=1)
+
+
+def _undominated(points: np.ndarray) -> np.ndarray:
+    """Which rows no other row reaches in every column and passes in one; equal rows all stay. A row with
+    a missing value neither beats nor is beaten."""
+    known = ~np.isnan(points).any(axis=1)
+    stays = np.ones(len(points), bool)
+    # A row that is beaten is also beaten by one that stays, and that one has the larger sum of ranks.
+    ranks = sum(np.unique(c, return_inverse=True)[1] for c in points.T) if len(points) else np.zeros(0)
+    best = np.zeros((0, points.shape[1]))
+    order = np.flatnonzero(known)[np.argsort(-ranks[known], kind="stable")]
+    for at in range(0, len(order), 256):
+        some = order[at : at + 256]
+        stays[some] = ~_beaten(points[some], best)
+        for place in some[stays[some]]:
+            stays[place] = not _beaten(points[place : place + 1], best)[0]
+            if stays[place]:
+                best = np.vstack([best, points[place]])
+    return stays
 
-    Runs on the summary, one row per (gpu, system).
+
+def skyline(points: DataFrame, metrics: Sequence[Metric], fan_in: int = 8) -> DataFrame:
+    """The rows that no other row beats in all of ``metrics`` at once.
+
+    A task keeps the skyline of its rows, and tasks meet by ``fan_in`` until one is left, so
+    what moves are rows that may still belong to the result.
     """
+    names = [f"_m{i}" for i in range(len(metrics))]
+    signed = [(m.column if m.higher_is_better else -m.column).cast("double").alias(n) for m, n in zip(metrics, names)]
+    rows = points.select("*", *signed)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        for batch in batches:
+            some = pa.Table.from_batches([batch])
+            some = some if kept is None else pa.concat_tables([kept, some])
+            values = np.column_stack([some.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
+            kept = some.filter(pa.array(_undominated(values)))
+        if kept is not None:
+            yield from kept.to_batches()
+
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.mapInArrow(keep, rows.schema)
+    while tasks > 1:
+        tasks = -(-tasks // fan_in)
+        out = out.repartition(tasks).mapInArrow(keep, rows.schema)
+    return out.drop(*names)
+
+
+def cost_frontier(df: DataFrame, metrics: Sequence[Metric] = (TPS, COST)) -> DataFrame:
+    """Configurations and their mean metrics; on the frontier are those that no other one beats in all of them."""
     keys = ["gpu_type", "system"]
-    points = (
-        keyed(views.valid_requests(df), keys)
-        .groupBy(*keys)
-        .agg(F.avg("tokens_per_sec").alias("tps"), F.avg("gpu_cost_usd").alias("cost"))
-    )
-    ordered = points.withColumn("_step", F.dense_rank().over(Window.orderBy("cost")))
-    same = F.max("tps").over(Window.partitionBy("_step"))
-    cheaper = F.max("tps").over(
-        Window.orderBy("_step").rangeBetween(Window.unboundedPreceding, -1)
-    )
-    beaten = (F.col("_same") > F.col("tps")) | (
-        F.coalesce(F.col("_cheaper") >= F.col("tps"), F.lit(False))
-    )
-    return (
-        ordered.withColumns({"_same": same, "_cheaper": cheaper})
-        .select(*keys, "tps", "cost", (~beaten).alias("on_frontier"))
-    )
+    points = means(views.valid_requests(df), keys, metrics)
+    best = skyline(points, metrics).select(*keys, F.lit(True).alias("on_frontier"))
+    return points.join(best, keys, "left").withColumn("on_frontier", F.coalesce("on_frontier", F.lit(False)))
 
 
 def speedup_trend(df: DataFrame, **arms) -> DataFrame:

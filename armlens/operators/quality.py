@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from armlens import schema as S
 from armlens.functions.numeric import half_even, ratio
-from armlens.functions.text import fenced_code, tokens
-from armlens.functions.udfs import gram_overlap, lcs, stemmed, valid_python
+from armlens.functions.text import common_grams, fenced_code, grams, tokens
+from armlens.functions.udfs import lcs, stemmed, valid_python
 from armlens.operators.compare import PAIR_KEY, paired_requests
 from armlens.operators.prompts import first_rows
 
@@ -42,7 +42,7 @@ def f_measure(common: Column, ref_size: Column, hyp_size: Column) -> Column:
 def rouge_n(
     pairs: DataFrame, sizes: Sequence[int] = (1, 2), stem: bool = False, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """ROUGE-n F1 per pair for each n in ``sizes``; row by row, no shuffle."""
+    """ROUGE-n F1 per pair for each n in ``sizes``; row by row, with array functions only."""
     return _with_gram_scores(_words(pairs, stem), sizes).select("pair_id", *keep, *[f"rouge{n}" for n in sizes])
 
 
@@ -53,12 +53,13 @@ def _words(pairs: DataFrame, stem: bool) -> DataFrame:
 
 
 def _with_gram_scores(words: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    common = words.withColumns({f"_c{n}": gram_overlap("_ref", "_hyp", F.lit(n)).cast("double") for n in sizes})
+    both = [(n, grams(F.col("_ref"), n), grams(F.col("_hyp"), n)) for n in sizes]
+    common = words.withColumns({f"_c{n}": common_grams(ref, hyp).cast("double") for n, ref, hyp in both})
 
-    def grams(side: str, n: int) -> Column:
+    def count(side: str, n: int) -> Column:
         return F.greatest(F.size(side) - (n - 1), F.lit(0)).cast("double")
 
-    scores = {f"rouge{n}": f_measure(F.col(f"_c{n}"), grams("_ref", n), grams("_hyp", n)) for n in sizes}
+    scores = {f"rouge{n}": f_measure(F.col(f"_c{n}"), count("_ref", n), count("_hyp", n)) for n in sizes}
     return common.withColumns(scores).drop(*[f"_c{n}" for n in sizes])
 
 

@@ -46,6 +46,35 @@ def means(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> Data
     return keyed(df, keys).groupBy(*keys).agg(*[F.avg(m.column).alias(m.name) for m in metrics])
 
 
+def partial_stats(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
+    """Per group and metric: how many values (``x_n``), their sum and the squares about their mean."""
+    aggs = []
+    for m in metrics:
+        n = F.count(m.column)
+        squares = F.coalesce(F.var_pop(m.column), F.lit(0.0)) * n
+        aggs += [n.alias(f"{m.name}_n"), F.coalesce(F.sum(m.column), F.lit(0.0)).alias(f"{m.name}_sum"), squares.alias(f"{m.name}_m2")]
+    return keyed(df, keys).groupBy(*keys).agg(*aggs)
+
+
+def merged_stats(parts: DataFrame, keys: Sequence[str], metrics: Sequence[Metric]) -> DataFrame:
+    """Partial statistics of disjoint sets of rows put together, whatever their order."""
+    aggs = []
+    for m in metrics:
+        n, total = F.sum(f"{m.name}_n"), F.sum(f"{m.name}_sum")
+        within = F.sum(f"{m.name}_m2") + F.sum(F.coalesce(ratio(F.col(f"{m.name}_sum") * F.col(f"{m.name}_sum"), f"{m.name}_n"), F.lit(0.0)))
+        squares = F.greatest(within - F.coalesce(ratio(total * total, n), F.lit(0.0)), F.lit(0.0))
+        aggs += [n.alias(f"{m.name}_n"), total.alias(f"{m.name}_sum"), squares.alias(f"{m.name}_m2")]
+    return parts.groupBy(*keys).agg(*aggs)
+
+
+def means_of_stats(stats: DataFrame, keys: Sequence[str], metrics: Sequence[Metric], deviation: bool = False) -> DataFrame:
+    """The means, and with ``deviation`` also the sample deviations as ``x_std``."""
+    out = [ratio(f"{m.name}_sum", f"{m.name}_n").alias(m.name) for m in metrics]
+    if deviation:
+        out += [F.sqrt(ratio(F.col(f"{m.name}_m2"), F.col(f"{m.name}_n") - 1)).alias(f"{m.name}_std") for m in metrics]
+    return stats.select(*keys, *out)
+
+
 def summary_stats(
     df: DataFrame,
     keys: Sequence[str] = tuple(S.SERIES_KEY),
@@ -75,9 +104,12 @@ def cost_summary(df: DataFrame) -> DataFrame:
     )
 
 
+DASHBOARD_KEY = ["system", "gpu_type", "task", "concurrency"]
+DASHBOARD = (TTFT, TPOT, TPS, COST)
+
+
 def dashboard_means(df: DataFrame) -> DataFrame:
-    keys = ["system", "gpu_type", "task", "concurrency"]
-    return means(views.weakly_valid_requests(df), keys, (TTFT, TPOT, TPS, COST))
+    return means(views.weakly_valid_requests(df), DASHBOARD_KEY, DASHBOARD)
 
 
 def mean_cost(df: DataFrame, keys: Sequence[str], tokens: float, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,24 +59,47 @@ def read_requests(
     return without_trials(_clean(rows), exclude)
 
 
-def quarantined(spark: SparkSession, path: str) -> DataFrame:
-    """Malformed lines with the file they stand in."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"))
-    parsed = F.from_json(
-        "value", LOGGED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
-    )
-    return (
-        lines.filter(F.trim("value") != "")
-        .filter(parsed[BAD].isNotNull())
-        .select("file_name", F.col("value").alias("line"))
-    )
+def sort_out(spark: SparkSession, path: str, target: str) -> None:
+    """Read result files once and write well-formed rows and malformed lines apart, below ``target``;
+    ``read_sorted`` and ``quarantined`` read them. Blank lines are neither."""
+    rows = _logged(spark.read, path, "PERMISSIVE").withColumn("file_name", _file_name())
+    rows.withColumn("kind", F.when(F.col(BAD).isNull(), "row").otherwise("line")).write.partitionBy("kind").parquet(target)
+
+
+def _sorted(spark: SparkSession, target: str, kind: str) -> DataFrame:
+    stored = T.StructType([*LOGGED.fields, T.StructField("file_name", T.StringType()), T.StructField("kind", T.StringType())])
+    return spark.read.schema(stored).parquet(target).filter(F.col("kind") == kind)
+
+
+def read_sorted(
+    spark: SparkSession, target: str, exclude_trials: Iterable[int] = (S.QUALITY_TRIAL,)
+) -> DataFrame:
+    """The rows that ``sort_out`` found well-formed, as ``read_requests`` gives them."""
+    rows = _sorted(spark, target, "row").select(*[f.name for f in S.REQUEST.fields])
+    return without_trials(rows.withColumns({c: not_nan(c) for c in NUMBERS}), list(exclude_trials))
+
+
+def quarantined(spark: SparkSession, target: str) -> DataFrame:
+    """The malformed lines that ``sort_out`` found, with the file they stand in."""
+    return _sorted(spark, target, "line").select("file_name", F.col(BAD).alias("line"))
+
+
+def _file_name() -> Column:
+    """The name of a result file: the file's own, or that of the folder that holds its parts."""
+    of_folder = F.regexp_extract("_metadata.file_path", r"/file=([^/]+)/[^/]+$", 1)
+    return F.when(of_folder != "", of_folder).otherwise(F.col("_metadata.file_name"))
 
 
 def with_file_name(spark: SparkSession, path: str) -> DataFrame:
     """Each row's cell next to the name of the file it stands in."""
-    return _logged(spark.read, path, "PERMISSIVE").select(
-        *S.CELL, F.col("_metadata.file_name").alias("file_name")
-    )
+    return _logged(spark.read, path, "PERMISSIVE").select(*S.CELL, _file_name().alias("file_name"))
+
+
+def write_result_files(df: DataFrame, path: str, name: Column | None = None) -> None:
+    """JSON lines, one result file per name, that of a row's cell by default. A file is a folder of parts,
+    so the rebalance can split a large one over several tasks."""
+    named = df.select(*[f.name for f in S.REQUEST.fields if f.name in df.columns], (cell_file_name() if name is None else name).alias("file"))
+    named.hint("rebalance", "file").write.partitionBy("file").json(path)
 
 
 def write_cells(df: DataFrame, path: str) -> None:
@@ -107,10 +130,6 @@ def write_request_lines(df: DataFrame, path: str) -> None:
     ).json(path)
 
 
-def with_expected_file(df: DataFrame) -> DataFrame:
-    return df.withColumn("file_name", cell_file_name())
-
-
 def stream_requests(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """New result files as they arrive."""
     reader = spark.readStream

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from armlens.operators import compare, coverage, report
+from armlens.operators.summary import Metric
 
 
 def cell(tps, system="baseline", concurrency=1, task="chat", gpu="A100", **more):
@@ -76,7 +79,7 @@ def test_verdict(requests_of):
     )
     win, lose = compare.verdict(log).orderBy("concurrency").collect()
     assert win.headline == "2.00× per token | 3.00× throughput | 50% cheaper | 45% accepted"
-    assert lose.headline == "overhead outweighs gains, 0.50×"
+    assert lose.headline == "no gain over the baseline, 0.50×"
     assert (win["class"], lose["class"], lose.win) == ("faster", "slower", False)
 
 
@@ -86,6 +89,12 @@ def test_metric_deltas(requests_of):
     assert got == {"tokens_per_sec": (20.0, True), "ttft_ms": (3.0, False), "tpot_ms": (0.0, False)}
 
 
+def test_signed_labels(requests_of):
+    log = requests_of(cell(10.0, ttft_ms=8.0, tpot_ms=1.25), cell(9.96, "eagle3", ttft_ms=5.5, tpot_ms=1.5))
+    got = {r.metric: r.label for r in compare.metric_deltas(log).collect()}
+    assert got == {m: f % d for m, f, d in (("tokens_per_sec", "%+.1f tok/s", 9.96 - 10), ("ttft_ms", "%+.0f ms", -2.5), ("tpot_ms", "%+.1f ms", 0.25))}
+
+
 def test_race_pairs_once_per_key(spark, requests_of):
     log = requests_of(
         cell(1.0, total_latency_ms=300.0, request_id="a_c1_t1"), cell(1.0, total_latency_ms=999.0, request_id="b_c1_t1"),
@@ -178,3 +187,19 @@ def test_interval_over_two_systems(requests_of):
     values = np.array([r for some in rates.values() for r in some])
     half = 2.776 * values.std(ddof=1) / np.sqrt(5)
     assert [(r.n, round(r.mean, 9), round(r.ci_high, 9)) for r in got] == [(5, round(values.mean(), 9), round(values.mean() + half, 9))]
+
+
+def test_skyline_next_to_all_pairs(spark):
+    rng = random.Random(8)
+    points = [(k, *(float(rng.randrange(12)) for _ in range(3))) for k in range(700)] + [(700, None, 99.0, 0.0), (701, 11.0, 11.0, 0.0), (702, 11.0, 11.0, 0.0)]
+    df = spark.createDataFrame(points, "id int, a double, b double, c double").repartition(5)
+    metrics = (Metric("a", higher_is_better=True), Metric("b", higher_is_better=True), Metric("c"))
+    got = sorted(r.id for r in compare.skyline(df, metrics, fan_in=3).collect())
+
+    def beats(p, q):
+        x, y = ((r[1], r[2], -r[3]) for r in (p, q))
+        return None not in x and None not in y and all(i >= j for i, j in zip(x, y)) and x != y
+
+    assert got == [p[0] for p in points if not any(beats(q, p) for q in points)]
+    assert {700, 701, 702} <= set(got)
+    assert not compare.skyline(df.limit(0), metrics).collect()

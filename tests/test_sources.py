@@ -1,7 +1,9 @@
 import json
+import statistics
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from armlens import schema as S
 from armlens.operators import coverage, summary
@@ -33,8 +35,11 @@ def test_read_requests(spark, folder):
     assert source.read_requests(spark, folder, exclude_trials=(1, 99)).count() == 1
 
 
-def test_malformed_lines(spark, folder):
-    (bad,) = source.quarantined(spark, folder).collect()
+def test_malformed_lines(spark, folder, tmp_path_factory):
+    target = str(tmp_path_factory.mktemp("sorted") / "out")
+    source.sort_out(spark, folder, target)
+    (bad,) = source.quarantined(spark, target).collect()
+    assert rows(source.read_sorted(spark, target), "trial", "ttft_ms") == rows(source.read_requests(spark, folder), "trial", "ttft_ms")
     assert (bad.file_name, bad.line) == ("baseline_L4_chat_c01_t1.jsonl", '{"request_id": "x", broken')
     assert source.read_requests(spark, folder, mode="DROPMALFORMED").count() == 4
     with pytest.raises(Exception, match="Malformed|MALFORMED|FAILED_READ"):
@@ -46,6 +51,14 @@ def test_file_names_against_rows(spark, folder):
     assert rows(coverage.cell_name_mismatches(named)) == [("mlx_spec_mac_code_c08_t2.jsonl", 1)]
 
 
+def test_written_result_files_have_their_cells_names(spark, requests_of, tmp_path):
+    log = requests_of({"trial": 1}, {"trial": 2, "system": "eagle3"}, {"trial": 2, "concurrency": 16})
+    source.write_result_files(log, f"{tmp_path}/out")
+    names = sorted(r.file_name for r in source.with_file_name(spark, f"{tmp_path}/out").collect())
+    assert names == ["baseline_L4_chat_c01_t1.jsonl", "baseline_L4_chat_c16_t2.jsonl", "eagle3_L4_chat_c01_t2.jsonl"]
+    assert source.read_requests(spark, f"{tmp_path}/out").count() == 3
+
+
 def test_cells_are_replaced_one_by_one(spark, requests_of, tmp_path):
     path = f"{tmp_path}/cells"
     log = requests_of({"trial": 1}, {"trial": 1}, {"trial": 2}, {"system": "eagle3"})
@@ -66,12 +79,29 @@ def test_csv_keeps_missing_values(spark, tmp_path):
 def test_streamed_files_and_summary(spark, requests_of, tmp_path):
     log = requests_of({"ttft_ms": 1.0}, {"ttft_ms": 3.0}, {"system": "eagle3"}, {"error": "x", "ttft_ms": None})
     source.write_request_lines(log.limit(2), f"{tmp_path}/in")
-    means = jobs.incremental_means(source.stream_requests(spark, f"{tmp_path}/in"))
 
     def newest():
-        jobs.write_batches(means, f"{tmp_path}/out", f"{tmp_path}/ck", "complete")
-        return rows(jobs.last_batch(jobs.read_batches(spark, f"{tmp_path}/out", means.schema)), "system")
+        stream = source.stream_requests(spark, f"{tmp_path}/in", max_files=1)
+        jobs.keep_summary(stream, f"{tmp_path}/out", f"{tmp_path}/ck")
+        return rows(jobs.kept_means(spark, f"{tmp_path}/out"), "system")
 
     assert [r[4] for r in newest()] == [2.0]
-    log.filter("system = 'eagle3' or error is not null").write.mode("append").json(f"{tmp_path}/in")
-    assert newest() == rows(summary.dashboard_means(log), "system")
+    for _ in range(3):
+        log.filter("system = 'eagle3' or error is not null").write.mode("append").json(f"{tmp_path}/in")
+    whole = log.union(log.filter("system = 'eagle3'")).union(log.filter("system = 'eagle3'"))
+    assert newest() == rows(summary.dashboard_means(whole), "system")
+    assert len(list((tmp_path / "out").glob("version=*"))) == 2
+
+
+def test_a_repeated_batch_changes_nothing(spark, requests_of, tmp_path):
+    values = [1.0, 5.0, 9.0, 2.0]
+    log = requests_of(*({"ttft_ms": v} for v in values))
+    parts = [summary.partial_stats(log.filter(F.col("ttft_ms") < x), summary.DASHBOARD_KEY, summary.DASHBOARD) for x in (3, 9)]
+    both = summary.merged_stats(parts[0].union(parts[1]), summary.DASHBOARD_KEY, summary.DASHBOARD)
+    got = summary.means_of_stats(both, summary.DASHBOARD_KEY, summary.DASHBOARD, deviation=True).first()
+    seen = [1.0, 2.0, 1.0, 5.0, 2.0]
+    assert got.ttft_ms == pytest.approx(statistics.mean(seen)) and got.ttft_ms_std == pytest.approx(statistics.stdev(seen))
+    source.write_request_lines(log, f"{tmp_path}/in")
+    for number in (1, 2):  # the second run has no checkpoint and starts from the first batch again
+        jobs.keep_summary(source.stream_requests(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck{number}")
+        assert jobs.kept_means(spark, f"{tmp_path}/out").first().ttft_ms == statistics.mean(values)
