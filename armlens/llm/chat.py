@@ -44,7 +44,7 @@ def _turn(role: Column, text: Column) -> Column:
 
 
 def _parse(formatted: Column) -> Column:
-    """Array of (role, text) read from formatted text, plus what no turn accounts for."""
+    """Array of (role, text) read from formatted text."""
     return F.transform(F.regexp_extract_all(formatted, F.lit(GRAMMAR), F.lit(0)), _read)
 
 
@@ -138,9 +138,10 @@ def with_conflict(turns: DataFrame) -> DataFrame:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Figures and digests of what the parser reads back."""
+    """Figures and digests of what the parser reads back, and of the formatted text under the loss mask."""
     all_turns = F.array_join(F.transform("parsed", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("parsed", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    under = F.transform("loss_spans", lambda s: F.substring(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"]))
+    loss = F.array_join(F.transform(under, unescape), "")
     df = formatted.withColumn("loss", loss)
     return df.select(
         "conv_id",

@@ -11,7 +11,7 @@ compared with one centre, the member whose buckets are the fullest, since copies
 resemble it more than each other. What is already one class needs no further pair. Documents
 that still share a bucket with another class are then joined exactly: two texts that reach the share have
 one of their rarest runs in common, so documents meet by those, in blocks of bounded size, and only
-pairs whose signatures agree leave a block. A large group of texts that resemble one
+pairs whose bitmaps allow the share leave a block. A large group of texts that resemble one
 original but not each other so gives hardly any pairs.
 """
 
@@ -35,15 +35,15 @@ SHARE = (4, 5)
 AT_ONCE = 1 << 14
 #: Documents that meet in one block.
 BLOCK = 256
-#: Places of a signature, and how many must agree. Of 256 a pair with a similarity of 0.8 agrees in
-#: 205 on average with a deviation of 6.4, so 170 lose one in ten million such pairs.
-SAMPLES = 256
-AGREE = 170
+#: Places of a bitmap per run, and the smallest and largest bitmap as powers of 2.
+PLACES_PER_RUN = 4
+BITMAP = (6, 14)
+#: Texts of so many runs or fewer share a component less surely (0.97 for 4 of 5 runs in common), so all of
+#: them go on to the exact join.
+SHORT = 24
 
 _seeds = mix(np.arange(1, 2 * COMPONENTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 XORS, FACTORS = _seeds[:COMPONENTS], _seeds[COMPONENTS:] | np.uint64(1)
-_samples = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-SAMPLE_XORS, SAMPLE_FACTORS = _samples[:SAMPLES], _samples[SAMPLES:] | np.uint64(1)
 PLACES = mix(np.arange(1, RUNS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -155,14 +155,22 @@ def similar(a: np.ndarray, b: np.ndarray, one: np.ndarray, two: np.ndarray) -> b
     return aligned(a, b, band) >= need
 
 
-def signature(labels: np.ndarray) -> bytes:
-    """The low bytes of the smallest hashes under ``SAMPLES`` mixings: texts agree in about as many as the
-    share of labelled runs that they have in common of all."""
-    out = np.zeros(SAMPLES, np.uint64)
-    for at in range(0, SAMPLES if len(labels) else 0, COMPONENTS):
-        here = slice(at, at + COMPONENTS)
-        out[here] = ((labels[None, :] ^ SAMPLE_XORS[here, None]) * SAMPLE_FACTORS[here, None]).min(axis=1)
-    return (mix(out) & np.uint64(255)).astype(np.uint8).tobytes()
+def bitmap(labels: np.ndarray) -> bytes:
+    """One bit for each labelled run, at its hash modulo the number of places.
+
+    A bit that differs between two texts stands for a run that only one of them has, so they
+    differ in no fewer runs than in bits.
+    """
+    size = 1 << min(max(BITMAP[0], (PLACES_PER_RUN * len(labels) - 1).bit_length()), BITMAP[1])
+    bits = np.zeros(size, bool)
+    bits[(labels & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """The bitmap of the same runs with half as many places."""
+    half = len(bits) // 2
+    return bits[:half] | bits[half:]
 
 
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,11 +208,11 @@ def rare_pairs(open_docs: DataFrame, texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["rep", "class", "labels"])
 
     def signed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [signature(labelled(runs(data))) for data in binary(batch.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "signature"])
+        made = [bitmap(labelled(runs(data))) for data in binary(batch.column(2))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "bitmap"])
 
     mine = texts.withColumnRenamed("doc_id", "rep").join(open_docs, "rep").select("rep", "class", "text")
-    signatures = written(mine.mapInArrow(lambda b: rows_of(b, signed), "rep long, signature binary"), "near-signatures")
+    bitmaps = written(mine.mapInArrow(lambda b: rows_of(b, signed), "rep long, bitmap binary"), "near-bitmaps")
     labels = mine.mapInArrow(lambda b: rows_of(b, spelled), "rep long, class long, labels array<long>")
     labels = written(labels.select("rep", "class", F.size("labels").alias("n"), F.explode("labels").alias("label")), "near-runs")
     common = labels.groupBy("label").agg(F.count(F.lit(1)).alias("texts"))
@@ -226,20 +234,20 @@ def rare_pairs(open_docs: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"one": F.least("block", "with"), "two": F.greatest("block", "with")})
     keys = ["label", "one", "two"]
-    met = dealt.join(signatures, "rep").repartition(*keys).sortWithinPartitions(*keys, "rep")
-    met = met.select(*keys, "block", "rep", "class", "n", "small", "signature")
+    met = dealt.join(bitmaps, "rep").repartition(*keys).sortWithinPartitions(*keys, "rep")
+    met = met.select(*keys, "block", "rep", "class", "n", "small", "bitmap")
     return met.mapInArrow(_met, "a long, b long").distinct()
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree enough, from documents sorted by run and blocks."""
+    """Pairs whose bitmaps allow the share, from documents sorted by run and blocks."""
     group, members, pairs = None, [], []
     for batch in batches:
-        for *key, block, rep, cls, n, small, signed in zip(*(c.to_pylist() for c in batch.columns)):
+        for *key, block, rep, cls, n, small, bits in zip(*(c.to_pylist() for c in batch.columns)):
             if key != group:
                 pairs += _enough(group, members)
                 group, members = key, []
-            members.append((n, rep, block, cls, small, np.frombuffer(signed, np.uint8)))
+            members.append((n, rep, block, cls, small, np.frombuffer(bits, np.uint8)))
         yield _pairs(pairs)
         pairs = []
     yield _pairs(_enough(group, members))
@@ -252,19 +260,33 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _enough(key, members: list[tuple]) -> list[tuple[int, int]]:
     """Pairs of a group that may reach the share: the smaller text has the run among its closer
-    ones, the classes differ, and the signatures agree in ``AGREE`` places."""
+    ones, the classes differ, and the bitmaps do not differ in more places than the texts may in runs."""
+    if len(members) < 2:
+        return []
     out = []
     members.sort(key=lambda m: m[:2])
-    for i, (m, b, block, cls, small, mine) in enumerate(members):
+    n, rep, block, cls = (np.array([m[i] for m in members], np.int64) for i in range(4))
+    p, q = SHARE
+    ends = np.searchsorted(n * p, n * q, side="right")
+    width = np.array([len(m[5]) for m in members])
+    stacked: dict[int, np.ndarray] = {}
+    for size in set(width.tolist()):  # all that have this many places, or twice as many
+        rows = [m[5] if len(m[5]) == size else folded(m[5]) if len(m[5]) == 2 * size else np.zeros(size, np.uint8) for m in members]
+        stacked[size] = np.stack(rows)
+    for i, (_, _, _, _, small, mine) in enumerate(members):
         if not small:
             continue
-        for n, a, other, its, _, theirs in members[i + 1 :]:
-            if n * SHARE[0] > m * SHARE[1]:
-                break  # sorted by size: all others are too long
-            if its == cls or (key[1] != key[2] and other == block):
-                continue
-            if np.count_nonzero(mine == theirs) >= AGREE:
-                out.append((min(a, b), max(a, b)))
+        others = slice(i + 1, ends[i])
+        may = cls[others] != cls[i]
+        if key[1] != key[2]:
+            may &= block[others] != block[i]
+        at = np.flatnonzero(may) + i + 1
+        if not len(at):
+            continue
+        total = n[at] + n[i]
+        differ = np.bitwise_count(stacked[len(mine)][at] ^ mine).sum(axis=1, dtype=np.int64)
+        at = at[differ <= total - 2 * -(-p * total // (p + q))]
+        out += [(min(a, rep[i].item()), max(a, rep[i].item())) for a in rep[at].tolist()]
     return out
 
 
@@ -310,12 +332,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
     known = written(sketches(docs), "near-sketches")
     first = written(known.filter("n > 0").groupBy("words").agg(F.min("doc_id").alias("rep")), "near-first")
     members = known.join(first, "words", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    nodes = members.filter("n > 0 and doc_id = rep").select("rep", "n", F.explode("keys").alias("key"))
+    nodes = members.filter("n > 0 and doc_id = rep")
+    short = nodes.filter(F.col("n") <= SHORT).select("rep")
+    nodes = nodes.select("rep", "n", F.explode("keys").alias("key"))
     nodes = written(nodes, "near-nodes")
     shared = written(nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-shared")
     buckets = written(nodes.join(shared, "key"), "near-buckets")
 
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = buckets.select(F.col("rep").alias("doc_id")).union(short).distinct()
     # Dealt by id at every size: a broadcast of the ids would grow with the copies.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("shuffle_merge"), "doc_id")
     texts = written(texts, "near-texts")
@@ -334,7 +358,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     mixed = mixed.filter("low < high").select("key")
     open_rows = written(classed.join(mixed, "key"), "near-open")
-    more = rare_pairs(open_rows.select("rep", "class").distinct(), texts)
+    lone = short.distinct().join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("class"))
+    more = rare_pairs(open_rows.select("rep", "class").union(lone).distinct(), texts)
     seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(seen, ["a", "b"], "left_anti"), "near-more")
     late = written(links(more, texts), "near-late")

@@ -155,6 +155,17 @@ def test_conversations_come_back(spark, turns):
         assert all(p == t or s == t for p, s, t in zip(plain, spans, [t for role, t in source if role == "assistant"]))
 
 
+def test_a_shifted_mask_changes_the_loss(spark):
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "say </s> it"), (1, 2, "assistant", "[INST] more")]
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    shift = lambda s: s.withField("start", s["start"] - 1).withField("stop", s["stop"] - 1)
+    right, wrong = (chat.digest(x).first() for x in (out, out.withColumn("loss_spans", F.transform("loss_spans", shift))))
+    import hashlib
+
+    assert right["loss_sha256"] == hashlib.sha256(b"say </s> it[INST] more").hexdigest() and right["loss_chars"] == 22
+    assert wrong["loss_sha256"] != right["loss_sha256"] and wrong["turns_sha256"] == right["turns_sha256"]
+
+
 # 5
 
 
