@@ -52,14 +52,18 @@ SCORES = {
     "iban": (0.9, 0.99),
     "ssn": (0.3, 0.8),
 }
-CONTEXT = {
-    "email": "mail|contact|write",
+WORDS = {
+    "email": "mail|email|contact|write",
     "ip": "ip|host|server|address",
     "card": "card|visa|credit|payment",
-    "phone": "phone|call|tel|mobile|fax",
+    "phone": "phone|telephone|call|tel|mobile|fax",
     "iban": "iban|account|bank|konto|cuenta|compte",
     "ssn": "ssn|social security",
 }
+#: Whole words only.
+CONTEXT = {kind: f"(^|[^a-z])({words})([^a-z]|$)" for kind, words in WORDS.items()}
+#: Areas, groups and serials that no number has.
+NO_SSN = "^(000|666|9)|-00-|-0000$"
 NEARBY = 40
 THRESHOLD = 0.5
 BLOCK = 256
@@ -88,7 +92,7 @@ CHECKS = {
     "card": f"length(y.d) between 16 and 19 and {_luhn('y.d')}",
     "phone": "length(regexp_replace(y.v, '[^0-9]', '')) between 8 and 15",
     "iban": _mod97("y.d"),
-    "ssn": "true",
+    "ssn": f"not y.v rlike '{NO_SSN}'",
 }
 
 
@@ -189,7 +193,7 @@ def _joined(spans: str) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, the digest of the base spans and all spans as text."""
+    """Counts, the digest of the base spans, all spans as text, and the score of each."""
     base = "filter(spans, x -> x.kind in ('email', 'ip', 'card', 'phone'))"
     counts = [
         F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE
@@ -199,22 +203,25 @@ def digest(found: DataFrame) -> DataFrame:
         *counts,
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined("spans").alias("spans"),
+        F.expr("array_join(transform(spans, x -> cast(x.score as string)), ',')").alias("scores"),
     )
 
 
 def _sql_kind(kind: str, pattern: str, keep: str) -> str:
     plain, near = SCORES[kind]
     return f"""
-    SELECT doc_id, row_no, '{kind}' AS kind, {KINDS.index(kind)} AS k, start, start + length(v) AS stop
+    SELECT * FROM (SELECT doc_id, row_no, '{kind}' AS kind, {KINDS.index(kind)} AS k, start, start + length(v) AS stop,
+      CASE WHEN regexp_matches(lower(substr(text, greatest(start - {NEARBY}, 0) + 1, least(start, {NEARBY})) || chr(10) ||
+        substr(text, start + length(v) + 1, {NEARBY})), '{CONTEXT[kind]}') THEN {near}::DOUBLE ELSE {plain}::DOUBLE END AS score
     FROM (
-      SELECT doc_id, row_no, v, replace(replace(v, ' ', ''), '-', '') AS d,
-             sum(length(p)) OVER w + sum(length(v)) OVER w - length(v) AS start, right(p, {NEARBY}) AS near
-      FROM (SELECT doc_id, row_no, unnest(regexp_extract_all(text, '{pattern}')) AS v,
+      SELECT doc_id, row_no, text, v, replace(replace(v, ' ', ''), '-', '') AS d,
+             (sum(length(p)) OVER w + sum(length(v)) OVER w - length(v))::BIGINT AS start
+      FROM (SELECT doc_id, row_no, text, unnest(regexp_extract_all(text, '{pattern}')) AS v,
                    unnest(string_split_regex(text, '{pattern}')[1:len(regexp_extract_all(text, '{pattern}'))]) AS p,
                    unnest(range(len(regexp_extract_all(text, '{pattern}')))) AS i
             FROM d)
       WINDOW w AS (PARTITION BY doc_id, row_no ORDER BY i))
-    WHERE ({keep}) AND (CASE WHEN regexp_matches(lower(near), '{CONTEXT[kind]}') THEN {near} ELSE {plain} END) >= {THRESHOLD}"""
+    WHERE ({keep})) WHERE score >= {THRESHOLD}"""
 
 
 def _sql() -> str:
@@ -244,7 +251,7 @@ def _sql() -> str:
         "card": f"CASE WHEN length(d) BETWEEN 16 AND 19 THEN {luhn} ELSE false END",
         "phone": "length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 8 AND 15",
         "iban": mod97,
-        "ssn": "true",
+        "ssn": f"NOT regexp_matches(v, '{NO_SSN}')",
     }
     parts = " UNION ALL ".join(_sql_kind(k, plain[k], keep[k]) for k in KINDS)
     counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in BASE)
@@ -254,7 +261,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS ro
 s AS ({parts})
 SELECT d.doc_id, {counts},
        sha256(coalesce(string_agg({one}, ',' ORDER BY k, start) FILTER (k < {len(BASE)}), '')) AS base_sha256,
-       coalesce(string_agg({one}, ',' ORDER BY k, start) FILTER (kind IS NOT NULL), '') AS spans
+       coalesce(string_agg({one}, ',' ORDER BY k, start) FILTER (kind IS NOT NULL), '') AS spans,
+       coalesce(string_agg(score::VARCHAR, ',' ORDER BY k, start) FILTER (kind IS NOT NULL), '') AS scores
 FROM d LEFT JOIN s ON s.row_no = d.row_no
 GROUP BY d.doc_id, d.row_no"""
 

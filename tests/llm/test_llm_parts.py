@@ -93,11 +93,19 @@ def test_ibans_before_other_words_and_ibans(spark):
         assert got == want, text
 
 
+def test_whole_words_and_numbers_that_exist(spark):
+    texts = ["classnote 123-45-6789", "ssn 000-12-3456", "ssn 666-12-3456", "ssn 912-12-3456", "ssn 123-00-3456", "ssn 123-12-0000", "(SSN) 123-45-6789"]
+    found = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [len(r["spans"]) for r in found] == [0, 0, 0, 0, 0, 0, 1]
+    (hotel, tel) = pii.find_spans(spark.createDataFrame([(1, "hotel +4930123456789"), (2, "tel. +4930123456789")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (hotel["spans"][0]["score"], tel["spans"][0]["score"]) == pii.SCORES["phone"]
+
+
 def test_context_on_both_sides_and_across_matches(spark):
     far = "é🙂 filler " * 300
     texts = [
-        "SSN: 123-45-6789, 987-65-4321, 111-22-3333", "123-45-6789 is my SSN", f"123-45-6789 {'x' * 40} ssn", f"ssn {'x' * 40} 123-45-6789",
-        f"{far}123-45-6789 {far}", f"{far}ssn 123-45-6789, 987-65-4321 {far}", f"{far}123-45-6789 is an SSN", "call a@b.co, +4930123456789",
+        "SSN: 123-45-6789, 787-65-4321, 111-22-3333", "123-45-6789 is my SSN", f"123-45-6789 {'x' * 40} ssn", f"ssn {'x' * 40} 123-45-6789",
+        f"{far}123-45-6789 {far}", f"{far}ssn 123-45-6789, 787-65-4321 {far}", f"{far}123-45-6789 is an SSN", "call a@b.co, +4930123456789",
     ]
     found = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
     for text, r in zip(texts, found):
@@ -287,6 +295,29 @@ def test_classes_against_all_pairs(spark):
     assert got == {k: top(k) for k in range(len(rows))}
 
 
+def test_pairs_of_short_texts_all_join(spark):
+    """Nine words against their first eight share four of five runs."""
+    rng = random.Random(21)
+    rows = []
+    for _ in range(1500):
+        words = [f"s{rng.randrange(10**9)}" for _ in range(9)]
+        rows += [" ".join(words), " ".join(words[:8])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near.near_classes(docs).collect()}
+    assert got == {k: k - k % 2 for k in range(3000)}
+
+
+@given(st.integers(0, 2**32), st.integers(1, 9000), st.integers(0, 400), st.integers(0, 400))
+@settings(max_examples=60, deadline=None)
+def test_bitmaps_differ_in_no_more_places_than_runs(seed, common, left, right):
+    drawn = np.random.default_rng(seed).integers(0, 2**64, common + left + right, np.uint64)
+    a, b = drawn[: common + left], np.concatenate([drawn[:common], drawn[common + left :]])
+    one, two = (np.frombuffer(near.bitmap(x), np.uint8) for x in (a, b))
+    while len(one) != len(two):
+        one, two = (near.folded(x) if len(x) > min(len(one), len(two)) else x for x in (one, two))
+    assert np.bitwise_count(one ^ two).sum() <= left + right
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(k, k + 1) for k in range(1, 60)] + [(100, 103), (101, 103), (102, 101)]
     got = {r["node"]: r["root"] for r in near.components(spark.createDataFrame(chain, "a long, b long")).collect()}
