@@ -25,6 +25,7 @@ RUNTIME_CONF = {
 
 _local_roots: dict[str, str] = {}
 _shipped: set[str] = set()
+_made: dict[str, list[str]] = {}
 
 
 def build(app: str = "armlens", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -74,4 +75,23 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         app = spark.sparkContext.applicationId
         root = _local_roots.setdefault(app, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that this session got from ``shared_dir``, and say how many they were.
+
+    DataFrames read their intermediate tables when they run, so write or collect results before.
+    """
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)

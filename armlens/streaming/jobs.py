@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from armlens import schema as S
 from armlens.functions.numeric import exact_mean
 from armlens.operators import chunks, summary, views
+from armlens.session import remove
 from armlens.sources import logs
 
 # A stage's last row: it moves the watermark past all real ones, so that the
@@ -212,11 +213,6 @@ def newest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={last}")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def drain_row(spark: SparkSession) -> DataFrame:
     """The closing row of a staged chunk log."""
     empty = spark.range(1)

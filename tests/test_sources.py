@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from armlens import schema as S
+from armlens import session
 from armlens.operators import coverage, summary
 from armlens.sources import requests as source
 from armlens.sources import tables
@@ -105,3 +106,15 @@ def test_a_repeated_batch_changes_nothing(spark, requests_of, tmp_path):
     for number in (1, 2):  # the second run has no checkpoint and starts from the first batch again
         jobs.keep_summary(source.stream_requests(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck{number}")
         assert jobs.kept_means(spark, f"{tmp_path}/out").first().ttft_ms == statistics.mean(values)
+
+
+def test_written_intermediates_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(session, "_made", {})
+    paths = [session.shared_dir(spark, name) for name in ("one", "two")]
+    for path in paths:
+        spark.range(3).write.parquet(path)
+    assert [spark.read.parquet(p).count() for p in paths] == [3, 3]
+    assert session.release(spark) == 2 and session.release(spark) == 0
+    for path in paths:
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(path)
