@@ -155,22 +155,33 @@ def window_averages(
     )
 
 
-def stage(log: DataFrame, path: str, cut: str = "5 days", shift: str = "12 hours", files: int = 2) -> None:
+def stage(
+    log: DataFrame, path: str, cut: str = "5 days", shift: str = "12 hours", files: int = 2, again: Column | None = None
+) -> None:
     """Write a log in slices of time, one after the other, each in ``files`` files with its rows in no
-    order, and the closing row last: a stream of ``files`` files per trigger reads slice by slice."""
+    order, and the closing row last: a stream of ``files`` files per trigger reads slice by slice.
+
+    Rows where ``again`` holds come again in their own slice, in the next and in the one after that.
+    """
     spark = log.sparkSession
     sliced = log.withColumn("_slice", F.window("ts", cut, startTime=shift)["start"])
-    for row in sliced.select("_slice").distinct().orderBy("_slice").collect():  # one per slice of time
-        some = sliced.filter(F.col("_slice") == F.lit(row[0])).drop("_slice")
-        logs.write_log(some.repartition(files), path, S.CHUNK_LOG)
+    times = [row[0] for row in sliced.select("_slice").distinct().orderBy("_slice").collect()]  # one per slice of time
+    for k, time in enumerate(times):
+        some = sliced.filter(F.col("_slice") == F.lit(time))
+        if again is not None:
+            some = some.unionByName(sliced.filter(F.col("_slice").isin(times[max(k - 2, 0) : k + 1])).filter(again))
+        logs.write_log(some.drop("_slice").repartition(files), path, S.CHUNK_LOG)
     logs.write_log(drain_row(spark), path, S.CHUNK_LOG)
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there, write finished rows, stop. Exactly once per checkpoint."""
-    stream.writeStream.format("parquet").option("path", path).option(
+def append_to(stream: DataFrame, path: str, checkpoint: str) -> int:
+    """Process what is there, write finished rows, stop, and say how many rows came behind the watermark
+    and were left out. Exactly once per checkpoint."""
+    query = stream.writeStream.format("parquet").option("path", path).option(
         "checkpointLocation", checkpoint
-    ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    ).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:
