@@ -1,12 +1,15 @@
 import random
+from collections import Counter
+from unittest import mock
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from armlens.functions import udfs
 from armlens.functions.stem import stem
-from armlens.functions.text import WHITESPACE, fenced_code, grams, prompt_id, strip, tokens
-from armlens.functions.udfs import lcs, lcs_length, parses, stemmed, valid_python
+from armlens.functions.text import WHITESPACE, common_grams, fenced_code, grams, prompt_id, strip, tokens
+from armlens.functions.udfs import lcs, lcs_length, overlaps, parses, stemmed, valid_python
 from armlens.operators.quality import lcs_native
 
 
@@ -113,6 +116,36 @@ def test_lcs_column_equals_native_form(spark, seed):
     assert [tuple(r) for r in got] == [(brute_lcs(a, b),) * 2 for a, b in pairs]
 
 
+@settings(deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=60), st.lists(st.sampled_from("abcd"), max_size=60), st.integers(1, 9))
+def test_lcs_in_strips_equals_brute_force(a, b, strip):
+    with mock.patch.object(udfs, "STRIP", strip):
+        assert lcs_length(a, b) == brute_lcs(a, b)
+
+
+def test_overlaps_equal_array_functions(spark):
+    """Common grams and stems on any number of rows coded at a time; missing and empty sides share nothing."""
+    rng = random.Random(7)
+    words = ["run", "running", "runs", "a", "tie", "ties", "é"]
+    pairs = [tuple(rng.choices(words, k=rng.randrange(30)) for _ in range(2)) for _ in range(150)] + [([], ["a"]), (["a"], []), ([], [])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([*pairs, (None, ["a"]), (["a"], None)])], "i int, a array<string>, b array<string>").repartition(1)
+    for stem, one, two in ((False, F.col("a"), F.col("b")), (True, stemmed("a"), stemmed("b"))):
+        shared = overlaps(F.col("a"), F.col("b"), (1, 2, 3), True, stem)
+        plain = [F.coalesce(common_grams(grams(one, n), grams(two, n)), F.lit(0)) for n in (1, 2, 3)]
+        rows = df.select("i", shared.alias("s"), *[c.alias(f"p{n}") for n, c in enumerate(plain, 1)], lcs(one, two).alias("l")).orderBy("i").collect()
+        assert len(rows) == len(pairs) + 2
+        assert all((r.s.c1, r.s.c2, r.s.c3, r.s.lcs) == (r.p1, r.p2, r.p3, r.l) for r in rows)
+
+
+def test_overlaps_of_long_texts(spark):
+    """Texts of 60,000 words are several strips."""
+    a = [f"w{i % 9_000}" for i in range(60_000)]
+    df = spark.createDataFrame([(a, a[20_000:] + a[:20_000])], "a array<string>, b array<string>")
+    got = df.select(overlaps(F.col("a"), F.col("b"), (1, 2), True).alias("s")).first().s
+    grams_a, grams_b = (Counter(zip(w, w[1:])) for w in (a, a[20_000:] + a[:20_000]))
+    assert (got.c1, got.c2) == (60_000, (grams_a & grams_b).total()) and got.lcs >= 40_000
+
+
 def test_syntax(spark):
     codes = ["x = 1", "def f(:", "a\x00b", "", "(" * 500 + ")" * 500, None]
     assert column(spark, codes, valid_python("t"))[:4] == [True, False, False, True]
