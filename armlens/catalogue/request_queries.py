@@ -78,7 +78,7 @@ def requests_scan(spark, sf_dir):
         .alias("value")
     )
     path = shared_dir(spark, "request-lines")
-    lines.write.text(path)
+    source.write_raw_lines(lines, path)
     target = shared_dir(spark, "request-rows")
     source.sort_out(spark, path, target)
     loaded = source.read_sorted(spark, target)

@@ -13,6 +13,8 @@ from armlens.operators.views import without_trials
 
 BAD = "_malformed"
 LOGGED = T.StructType([*S.REQUEST.fields, T.StructField(BAD, T.StringType())])
+#: JSON lines repeat their field names in every row, so files hold them compressed. A reader takes a file whole.
+PACKED = {"compression": "gzip"}
 NUMBERS = [f.name for f in S.REQUEST.fields if f.dataType == T.DoubleType()]
 
 
@@ -99,7 +101,7 @@ def write_result_files(df: DataFrame, path: str, name: Column | None = None) ->
     """JSON lines, one result file per name, that of a row's cell by default. A file is a folder of parts,
     so the rebalance can split a large one over several tasks."""
     named = df.select(*[f.name for f in S.REQUEST.fields if f.name in df.columns], (cell_file_name() if name is None else name).alias("file"))
-    named.hint("rebalance", "file").write.partitionBy("file").json(path)
+    named.hint("rebalance", "file").write.partitionBy("file").json(path, **PACKED)
 
 
 def write_cells(df: DataFrame, path: str) -> None:
@@ -124,10 +126,15 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_request_lines(df: DataFrame, path: str) -> None:
-    """JSON lines in the shape of the log."""
+    """JSON lines in the shape of the log, compressed."""
     df.select(*[f.name for f in S.REQUEST.fields if f.name in df.columns]).write.mode(
         "overwrite"
-    ).json(path)
+    ).json(path, **PACKED)
+
+
+def write_raw_lines(lines: DataFrame, path: str) -> None:
+    """Lines of any content as they are, one file per task, compressed."""
+    lines.write.text(path, **PACKED)
 
 
 def stream_requests(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

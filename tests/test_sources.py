@@ -118,3 +118,21 @@ def test_written_intermediates_can_be_removed(spark, monkeypatch):
     for path in paths:
         with pytest.raises(Exception, match="PATH_NOT_FOUND"):
             spark.read.parquet(path)
+
+
+def test_line_files_are_packed_and_read_back(spark, requests_of, tmp_path):
+    """Written lines take a fraction of their plain size, and rows, broken lines and names come back."""
+    log = requests_of(*[{"system": s, "request_id": f"{s}_{i:06d}_c1_t1"} for s in ("baseline", "eagle3") for i in range(2_000)]).coalesce(2)
+    plain = sum(len(r[0]) + 1 for r in log.select(F.to_json(F.struct(*log.columns))).collect())
+    lines = log.select(F.to_json(F.struct(*log.columns)).alias("value")).unionByName(spark.createDataFrame([("{broken",), ("",)], "value string"))
+    source.write_request_lines(log, f"{tmp_path}/rows")
+    source.write_result_files(log, f"{tmp_path}/files")
+    source.write_raw_lines(lines, f"{tmp_path}/lines")
+    for folder in ("rows", "files", "lines"):
+        written = sum(f.stat().st_size for f in (tmp_path / folder).rglob("part-*"))
+        assert 0 < written < plain / 4
+        assert source.read_requests(spark, f"{tmp_path}/{folder}", ()).select("request_id").distinct().count() == 4_000
+    named = source.with_file_name(spark, f"{tmp_path}/files").select("file_name").distinct()
+    assert rows(named, "file_name") == [("baseline_L4_chat_c01_t1.jsonl",), ("eagle3_L4_chat_c01_t1.jsonl",)]
+    source.sort_out(spark, f"{tmp_path}/lines", f"{tmp_path}/sorted")
+    assert [r.line for r in source.quarantined(spark, f"{tmp_path}/sorted").collect()] == ["{broken"]
