@@ -135,6 +135,17 @@ def test_streaming_fold_equals_batch(spark, log, tmp_path, form):
         assert got[request].asDict() == row.asDict(), request
 
 
+def test_join_of_a_stream_keeps_one_store_a_task(spark, log, tmp_path):
+    """A trigger's commits grow with the stores it opens, four of them a task in older formats of the state."""
+    folded = jobs.fold_sessions(staged(spark, log, f"{tmp_path}/in"), gap="300 seconds")
+    query = folded.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stores = {op.operatorName: op.numStateStoreInstances for p in query.recentProgress for op in p.stateOperators}
+    assert stores["symmetricHashJoin"] == tasks and set(stores.values()) == {tasks}
+    assert list((tmp_path / "ck" / "state").rglob("*.changelog"))
+
+
 def test_state_values_do_not_grow_with_a_request(spark):
     """The stateful fold adds totals of any split of a request's lines to what the batch fold has."""
     data = 'data: {"choices": [{"delta": {"content": "abcd"}}]}'
