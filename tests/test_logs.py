@@ -1,4 +1,7 @@
 import datetime as dt
+import json
+import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,6 +167,73 @@ def test_state_values_do_not_grow_with_a_request(spark):
     assert all(both[c] == want[c] for c in ("start_us", "first_us", "end_us", "chunks", "chars", "usage_tokens", "closed", "error"))
 
 
+def test_a_trigger_writes_a_group_of_requests_once(spark, tmp_path):
+    """Calls to the state are what a request costs, so many requests share one; a row and a timer each had 60 here."""
+    lines = [(0, ": open"), (1, say("Hello")), (2, usage(7)), (3, DONE), (4, say("late"))]
+    rows = [(f"r{k}", "baseline", "L4", seq, START + dt.timedelta(seconds=20 * (k % 6) + seq), line) for k in range(60) for seq, line in lines[: 5 if k % 4 else 2]]
+    rows += [(None, "baseline", "L4", 0, START, say("no id"))]
+    log = spark.createDataFrame(rows, S.CHUNK_LOG).repartition(4)
+    folded = stateful.fold_stateful(staged(spark, log, f"{tmp_path}/in"), groups=3)
+    query = folded.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    written = [op.numRowsUpdated for p in query.recentProgress for op in p.stateOperators if op.operatorName.startswith("transformWithState")]
+    assert 0 < max(written) <= 3
+    got = [r.asDict() for r in spark.read.schema(folded.schema).parquet(f"{tmp_path}/out").collect() if r.request_id != jobs.DRAIN_ID]
+    want = [r.asDict() for r in chunks.fold(log, require_terminal=True).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == 61
+
+
+class State:
+    """A state of one value per group, and the timers."""
+
+    def __init__(self):
+        self.key, self.values, self.timers = None, {}, set()
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.values.get(self.key), update=lambda v: self.values.update({self.key: v}), clear=lambda: self.values.pop(self.key, None))
+
+    def registerTimer(self, time):
+        self.timers.add((time, self.key))
+
+    def deleteTimer(self, time):
+        self.timers.remove((time, self.key))
+
+
+def departures(batches, group):
+    """What leaves in each batch of (watermark, rows), and how many values and timers are left."""
+    state, fold, out = State(), stateful.ChunkFold(100, 10), []
+    fold.init(state)
+    for watermark, rows in batches:
+        now, gone, parts = SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w), [], {}
+        for row in rows:
+            parts.setdefault(group(row["request_id"]), []).append((0, json.dumps({k: v for k, v in row.items() if v is not None})))
+        for state.key, part in parts.items():
+            gone += fold.handleInputRows((state.key,), iter(part), now)
+        for time, state.key in sorted(t for t in state.timers if t[0] <= watermark):
+            gone += fold.handleExpiredTimer((state.key,), now, SimpleNamespace(getExpiryTimeInMs=lambda t=time: t))
+            state.timers.remove((time, state.key))
+        out.append(sorted((r["request_id"], r["start_us"], r["chars"], r["closed"]) for row in gone for r in json.loads(row.requests)))
+    return out, len(state.values), len(state.timers)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_a_request_does_not_depend_on_its_group(seed):
+    """Requests leave in the same batches alone and in a group: at the end, at the timeout, late lines ignored, forgotten later."""
+    rand, watermark, batches = random.Random(seed), 0, []
+    for _ in range(12):
+        rows = []
+        for _ in range(rand.randint(0, 12)):
+            start = rand.randint(max(0, watermark - 20_000), watermark + 200_000) * 1000
+            row = {"system": "baseline", "start_us": rand.choice([start, start, None]), "end_us": start + rand.randint(0, 9_000_000)}
+            rows.append({**dict.fromkeys(stateful.FIELDS), **row, "request_id": rand.choice("abcd"), "chunks": 1, "chars": rand.randint(0, 9), "closed": rand.random() < 0.3})
+        batches.append((watermark, rows))
+        watermark += rand.randint(0, 120_000)
+    batches += [(watermark + 10**6, []), (watermark + 10**7, [])]
+    alone, *left = departures(batches, lambda request: request)
+    assert any(alone) and left == [0, 0]
+    assert departures(batches, lambda request: 0) == departures(batches, lambda request: request in "ab") == (alone, 0, 0)
+
+
 def test_live_totals_hold_one_block_a_value(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(chunks, "LINES_PER_BLOCK", 4)
     data = 'data: {"choices": [{"delta": {"content": "abcd"}}]}'
